@@ -206,7 +206,7 @@ def spike_vs_other(
     flagged = daily.join(days.select("date", "spike"), "date")
 
     def on(flag: Column) -> Column:
-        return F.round(F.coalesce(F.sum(F.when(flag, F.col("ipus"))), F.lit(0)), 2).cast("double")
+        return F.bround(F.coalesce(F.sum(F.when(flag, F.col("ipus"))), F.lit(0)), 2).cast("double")
 
     sums = flagged.groupBy("org").agg(on(F.col("spike")).alias("spike_days"), on(~F.col("spike")).alias("other_days"))
     return sums.orderBy(F.desc("spike_days"), "org").limit(n)

@@ -130,7 +130,7 @@ def status_stats(tasks: DataFrame, f: TaskFilter, pricing: Pricing = Pricing())
 def history_range(tasks: DataFrame, as_of: dt.datetime) -> DataFrame:
     """First and last end time that is at least one day old."""
     cutoff = as_of - dt.timedelta(days=1)
-    old = tasks.where(F.col("end_time") <= F.lit(cutoff))
+    old = tasks.where(F.col("end_time") <= F.lit(cutoff).cast(tasks.schema["end_time"].dataType))
     if "end_month" in tasks.columns:
         old = old.where(F.col("end_month") <= F.lit(as_date(cutoff.date()).replace(day=1)))
     return old.agg(F.min("end_time").alias("first_end"), F.max("end_time").alias("last_end"))

@@ -73,6 +73,10 @@ def shown(x: str, places: int = 6) -> str:
     return f"CAST(ROUND({x}, {places}) AS DOUBLE)"
 
 
+def half_even(x: str, places: int = 2) -> str:
+    return f"round_even(CAST({x} AS DOUBLE), {places})"
+
+
 STATS = f"COUNT(*) AS task_count, {shown(total(EI))} AS total_ipus, {shown(total(EC))} AS total_cost"
 UNIQUE = "COUNT(DISTINCT task_id) AS unique_tasks"
 

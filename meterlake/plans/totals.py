@@ -143,9 +143,9 @@ def row_columns(df):
 
 
 @register("tasks_in_range", f"""{base('tpch')} SELECT {ROW} FROM tasks WHERE {days('1996-01-01', '1999-06-30')}
-AND status = 'F' AND task_type = 'ECONOMY' AND environment = 'CHINA - Cloud' AND log_type = 'Mass Ingestion'""")
+AND status = 'F' AND task_type = 'ECONOMY' AND environment = 'NATION_7 - Cloud' AND log_type = 'Mass Ingestion'""")
 def tasks_in_range(spark, d):
-    f = TaskFilter("1996-01-01", "1999-06-30", status="F", task_type="ECONOMY", environment="CHINA - Cloud",
+    f = TaskFilter("1996-01-01", "1999-06-30", status="F", task_type="ECONOMY", environment="NATION_7 - Cloud",
                    log_type="Mass Ingestion")
     return row_columns(FL.tasks_in_range(tasks_tpch(spark, d), f))
 
