@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that mean "no value" in a text cell (trimmed, lower case).
@@ -15,11 +17,14 @@ NULL_TOKENS = [
 ]
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_YEAR_FIRST = r"^\s*\d{4}[-/]"
-_THREE_PARTS = r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?:[ T]+(.*?))?\s*$"
-_SHORT_YEAR_20 = r"^\s*(\d{1,2}[-/.]\d{1,2}[-/.])([0-6]\d)(?=\s|T|$)"
-_SHORT_YEAR_19 = r"^\s*(\d{1,2}[-/.]\d{1,2}[-/.])([7-9]\d)(?=\s|T|$)"
-_CLOCK_12H = r"(?i)\d\s*[ap]m\s*$"
+_YEAR_FIRST = r"^\d{4}[-/]"
+_ISO_DATE = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})[T\s]*"
+_THREE_PARTS = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})[T\s]*"
+_SHORT_YEAR = r"^(\d{1,2}[-/.]\d{1,2}[-/.])(\d{2})(?=\s|T|$)"
+_NINETIES = r"^\d{1,2}[-/.]\d{1,2}[-/.][7-9]"
+_HALF_DAY = r"\d\s*[AaPp][Mm]$"
+_MONTH_NAME = r"[A-Za-z]{3}"
+_AM_PM = r"\s*[AaPp][Mm]$"
 TIME_ONLY = r"^\s*\d{1,2}(:\d{2}){1,2}(\.\d+)?\s*$"
 
 # Date texts with month names, tried after the numeric forms.
@@ -59,37 +64,66 @@ def text_number_or_zero(c: Column) -> Column:
     return F.coalesce(number(c), F.lit(0.0))
 
 
-def timestamp(c: Column) -> Column:
-    """Text to timestamp. Year-first text is ISO; other numeric dates are read day first and,
-    where that is no calendar date, month first."""
-    iso = F.regexp_replace(F.trim(c), r"^(\d{4})/(\d{1,2})/", "$1-$2-")
-    iso = F.regexp_replace(iso, r"^(\S+)\s+(\S)", "$1 $2").try_cast("timestamp")
+def with_timestamps(df: DataFrame, cells: Mapping[str, Column]) -> DataFrame:
+    """Adds timestamp columns read from text cells. Year-first text is ISO; other numeric dates are
+    read day first and, where that is no calendar date, month first.
+
+    Dates are rewritten to ISO text and cast, which stays cheap for cells that do not fit; only
+    dates with a month name go through format patterns. Every step is a projection of its own,
+    because the later ones use its result more than once."""
+    names = list(cells)
+
+    def step(df: DataFrame, part: str, build: Callable[[Callable[[str], Column]], Column]) -> DataFrame:
+        def own(name: str) -> Callable[[str], Column]:
+            return lambda earlier: F.col(f"_{earlier}_{name}")
+
+        return df.withColumns({f"_{part}_{n}": build(own(n)) for n in names})
+
+    df = df.withColumns({f"_text_{n}": F.trim(c) for n, c in cells.items()})
+    df = step(df, "day", lambda c: F.regexp_extract(c("text"), _SHORT_YEAR, 1))
+    df = step(df, "half", lambda c: c("text").rlike(_HALF_DAY))
+    df = step(df, "bare", _bare_date)
+    df = step(df, "moment", _moment)
+    df = step(df, "hour", lambda c: F.when(c("half"), F.hour(c("moment"))))
+    df = df.withColumns({n: _on_clock(n) for n in names})
+    return df.drop(*[f"_{part}_{n}" for part in ("text", "day", "half", "bare", "moment", "hour") for n in names])
 
-    full_year = F.regexp_replace(F.regexp_replace(c, _SHORT_YEAR_20, "$120$2"), _SHORT_YEAR_19, "$119$2")
-    clock = F.coalesce(F.nullif(F.regexp_extract(full_year, _THREE_PARTS, 4), F.lit("")), F.lit("00:00"))
 
-    def assembled(year: int, month: int, day: int) -> Column:
-        date_text = F.concat_ws("-", *[F.regexp_extract(full_year, _THREE_PARTS, g) for g in (year, month, day)])
-        plain = F.concat_ws(" ", date_text, clock).try_cast("timestamp")
-        half_day = F.coalesce(*[
-            F.try_to_timestamp(F.concat_ws(" ", date_text, F.upper(F.regexp_replace(clock, r"\s*([AaPp][Mm])$", " $1"))), F.lit(f))
-            for f in ("y-M-d h:m:s a", "y-M-d h:m a")
-        ])
-        return F.when(clock.rlike(_CLOCK_12H), half_day).otherwise(plain)
+def _bare_date(c: Callable[[str], Column]) -> Column:
+    """Text with a four-digit year and without AM or PM."""
+    century = F.when(c("text").rlike(_NINETIES), F.lit("19")).otherwise(F.lit("20"))
+    rest = F.substring(c("text"), F.length(c("day")) + 1, F.length(c("text")))
+    full_year = F.when(c("day") != "", F.concat(c("day"), century, rest)).otherwise(c("text"))
+    return F.when(c("half"), F.regexp_replace(full_year, _AM_PM, "")).otherwise(full_year)
 
-    numeric = F.coalesce(assembled(3, 2, 1), assembled(3, 1, 2))
-    named = F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in _NAMED_MONTH_FORMATS])
+
+def _moment(c: Callable[[str], Column]) -> Column:
+    bare = c("bare")
+
+    def dated(pattern: str, order: str) -> Column:
+        return F.regexp_replace(bare, pattern, order).try_cast("timestamp")
+
+    named = F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in _NAMED_MONTH_FORMATS])
     return (
-        F.when(is_missing(c), F.lit(None).cast("timestamp"))
-        .when(c.rlike(_YEAR_FIRST), iso)
-        .when(full_year.rlike(_THREE_PARTS), numeric)
-        .when(c.rlike(r"[A-Za-z]{3}"), named)
+        F.when(bare.rlike(_YEAR_FIRST), dated(_ISO_DATE, "$1-$2-$3 "))
+        .when(bare.rlike(_THREE_PARTS), F.coalesce(dated(_THREE_PARTS, "$3-$2-$1 "), dated(_THREE_PARTS, "$3-$1-$2 ")))
+        .when(bare.rlike(_MONTH_NAME) & ~is_missing(bare), named)
     )
 
 
-def full_start(start: Column, dates: list[Column], run_date: Column) -> Column:
-    """Timestamp of a start cell. A cell with a clock time only takes the date of the first of
-    ``dates`` that has one, else the date of the import."""
-    day = F.coalesce(*[F.to_date(timestamp(d)) for d in dates], run_date)
+def _on_clock(name: str) -> Column:
+    """Moves a 12-hour clock time to its half of the day."""
+    hour, pm = F.col(f"_hour_{name}"), F.upper(F.col(f"_text_{name}")).endswith("PM")
+    shift = F.when(pm & (hour < 12), 12).when(~pm & (hour == 12), -12).otherwise(0)
+    moment = F.col(f"_moment_{name}")
+    half = F.when(hour.between(1, 12), F.timestamp_add("HOUR", shift, moment))
+    return F.when(F.col(f"_half_{name}"), half).otherwise(moment)
+
+
+def with_full_start(df: DataFrame, name: str, start: Column, dates: list[Column], run_date: Column) -> DataFrame:
+    """Adds the timestamp of a start cell. A cell with a clock time only takes the date of the
+    first of ``dates`` (timestamps) that has one, else the date of the import."""
+    day = F.coalesce(*[F.to_date(d) for d in dates], run_date)
     on_day = F.concat_ws(" ", day.cast("string"), F.trim(start)).try_cast("timestamp")
-    return F.when(start.rlike(TIME_ONLY), on_day).otherwise(timestamp(start))
+    df = with_timestamps(df, {"_full": start})
+    return df.withColumn(name, F.when(start.rlike(TIME_ONLY), on_day).otherwise(F.col("_full"))).drop("_full")

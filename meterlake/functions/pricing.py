@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.functions.cells import number_or_zero
@@ -35,6 +37,30 @@ def eff_cost(p: Pricing) -> Column:
     return F.coalesce(F.col("cost"), eff_ipus(p) * F.lit(p.unit_cost))
 
 
+@dataclass(frozen=True)
+class Usage:
+    """Amounts and run count of a frame's rows."""
+
+    ipus: Column
+    cost: Column
+    weight: Column
+
+    def runs(self, hit: Column | None = None) -> Column:
+        """Aggregate: number of runs, of all rows or of those that meet a condition."""
+        counted = self.weight if hit is None else F.when(hit, self.weight)
+        return F.coalesce(F.sum(counted), F.lit(0)).cast("long")
+
+
+WEIGHT = "run_weight"
+
+
+def usage(df: DataFrame, p: Pricing) -> Usage:
+    """Task rows count once and are priced; daily cells carry sums and the number of runs."""
+    if WEIGHT in df.columns:
+        return Usage(F.col("ipus"), F.col("cost"), F.col(WEIGHT))
+    return Usage(exact(eff_ipus(p)), exact(eff_cost(p)), F.lit(1).cast("long"))
+
+
 def minutes_between(start: Column, end: Column) -> Column:
     return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(60_000_000.0)
 

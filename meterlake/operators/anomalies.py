@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlake.functions.pricing import eff_cost, eff_ipus, exact_sum, shown
+from meterlake.functions.pricing import exact_sum, shown, usage
 from meterlake.operators.compare import named
 from meterlake.operators.filters import Day, TaskFilter, as_date, in_days, log_type_is
 from meterlake.operators.stats import daily_stats
@@ -89,10 +89,11 @@ def task_spikes(
 
     def task_days(start: dt.date, stop: dt.date) -> DataFrame:
         keys = [F.col("end_date").alias("task_date"), *map(F.col, ("task_name", "task_id", "org", "project_name"))]
+        used = usage(rows, pricing)
         return rows.where(in_days(rows, start, stop)).groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("run_count"),
-            shown(exact_sum(eff_ipus(pricing)), 8).alias("daily_ipus"),
-            shown(exact_sum(eff_cost(pricing)), 8).alias("daily_cost"),
+            used.runs().alias("run_count"),
+            shown(exact_sum(used.ipus), 8).alias("daily_ipus"),
+            shown(exact_sum(used.cost), 8).alias("daily_cost"),
         )
 
     baseline = (
@@ -136,8 +137,9 @@ def task_history(tasks: DataFrame, keys: DataFrame, start: Day, end: Day, pricin
     """Units and runs per day of the given (org, project_name, task_name[, task_id]) keys."""
     on = [*TASK_KEY, "task_id"] if "task_id" in keys.columns else TASK_KEY
     rows = named(tasks.where(in_days(tasks, start, end)))
+    used = usage(rows, pricing)
     daily = rows.groupBy(F.col("end_date").alias("date"), *on).agg(
-        exact_sum(eff_ipus(pricing)).alias("total_ipus"), F.count(F.lit(1)).alias("runs")
+        exact_sum(used.ipus).alias("total_ipus"), used.runs().alias("runs")
     )
     wanted = keys.select(*[F.coalesce(c, F.lit("(Unknown)")).alias(c) if c != "task_id" else F.col(c) for c in on])
     found = daily.join(wanted.distinct(), on, "left_semi")
@@ -184,7 +186,7 @@ def anomaly_drivers(tasks: DataFrame, days: DataFrame, start: Day, end: Day, pri
     wanted = days.select(F.col("date").alias("end_date")).distinct()
     cells = (
         rows.groupBy("end_date", "project_name", "task_name")
-        .agg(exact_sum(eff_ipus(pricing)).alias("ipus"))
+        .agg(exact_sum(usage(rows, pricing).ipus).alias("ipus"))
         .join(wanted, "end_date", "left_semi")
     )
     sides = F.array(

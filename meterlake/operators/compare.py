@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions.labels import arrow, env_base, label, log_type_label, org_label, percent_change, trend
-from meterlake.functions.pricing import eff_cost, eff_ipus, exact, shown
+from meterlake.functions.pricing import shown, usage
 from meterlake.operators.filters import Day, as_date, in_days, log_type_is
 from meterlake.schema import Pricing
 
@@ -103,17 +103,15 @@ def in_periods(df: DataFrame, periods: Sequence[Period]) -> Column:
     return span & reduce(lambda x, y: x | y, windows)
 
 
-def _measures(periods: Sequence[Period], pricing: Pricing) -> list[Column]:
-    ipus, cost = exact(eff_ipus(pricing)), exact(eff_cost(pricing))
+def _measures(df: DataFrame, periods: Sequence[Period], pricing: Pricing) -> list[Column]:
+    used = usage(df, pricing)
     out = []
     for i, p in enumerate(periods):
         for side, a, b in (("cur", p.start, p.end), ("prev", p.prev_start, p.prev_end)):
             inside = _between(F.col("end_date"), a, b)
-            out += [
-                F.count(F.when(inside, 1)).alias(f"runs_{side}_{i}"),
-                F.coalesce(F.sum(F.when(inside, ipus)), F.lit(0)).alias(f"ipus_{side}_{i}"),
-                F.coalesce(F.sum(F.when(inside, cost)), F.lit(0)).alias(f"cost_{side}_{i}"),
-            ]
+            out.append(used.runs(inside).alias(f"runs_{side}_{i}"))
+            for name, amount in (("ipus", used.ipus), ("cost", used.cost)):
+                out.append(F.coalesce(F.sum(F.when(inside, amount)), F.lit(0)).alias(f"{name}_{side}_{i}"))
     return out
 
 
@@ -137,7 +135,7 @@ def changes(
 ) -> DataFrame:
     """Runs, units and cost of both windows of every period, per key. A key that is present in one
     window only has zeros for the other, and NULL keys compare with NULL keys."""
-    grouped = tasks.where(in_periods(tasks, periods)).groupBy(*keys).agg(*_measures(periods, pricing))
+    grouped = tasks.where(in_periods(tasks, periods)).groupBy(*keys).agg(*_measures(tasks, periods, pricing))
     names = [c for c in grouped.columns if not c.startswith(("runs_", "ipus_", "cost_"))]
     return _periods_to_rows(grouped, names, periods)
 
@@ -156,7 +154,7 @@ def window_changes(
 
 def period_totals(tasks: DataFrame, periods: Sequence[Period], pricing: Pricing = Pricing()) -> DataFrame:
     """Total units of each window; also where a window has no rows."""
-    wide = tasks.where(in_periods(tasks, periods)).agg(*_measures(periods, pricing))
+    wide = tasks.where(in_periods(tasks, periods)).agg(*_measures(tasks, periods, pricing))
     rows = [
         F.struct(
             F.lit(p.name).alias("period"), F.lit(side).alias("side"),
@@ -180,7 +178,7 @@ def period_compare(
     log_name = log_type_label().alias("log_type")
     cells = tasks.where(in_periods(tasks, periods)).groupBy(
         log_name, org_label().alias("org"), env_base(F.col("environment")).alias("environment")
-    ).agg(*_measures(periods, pricing))
+    ).agg(*_measures(tasks, periods, pricing))
     scoped = F.lit(True) if not log_type else F.col("log_type") == log_type
     sides = F.array(
         F.struct(F.lit("log_type").alias("dimension"), F.col("log_type").alias("value"), F.lit(True).alias("kept")),
@@ -224,7 +222,7 @@ def org_top_changes(tasks: DataFrame, period: Period, pricing: Pricing = Pricing
     units per run."""
     rows = named(tasks)
     cells = rows.where(in_periods(rows, [period])).groupBy("org", "project_name", "task_name").agg(
-        *_measures([period], pricing)
+        *_measures(rows, [period], pricing)
     )
     sides = F.array(
         F.struct(F.lit("project").alias("kind"), F.col("project_name").alias("name")),

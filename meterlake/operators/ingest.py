@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.functions import pricing as P
-from meterlake.functions.cells import fill_missing, full_start, is_missing, number, text_number_or_zero, timestamp
+from meterlake.functions.cells import (
+    fill_missing, is_missing, number, text_number_or_zero, with_full_start, with_timestamps,
+)
 from meterlake.functions.identity import row_hash
 from meterlake.functions.labels import base_org, bulk_org, is_bulk_org
 from meterlake.schema import BULK, BULK_SUFFIX, STANDARD_COLUMNS, TASK, TASKS_SCHEMA, Pricing
@@ -106,18 +108,20 @@ def fill_bulk_cells(cells: DataFrame, present: set[str]) -> DataFrame:
     """Completes bulk-ingestion cells. ``present`` names the standard columns the file has; the
     steps build on each other in this order."""
 
-    def day(name: str) -> Column:
-        return F.date_format(timestamp(F.col(name)), "yyyy-MM-dd")
+    def with_day(df: DataFrame, source: str) -> DataFrame:
+        dated = with_timestamps(df, {"_day": F.col(source)})
+        return dated.withColumn("_day", F.date_format("_day", "yyyy-MM-dd"))
 
     have = set(present)
     if "Date" in have:
+        cells = with_day(cells, "Date")
         to_fill = is_missing(F.col("End Time")) & ~is_missing(F.col("Date"))
-        start = F.when(to_fill & is_missing(F.col("Start Time")), F.concat(day("Date"), F.lit(START_OF_DAY)))
-        end = F.when(to_fill, F.concat(day("Date"), F.lit(END_OF_DAY)))
+        start = F.when(to_fill & is_missing(F.col("Start Time")), F.concat("_day", F.lit(START_OF_DAY)))
+        end = F.when(to_fill, F.concat("_day", F.lit(END_OF_DAY)))
         cells = cells.withColumns({
             "Start Time": F.when(to_fill & is_missing(F.col("Start Time")), start).otherwise(F.col("Start Time")),
             "End Time": F.when(to_fill, end).otherwise(F.col("End Time")),
-        })
+        }).drop("_day")
         have.add("End Time")
     if "Utilization (Bytes)" in have:
         volume = (number(F.col("Utilization (Bytes)")) / BYTES_PER_GB).cast("string")
@@ -136,25 +140,27 @@ def fill_bulk_cells(cells: DataFrame, present: set[str]) -> DataFrame:
         status = F.when(still_open, F.lit("Running")).otherwise(status)
         end = F.col("End Time")
         if "Metering Date (UTC)" in have:
-            metered_day = F.concat(day("Metering Date (UTC)"), F.lit(END_OF_DAY))
+            cells = with_day(cells, "Metering Date (UTC)")
+            metered_day = F.concat("_day", F.lit(END_OF_DAY))
             end = F.when(still_open & ~is_missing(F.col("Metering Date (UTC)")), metered_day).otherwise(end)
-        return cells.withColumns({"Status": status, "End Time": end})
+        return cells.withColumns({"Status": status, "End Time": end}).drop("_day")
     return cells.withColumn("Status", status)
 
 
 def typed_rows(cells: DataFrame, run_date: dt.date) -> DataFrame:
     """Text cells to typed columns under our names. The run date is the day of the import."""
     imported = F.lit(run_date)
-    start = full_start(F.col("Start Time"), [F.col("Audit Time"), F.col("End Time")], imported)
+    kept = [c for c in cells.columns if c not in STANDARD_COLUMNS and c not in RAW_ONLY]
+    cells = with_timestamps(cells, {"_end": F.col("End Time"), "_audit": F.col("Audit Time")})
+    cells = with_full_start(cells, "_start", F.col("Start Time"), [F.col("_audit"), F.col("_end")], imported)
     typed = {
-        "start_time": start,
-        "end_time": timestamp(F.col("End Time")),
-        "audit_time": timestamp(F.col("Audit Time")),
+        "start_time": F.col("_start"),
+        "end_time": F.col("_end"),
+        "audit_time": F.col("_audit"),
         "metered_value": number(F.col("Metered Value")),
         "cores_used": number(F.col("Cores Used")),
         "run_date": imported,
     }
-    kept = [c for c in cells.columns if c not in STANDARD_COLUMNS and c not in RAW_ONLY]
     computed = ("ipus", "cost")
     columns = [
         typed.get(ours, F.col(std)).alias(ours) for std, ours in STANDARD_COLUMNS.items() if ours not in computed

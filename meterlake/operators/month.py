@@ -320,14 +320,16 @@ def task_drivers(
     log_type: str | None = None, pricing: Pricing = Pricing(), first: int = 40, n: int = 25,
 ) -> DataFrame:
     """The ``first`` tasks by units, ordered by their project's total, cut to ``n``."""
-    rows = _driver_rows(tasks, start, end, days, orgs, log_type)
-    per_task = rows.groupBy(*task_keys()).agg(*_driver_sums(pricing))
+    org, project, task = task_keys()
+    cells = (
+        _driver_rows(tasks, start, end, days, orgs, log_type)
+        .groupBy(org, "project_name", task).agg(exact_sum(eff_ipus(pricing)).alias("ipus"))
+    )
+    per_task = cells.groupBy("org", project, "task_name").agg(F.sum("ipus").alias("ipus"))
     top = per_task.orderBy(F.desc("ipus"), "org", "project_name", "task_name").limit(first)
     top = top.replace({"(No project)": "-"}, subset=["project_name"])
-    projects = rows.where(F.col("project_name").isNotNull()).groupBy("project_name").agg(
-        exact_sum(eff_ipus(pricing)).alias("project_ipus")
-    )
-    grand = rows.agg(exact_sum(eff_ipus(pricing)).alias("ipus")).scalar()
+    projects = cells.where(F.col("project_name").isNotNull()).groupBy("project_name").agg(F.sum("ipus").alias("project_ipus"))
+    grand = cells.agg(F.coalesce(F.sum("ipus"), F.lit(0)).alias("ipus")).scalar()
     in_top = F.sum("ipus").over(Window.partitionBy("project_name"))
     placed = top.join(projects, "project_name", "left").withColumn("project_ipus", F.coalesce("project_ipus", in_top))
     pct = F.when(grand > 0, F.col("ipus").cast("double") / grand.cast("double") * 100).otherwise(F.lit(0.0))

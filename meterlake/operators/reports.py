@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from meterlake.functions.labels import arrow, display_date, display_range, grouped, org_label, signed
 from meterlake.operators import anomalies as A
 from meterlake.operators import compare as C
+from meterlake.operators.cells import daily_cells, kept
 from meterlake.operators.filters import Day, TaskFilter, as_date
 from meterlake.operators.series import coverage_gaps, missing_ranges
 from meterlake.schema import Pricing
 
+SPIKE_HISTORY = 180  # days of the spike watch: 90 current, 90 before
 LINE = ["section", "rank", "place", "name", "line_no", "text"]
 # Titles of the periods in the change lists.
 CHANGE_TITLES = {"Past week": "Past Week", "Past calendar month": "Month-to-date", "Past 30 days": "Past 30 Days"}
@@ -161,18 +163,20 @@ def narrative(
     """Narrative summary of the chosen periods: totals, comparisons by dimension, changed projects
     and tasks, and task spikes."""
     periods = [p for p in C.report_periods(anchor, whole_months) if p.name in show]
-    compared = C.period_compare(tasks, periods, pricing, log_type)
+    first = min(p.prev_start for p in periods)
+    tasks = kept(daily_cells(tasks, first, max(p.end for p in periods), pricing), "report-cells")
+    compared = kept(C.period_compare(tasks, periods, pricing, log_type), "report-dimensions")
     parts = [_total_lines(tasks, periods, pricing)]
     parts += _dimension_lines(compared, "log_type", "Log type", 2)
     parts += _dimension_lines(compared, "org", "Organization", 3)
     if show_environment:
         parts += _dimension_lines(compared, "environment", "Environment", 4)
-    parts += _project_lines(C.project_changes(tasks, periods, pricing, log_type), 5)
-    parts += _task_lines(C.task_changes(tasks, periods, pricing, log_type), 6)
+    parts += _project_lines(kept(C.project_changes(tasks, periods, pricing, log_type), "report-projects"), 5)
+    parts += _task_lines(kept(C.task_changes(tasks, periods, pricing, log_type), "report-tasks"), 6)
     titles = {"Past week": "Past Week", "Past calendar month": "Month", "Past 30 days": "Rolling Month"}
     for i, p in enumerate(periods):
         days = (p.end - p.start).days + 1
-        spikes = A.task_spikes(tasks, p.end, days, days, log_type=log_type, pricing=pricing)
+        spikes = kept(A.task_spikes(tasks, p.end, days, days, log_type=log_type, pricing=pricing), "report-spikes")
         parts += _spike_lines(spikes, 8 + i, f"Task Spikes ({titles[p.name]}):")
     return report(parts)
 
@@ -184,6 +188,8 @@ def executive(
     unusual days with their driver, and task spikes."""
     spark = tasks.sparkSession
     end = as_date(anchor)
+    first = end - dt.timedelta(days=SPIKE_HISTORY - 1)
+    tasks = kept(daily_cells(tasks, min(first, *(p.prev_start for p in C.executive_periods(anchor, today))), end, pricing), "report-cells")
     titles = {"weekly": "Weekly Change", "monthly_30d": "Monthly Change (Rolling 30 Days)",
               "monthly_calendar": "Monthly Change (Calendar Month)", "quarterly": "Quarterly Change"}
     parts = [
@@ -208,25 +214,34 @@ def executive(
         ]
         for j, (key, word) in enumerate((("org", "Organizations"), ("project_name", "Projects"))):
             moved = C.movers(C.window_changes(tasks, [_mover_key(key)], p, pricing), key).where(F.col(key).isNotNull())
-            for k, direction in enumerate(("up", "down")):
-                names = moved.where(F.col("direction") == direction).agg(
-                    F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", key))), lambda x: x[key]), ", ").alias("names")
-                )
-                listed = F.coalesce(F.nullif("names", F.lit("")), F.lit("none material"))
-                parts.append(lines(names, section + 1, F.concat(F.lit(f"- {word} trending {direction}: "), listed, F.lit(".")), rank=2 * j + k))
+            placed = F.array_sort(F.collect_list(F.struct("place", F.col(key).cast("string").alias("name"), "direction")))
+            texts = [
+                F.struct(F.lit(2 * j + k).alias("nth"), F.concat(
+                    F.lit(f"- {word} trending {direction}: "), _names_or_none(F.col("placed"), direction), F.lit("."),
+                ).alias("text"))
+                for k, direction in enumerate(("up", "down"))
+            ]
+            listed = moved.agg(placed.alias("placed")).select(F.inline(F.array(*texts)))
+            parts.append(lines(listed, section + 1, F.col("text"), rank=F.col("nth")))
         parts += _org_split_lines(tasks, p, section + 2, pricing)
     start = end - dt.timedelta(days=89)
     parts += _anomaly_lines(tasks, start, end, 90, pricing)
-    parts += _spike_lines(A.task_spikes(tasks, end, pricing=pricing), 91, "Task Spike Watch")
+    parts += _spike_lines(kept(A.task_spikes(tasks, end, pricing=pricing), "report-spikes"), 91, "Task Spike Watch")
     return report(parts)
 
 
+def _names_or_none(placed: Column, direction: str) -> Column:
+    names = F.transform(F.filter(placed, lambda x: x["direction"] == direction), lambda x: x["name"])
+    return F.when(F.size(names) > 0, F.array_join(names, ", ")).otherwise(F.lit("none material"))
+
+
 def _mover_key(key: str) -> Column:
     return org_label().alias("org") if key == "org" else F.col(key)
 
 
 def _org_split_lines(tasks: DataFrame, p: C.Period, section: int, pricing: Pricing) -> list[DataFrame]:
-    orgs = C.window_changes(C.named(tasks), ["org"], p, pricing)
+    tasks = tasks.withColumn("org", org_label())
+    orgs = C.window_changes(tasks, ["org"], p, pricing)
     direction = F.when(F.col("delta_ipus") >= 0, "Increased").otherwise("Decreased")
     heads = lines(
         orgs, section,
@@ -234,8 +249,6 @@ def _org_split_lines(tasks: DataFrame, p: C.Period, section: int, pricing: Prici
         place=-F.col("delta_ipus"), name=F.col("org"),
     )
     detail = C.org_top_changes(tasks, p, pricing).join(orgs.select("org", F.col("delta_ipus").alias("org_delta")), "org")
-    project = detail.where(F.col("kind") == "project")
-    task = detail.where(F.col("kind") == "task")
     changed = F.when(F.col("delta_ipus") >= 0, "increased").otherwise("decreased")
     runs = (
         F.when(F.col("delta_runs") > 0, F.format_string("up %+,d runs (%d → %d)", "delta_runs", "runs_prev", "runs_cur"))
@@ -248,13 +261,16 @@ def _org_split_lines(tasks: DataFrame, p: C.Period, section: int, pricing: Prici
                  F.lit(" ("), signed(F.col("delta_ipus")), F.lit(")")),
         F.concat(F.lit("      - IPU/run: "), _per_run(F.col("ipus_per_run_prev")), F.lit(" → "), _per_run(F.col("ipus_per_run_cur"))),
     ]
-    keys = {"place": -F.col("org_delta"), "name": F.col("org")}
     project_text = F.concat(F.lit("  - "), F.col("name"), F.lit(": "), changed, F.lit(" "), grouped(F.abs("delta_ipus")), F.lit(" IPUs"))
-    return [
-        heads,
-        lines(project, section, project_text, line_no=1, **keys),
-        *[lines(task, section, t, line_no=F.col("place") * 10 + i, **keys) for i, t in enumerate(task_texts)],
-    ]
+
+    def numbered(nth: Column, text: Column) -> Column:
+        return F.struct(nth.alias("nth"), text.alias("text"))
+
+    texts = F.when(F.col("kind") == "project", F.array(numbered(F.lit(1), project_text))).otherwise(
+        F.array(*[numbered(F.col("place") * 10 + i, t) for i, t in enumerate(task_texts)])
+    )
+    detail_lines = detail.select("org", "org_delta", F.inline(texts))
+    return [heads, lines(detail_lines, section, F.col("text"), place=-F.col("org_delta"), name=F.col("org"), line_no=F.col("nth"))]
 
 
 def _per_run(rate: Column) -> Column:
@@ -267,7 +283,7 @@ def _per_run(rate: Column) -> Column:
 
 
 def _anomaly_lines(tasks: DataFrame, start: dt.date, end: dt.date, section: int, pricing: Pricing) -> list[DataFrame]:
-    days = A.daily_anomalies(tasks, start, end, pricing=pricing)
+    days = kept(A.daily_anomalies(tasks, start, end, pricing=pricing), "report-days")
     top = days.orderBy(F.desc("z_score"), "date").limit(3)
     drivers = A.anomaly_drivers(tasks, top, start, end, pricing)
     listed = top.join(drivers, "date", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.cells import number_or_zero
 from meterlake.functions.labels import env_base, label, log_type_label, org_label
-from meterlake.functions.pricing import eff_cost, eff_ipus, exact_sum, minutes_between, shown
+from meterlake.functions.pricing import exact_sum, minutes_between, shown, usage
 from meterlake.operators.filters import Day, TaskFilter, as_date, in_days, sliced
 from meterlake.operators.quantiles import exact_quantiles, long_form
 from meterlake.schema import Pricing
@@ -22,10 +22,11 @@ def day_key() -> Column:
 def totals(df: DataFrame, keys: Sequence[Column], pricing: Pricing, unique: bool = False) -> DataFrame:
     """Row count and exact unit and cost totals per key, all partially aggregated before the
     shuffle. ``unique`` adds the number of distinct task ids."""
+    used = usage(df, pricing)
     measures = [
-        F.count(F.lit(1)).alias("task_count"),
-        exact_sum(eff_ipus(pricing)).alias("total_ipus"),
-        exact_sum(eff_cost(pricing)).alias("total_cost"),
+        used.runs().alias("task_count"),
+        exact_sum(used.ipus).alias("total_ipus"),
+        exact_sum(used.cost).alias("total_cost"),
     ]
     if unique:
         measures.append(F.countDistinct("task_id").alias("unique_tasks"))

@@ -42,7 +42,7 @@ def parse_timestamps(spark, d):
         F.when(F.col("l_linenumber") % 3 == 0, F.lit(" NaT ")).otherwise(F.date_format(day, "dd-MMM-yyyy")).alias("named_text"),
         F.date_format(day, "dd/MM/yy").alias("short_year_text"),
     )
-    return raw.select("l_orderkey", "l_linenumber", *[K.timestamp(F.col(c)).alias(c) for c in raw.columns[2:]])
+    return K.with_timestamps(raw, {c: F.col(c) for c in raw.columns[2:]})
 
 
 @register("parse_numbers", """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 6 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL
@@ -70,8 +70,9 @@ def start_times(spark, d):
         F.when(kind == 1, F.date_format(ts, "dd/MM/yyyy")).when(kind == 2, "nat").alias("audit"),
         F.when(kind == 2, F.date_format(ts, "yyyy-MM-dd 23:59:59")).when(kind == 1, "2001-01-01").alias("end"),
     )
-    start = K.full_start(F.col("start"), [F.col("audit"), F.col("end")], F.lit(RUN_DATE))
-    return raw.select("event_id", start.alias("start_time"))
+    raw = K.with_timestamps(raw, {"audited": F.col("audit"), "ended": F.col("end")})
+    full = K.with_full_start(raw, "start_time", F.col("start"), [F.col("audited"), F.col("ended")], F.lit(RUN_DATE))
+    return full.select("event_id", "start_time")
 
 
 @register("standard_headers", """SELECT CAST(l_orderkey AS VARCHAR) AS task_run_id, CAST(l_partkey AS VARCHAR) AS task_id,

@@ -6,6 +6,7 @@ are parsed once and a lost executor costs no more than its tasks."""
 from __future__ import annotations
 
 import datetime as dt
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -144,7 +145,8 @@ def record_event(
     spark: SparkSession, root: str, action: str, start: dt.date | None, end: dt.date | None,
     affected: int | None, remaining: int | None, note: str | None, created_at: dt.datetime,
 ) -> None:
-    row = (uuid.uuid4().hex, action, start, end, affected, remaining, note, created_at)
+    event_id = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"  # in order of recording
+    row = (event_id, action, start, end, affected, remaining, note, created_at)
     spark.createDataFrame([row], EVENTS_SCHEMA).coalesce(1).write.mode("append").parquet(events_path(root))
 
 

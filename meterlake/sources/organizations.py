@@ -142,9 +142,10 @@ def file_name_orgs(files: DataFrame, catalog: DataFrame) -> DataFrame:
     first = catalog.agg(F.min(F.struct("sort_order", "name"))["name"]).scalar()
     name = compact(F.col("file_name"))
     bulk = (F.coalesce(F.col("log_type"), F.lit("")) == BULK) | bulk_file_name(name)
-    match = F.get(F.filter(patterns, lambda p: name.contains(p["token"])), F.lit(0))["name"]
+    match = F.get(F.filter("_patterns", lambda p: name.contains(p["token"])), F.lit(0))["name"]
     base = F.coalesce(match, first)
-    return files.withColumn("org", F.when(bulk, bulk_org(base)).otherwise(base))
+    known = files.withColumn("_patterns", patterns)
+    return known.withColumn("org", F.when(bulk, bulk_org(base)).otherwise(base)).drop("_patterns")
 
 
 def distinct_file_orgs(
