@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlake.functions.pricing import exact_sum, shown, usage
+from meterlake.functions.pricing import shown, usage
 from meterlake.operators.compare import named
 from meterlake.operators.filters import Day, TaskFilter, as_date, in_days, log_type_is
 from meterlake.operators.stats import daily_stats
@@ -92,8 +92,8 @@ def task_spikes(
         used = usage(rows, pricing)
         return rows.where(in_days(rows, start, stop)).groupBy(*keys).agg(
             used.runs().alias("run_count"),
-            shown(exact_sum(used.ipus), 8).alias("daily_ipus"),
-            shown(exact_sum(used.cost), 8).alias("daily_cost"),
+            shown(used.total(used.ipus), 8).alias("daily_ipus"),
+            shown(used.total(used.cost), 8).alias("daily_cost"),
         )
 
     baseline = (
@@ -139,7 +139,7 @@ def task_history(tasks: DataFrame, keys: DataFrame, start: Day, end: Day, pricin
     rows = named(tasks.where(in_days(tasks, start, end)))
     used = usage(rows, pricing)
     daily = rows.groupBy(F.col("end_date").alias("date"), *on).agg(
-        exact_sum(used.ipus).alias("total_ipus"), used.runs().alias("runs")
+        used.total(used.ipus).alias("total_ipus"), used.runs().alias("runs")
     )
     wanted = keys.select(*[F.coalesce(c, F.lit("(Unknown)")).alias(c) if c != "task_id" else F.col(c) for c in on])
     found = daily.join(wanted.distinct(), on, "left_semi")
@@ -184,9 +184,10 @@ def anomaly_drivers(tasks: DataFrame, days: DataFrame, start: Day, end: Day, pri
     The project wins a tie, and the smaller of the two is not tried."""
     rows = named(tasks.where(in_days(tasks, start, end)))
     wanted = days.select(F.col("date").alias("end_date")).distinct()
+    used = usage(rows, pricing)
     cells = (
         rows.groupBy("end_date", "project_name", "task_name")
-        .agg(exact_sum(usage(rows, pricing).ipus).alias("ipus"))
+        .agg(used.total(used.ipus).alias("ipus"))
         .join(wanted, "end_date", "left_semi")
     )
     sides = F.array(

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.functions.pricing import WEIGHT, exact_sum, usage
+from meterlake.functions.pricing import WEIGHT, usage
 from meterlake.operators.filters import Day, in_days
 from meterlake.schema import Pricing
 from meterlake.sources.files import work_dir
@@ -19,7 +19,7 @@ CELL_KEYS = ["end_date", "log_type", "org", "environment", "project_name", "task
 def daily_cells(tasks: DataFrame, start: Day, end: Day, pricing: Pricing = Pricing()) -> DataFrame:
     used = usage(tasks, pricing)
     sums = tasks.where(in_days(tasks, start, end)).groupBy(*CELL_KEYS).agg(
-        exact_sum(used.ipus).alias("ipus"), exact_sum(used.cost).alias("cost"), used.runs().alias(WEIGHT)
+        used.total(used.ipus).alias("ipus"), used.total(used.cost).alias("cost"), used.runs().alias(WEIGHT)
     )
     return sums.withColumn("end_time", F.col("end_date").cast("timestamp"))
 

@@ -111,7 +111,7 @@ def _measures(df: DataFrame, periods: Sequence[Period], pricing: Pricing) -> lis
             inside = _between(F.col("end_date"), a, b)
             out.append(used.runs(inside).alias(f"runs_{side}_{i}"))
             for name, amount in (("ipus", used.ipus), ("cost", used.cost)):
-                out.append(F.coalesce(F.sum(F.when(inside, amount)), F.lit(0)).alias(f"{name}_{side}_{i}"))
+                out.append(used.total(amount, inside).alias(f"{name}_{side}_{i}"))
     return out
 
 

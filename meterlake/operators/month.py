@@ -245,7 +245,7 @@ def log_type_mix(
     rows = _scope(tasks, as_date(start), as_date(end), orgs, None)
 
     def side(hit: Column) -> Column:
-        return F.coalesce(F.sum(F.when(hit, eff_ipus(pricing).cast("decimal(28,8)"))), F.lit(0))
+        return exact_sum(eff_ipus(pricing), hit)
 
     sums = rows.where(log_type_is(TASK) | log_type_is(BULK)).groupBy(base_org(org_label()).alias("family")).agg(
         side(log_type_is(TASK)).alias("task"), side(log_type_is(BULK)).alias("bulk")

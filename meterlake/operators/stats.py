@@ -25,8 +25,8 @@ def totals(df: DataFrame, keys: Sequence[Column], pricing: Pricing, unique: bool
     used = usage(df, pricing)
     measures = [
         used.runs().alias("task_count"),
-        exact_sum(used.ipus).alias("total_ipus"),
-        exact_sum(used.cost).alias("total_cost"),
+        used.total(used.ipus).alias("total_ipus"),
+        used.total(used.cost).alias("total_cost"),
     ]
     if unique:
         measures.append(F.countDistinct("task_id").alias("unique_tasks"))

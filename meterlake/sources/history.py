@@ -1,7 +1,7 @@
 """The task history: a Parquet table partitioned by end month, and its audit log.
 
-One writer at a time. A batch is first written out as a table of its own, so that the log files
-are parsed once and a lost executor costs no more than its tasks."""
+One writer at a time. A batch is first written out as it comes, without a shuffle, so that the log
+files are parsed once and a lost executor costs no more than its tasks."""
 
 from __future__ import annotations
 
@@ -80,19 +80,18 @@ def append_tasks(
     """Adds the rows of a priced batch whose hash is not stored yet and logs the addition.
 
     The hash covers the end time, so a stored copy can only lie in the same month: only those
-    months' hashes are read. Running a batch again adds nothing."""
+    months' hashes are read, and they meet the batch on the partitioning that took out its repeated
+    rows. Running a batch again adds nothing."""
     batch_id = batch_id or uuid.uuid4().hex
     staging = f"{root}/_staging/{batch_id}-{uuid.uuid4().hex}"
-    stamped = {"batch_id": F.lit(batch_id), "created_at": F.lit(created_at)}
-    order = [c for c in ("source_file",) if c in batch.columns]
-    rows = to_tasks(batch.withColumns(stamped))
-    rows = rows.select(*order, *[c for c in TASKS_SCHEMA.names])
-    write_tasks(one_per_hash(rows), staging)
-    staged = spark.read.schema(TASKS_SCHEMA).parquet(staging)
+    rows = to_tasks(batch.withColumns({"batch_id": F.lit(batch_id), "created_at": F.lit(created_at)}))
+    order = [c for c in ("source_file",) if c in rows.columns]
+    rows.select(*order, *TASKS_SCHEMA.names).write.parquet(staging)
+    staged = spark.read.schema(rows.select(*order, *TASKS_SCHEMA.names).schema).parquet(staging)
 
     touched = _in_months(_months(staged))
     stored = read_history(spark, root).where(touched)
-    write_tasks(not_stored(staged, stored), tasks_path(root))
+    write_tasks(not_stored(one_per_hash(staged), stored), tasks_path(root))
 
     history = read_history(spark, root)
     added_rows = history.where(touched & (F.col("batch_id") == batch_id))
