@@ -84,24 +84,35 @@ FIXED_LIMIT = 9e10  # amounts from here on do not fit a long at 8 places
 LOW_BITS = 20
 
 
-def exact_sum(x: Column, hit: Column | None = None) -> Column:
-    """Aggregate: sum of double amounts that does not depend on row order, as decimal(38,8); of the
-    rows that meet a condition if one is given.
-
-    Each amount is taken at 8 places as a long, and its high and low bits are summed apart, so that
-    trillions of rows fit. That costs a fifth of summing decimals. Single amounts of ninety billion
-    and more, where a double has no 8 places, are summed as they are."""
-    if hit is not None:
-        x = F.when(hit, x)
+def fixed_parts(name: str, x: Column) -> dict[str, Column]:
+    """Columns to sum a double amount exactly, apart from one rounding to 8 places: the high and low
+    bits of the amount as a long, and the amount itself where it is too large for that."""
     fits = F.abs(x) < FIXED_LIMIT
     fixed = F.rint(F.when(fits, x) * FIXED_PLACES).cast("long")
-    high = F.sum(F.shiftright(fixed, LOW_BITS)).cast("decimal(19,0)")
-    low = F.sum(fixed.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).cast("decimal(19,0)")
-    units_of_last_place = (high * F.lit(1 << LOW_BITS).cast("decimal(7,0)") + low).cast("decimal(28,0)")
-    total = (units_of_last_place * F.lit("0.00000001").cast("decimal(8,8)")).cast("decimal(38,8)")
-    huge = F.sum(F.when(~fits, x)).cast("decimal(38,8)")
-    zero = F.lit(0).cast("decimal(38,8)")
-    return (F.coalesce(total, zero) + F.coalesce(huge, zero)).cast("decimal(38,8)")
+    return {
+        f"{name}_high": F.shiftright(fixed, LOW_BITS),
+        f"{name}_low": fixed.bitwiseAND(F.lit((1 << LOW_BITS) - 1)),
+        f"{name}_huge": F.when(~fits, x),
+    }
+
+
+def parts_sum(high: Column, low: Column, huge: Column, hit: Column | None = None) -> Column:
+    """Aggregate: total of fixed parts as decimal(38,8), of all rows or of those that meet a condition."""
+
+    def added(part: Column, kind: str) -> Column:
+        return F.coalesce(F.sum(part if hit is None else F.when(hit, part)).cast(kind), F.lit(0).cast(kind))
+
+    last_places = (added(high, "decimal(19,0)") * F.lit(1 << LOW_BITS).cast("decimal(7,0)") + added(low, "decimal(19,0)"))
+    total = (last_places.cast("decimal(28,0)") * F.lit("0.00000001").cast("decimal(8,8)")).cast("decimal(38,8)")
+    return (total + added(huge, "decimal(38,8)")).cast("decimal(38,8)")
+
+
+def exact_sum(x: Column, hit: Column | None = None) -> Column:
+    """Aggregate: sum of double amounts that does not depend on row order, as decimal(38,8).
+
+    Summing bits apart lets trillions of rows fit and costs a fifth of summing decimals. Only
+    single amounts of ninety billion and more, where a double has no 8 places, are summed as they are."""
+    return parts_sum(*fixed_parts("x", x).values(), hit=hit)
 
 
 def shown(c: Column, places: int = 6) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions.labels import arrow, env_base, label, log_type_label, org_label, percent_change, trend
-from meterlake.functions.pricing import shown, usage
+from meterlake.functions.pricing import fixed_parts, parts_sum, shown, usage
 from meterlake.operators.filters import Day, as_date, in_days, log_type_is
 from meterlake.schema import Pricing
 
@@ -103,15 +103,29 @@ def in_periods(df: DataFrame, periods: Sequence[Period]) -> Column:
     return span & reduce(lambda x, y: x | y, windows)
 
 
+def _measured(df: DataFrame, pricing: Pricing) -> DataFrame:
+    """Task rows with the parts of their amounts as columns, so that a row is priced once and not
+    once per window."""
+    used = usage(df, pricing)
+    if used.summed:
+        return df
+    return df.withColumns({**fixed_parts("_ipus", used.ipus), **fixed_parts("_cost", used.cost)})
+
+
 def _measures(df: DataFrame, periods: Sequence[Period], pricing: Pricing) -> list[Column]:
     used = usage(df, pricing)
+
+    def total(name: str, inside: Column) -> Column:
+        if used.summed:
+            return used.total(F.col(name), inside)
+        return parts_sum(*[F.col(f"_{name}_{part}") for part in ("high", "low", "huge")], hit=inside)
+
     out = []
     for i, p in enumerate(periods):
         for side, a, b in (("cur", p.start, p.end), ("prev", p.prev_start, p.prev_end)):
             inside = _between(F.col("end_date"), a, b)
             out.append(used.runs(inside).alias(f"runs_{side}_{i}"))
-            for name, amount in (("ipus", used.ipus), ("cost", used.cost)):
-                out.append(used.total(amount, inside).alias(f"{name}_{side}_{i}"))
+            out += [total(name, inside).alias(f"{name}_{side}_{i}") for name in ("ipus", "cost")]
     return out
 
 
@@ -135,6 +149,7 @@ def changes(
 ) -> DataFrame:
     """Runs, units and cost of both windows of every period, per key. A key that is present in one
     window only has zeros for the other, and NULL keys compare with NULL keys."""
+    tasks = _measured(tasks, pricing)
     grouped = tasks.where(in_periods(tasks, periods)).groupBy(*keys).agg(*_measures(tasks, periods, pricing))
     names = [c for c in grouped.columns if not c.startswith(("runs_", "ipus_", "cost_"))]
     return _periods_to_rows(grouped, names, periods)
@@ -154,6 +169,7 @@ def window_changes(
 
 def period_totals(tasks: DataFrame, periods: Sequence[Period], pricing: Pricing = Pricing()) -> DataFrame:
     """Total units of each window; also where a window has no rows."""
+    tasks = _measured(tasks, pricing)
     wide = tasks.where(in_periods(tasks, periods)).agg(*_measures(tasks, periods, pricing))
     rows = [
         F.struct(
@@ -175,6 +191,7 @@ def period_compare(
 
     The log-type lines cover both types whatever ``log_type`` is. Each combination of the three is
     summed before it is counted under each of its dimensions."""
+    tasks = _measured(tasks, pricing)
     log_name = log_type_label().alias("log_type")
     cells = tasks.where(in_periods(tasks, periods)).groupBy(
         log_name, org_label().alias("org"), env_base(F.col("environment")).alias("environment")
@@ -220,7 +237,7 @@ def with_trend(change_rows: DataFrame) -> DataFrame:
 def org_top_changes(tasks: DataFrame, period: Period, pricing: Pricing = Pricing(), top: int = 3) -> DataFrame:
     """Per organization: the project with the largest change and the ``top`` tasks, with runs and
     units per run."""
-    rows = named(tasks)
+    rows = _measured(named(tasks), pricing)
     cells = rows.where(in_periods(rows, [period])).groupBy("org", "project_name", "task_name").agg(
         *_measures(rows, [period], pricing)
     )

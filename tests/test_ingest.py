@@ -226,3 +226,12 @@ def test_merge_frames(spark):
     a, b = spark.createDataFrame([(1, "x")], "i int, s string"), spark.createDataFrame([(2, 3.0)], "i int, d double")
     assert values(log_files.merge_frames(spark, [a, b])) == [(1, "x", None), (2, None, 3.0)]
     assert log_files.merge_frames(spark, []).count() == 0
+
+
+def test_frames_of_other_formats(spark, folder):
+    raw = spark.read.option("header", True).csv(str(folder / "two_environment_headers.csv"))
+    typed = raw.select(F.col("Task ID").cast("int"), F.col("Metered Value").cast("double"), F.col("Environment"), F.col("Runtime Environment"))
+    df = log_files.ingest_frames(spark, {"two_environment_headers": typed}, RUN_DATE, {"two_environment_headers": "North"})
+    files, _ = read(spark, folder, "two_environment_headers.csv", orgs={"two_environment_headers.csv": "North"})
+    columns = [c for c in files.columns if c != "source_file"]
+    assert sorted(map(str, values(df, *columns))) == sorted(map(str, values(files, *columns)))
