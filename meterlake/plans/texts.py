@@ -2,18 +2,80 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+from meterlake.operators import compare as C
 from meterlake.operators import reports as P
-from meterlake.plans.comparisons import PERIODS, windows_sql
+from meterlake.plans.comparisons import PERIODS, compare_sql, windows_sql
 from meterlake.plans.registry import register
+from meterlake.plans.series import SHOWN_RANGE, coverage_sql, islands_sql, spikes_sql
 from meterlake.plans.totals import FULL
 from meterlake.plans.views import tasks_events, tasks_tpch
 
 EVERY = ("Past week", "Past calendar month", "Past 30 days")
 
 
-@register("narrative")
+def fixed2(x: str, separators: bool = True) -> str:
+    return f"format('{{:{',' if separators else ''}.2f}}', CAST(ROUND({x}, 2) AS DOUBLE))"
+
+
+def arrow2(x: str) -> str:
+    return f"concat(CASE WHEN {x} >= 0 THEN '↑ ' ELSE '↓ ' END, {fixed2(f'abs({x})')})"
+
+
+def spike_lines_sql(section: int, title: str, period: C.Period) -> str:
+    """Header, count and first five of the spikes of one period."""
+    back = dt.timedelta(days=(period.end - period.start).days + 1)
+    windows = [str(d) for d in (period.start, period.end, period.start - back, period.start - dt.timedelta(days=1))]
+    found = f"({spikes_sql('events', *windows, 3.0, 10)})"
+    shown_first = "ORDER BY z_score DESC, daily_ipus DESC, task_date, task_name, task_id LIMIT 5"
+    return f"""SELECT {section} AS section, 'Task Spikes ({title}):' AS text UNION ALL
+SELECT {section}, CASE WHEN COUNT(*) = 0 THEN '- No task showed a major spike versus prior baseline.'
+  ELSE concat('- ', COUNT(*), ' task spike(s) flagged. Top items:') END FROM {found} UNION ALL
+SELECT {section}, concat('  - ', strftime(task_date, '%B %-d, %Y'), ': ', task_name, ' in ', org, ' / ', project_name,
+  ' ran materially above baseline (about ', format('{{:.1f}}', ROUND(multiplier_vs_baseline, 1)), 'x).') FROM (SELECT * FROM {found} {shown_first})"""
+
+
+def narrative_sql(periods: list[C.Period]) -> str:
+    short = [f"{p.name} ({p.start:%b} {p.start.day} - {p.end:%b} {p.end.day}): total IPUs " for p in periods]
+    against = ["previous week", "previous period", "previous 30-day period"]
+    titles = ["Past Week", "Month-to-date", "Past 30 Days"]
+    compared = compare_sql("events", periods).split(" SELECT dimension", 1)[0].rsplit("SELECT dimension, value, period_no", 1)[0]
+    dims = " UNION ALL ".join(
+        f"""SELECT {n} AS section, '{title} comparison:' AS text UNION ALL
+SELECT {n}, concat('{title}: ', value) FROM g WHERE dimension = '{d}' AND period_no = 0 UNION ALL
+SELECT {n}, concat('  ', period, ': ', {fixed2('ic')}, ' IPUs -> ', {fixed2('ip')}, ' previous (', {arrow2('ic - ip')}, ')') FROM g WHERE dimension = '{d}'"""
+        for n, d, title in ((2, "log_type", "Log type"), (3, "org", "Organization"), (4, "environment", "Environment"))
+    )
+    changed = """COALESCE(SUM(CAST(ei AS DECIMAL(28,8))) FILTER (side = 'cur'), 0) AS c,
+  COALESCE(SUM(CAST(ei AS DECIMAL(28,8))) FILTER (side = 'prev'), 0) AS p,
+  COUNT(*) FILTER (side = 'cur') AS rc, COUNT(*) FILTER (side = 'prev') AS rp"""
+    runs = "concat(CASE WHEN rc >= rp THEN '↑ ' ELSE '↓ ' END, format('{:,}', abs(rc - rp)))"
+    return f"""{compared}, totals AS (SELECT period_no, {changed} FROM (SELECT w.period_no, w.side, ei FROM w LEFT JOIN x ON x.period_no = w.period_no
+  AND x.side = w.side) GROUP BY 1),
+pc AS (SELECT period_no, org, project_name, {changed} FROM x GROUP BY 1, 2, 3),
+tc AS (SELECT period_no, org, project_name, task_name, {changed} FROM x GROUP BY 1, 2, 3, 4),
+tf AS (SELECT *, {titles}[period_no + 1] AS title, CASE WHEN p <= 0 AND c > 0 THEN 'Starts' WHEN p > 0 AND c <= 0 THEN 'Stops'
+  WHEN c > p THEN 'Going up' WHEN c < p THEN 'Going down' END AS kind FROM tc WHERE abs(c - p) >= 1 OR abs(rc - rp) > 50),
+tl AS (SELECT CASE WHEN kind IN ('Starts', 'Stops') THEN 7 ELSE 6 END AS section, * FROM tf WHERE kind IS NOT NULL)
+SELECT 1 AS section, concat({short}[period_no + 1], {fixed2('c')}, ' -> ', {against}[period_no + 1], ' ', {fixed2('p')}, ' (', {arrow2('c - p')}, ')') AS text FROM totals
+UNION ALL {dims}
+UNION ALL SELECT 5, 'Project anomalies:'
+UNION ALL SELECT 5, concat('- ', {titles}[period_no + 1], ': ', org, ' / ', project_name, ' IPUs ', {fixed2('p', False)}, ' -> ', {fixed2('c', False)}, ' (',
+  {arrow2('c - p')}, ')') FROM pc WHERE abs(c - p) >= 5
+UNION ALL SELECT 6, 'Task anomalies:' UNION ALL SELECT 6, '- Changes' UNION ALL SELECT 7, '- Starts and stops'
+UNION ALL SELECT DISTINCT section, concat('  - ', title) FROM tl
+UNION ALL SELECT section, concat('    - ', kind) FROM (SELECT DISTINCT section, title, kind FROM tl)
+UNION ALL SELECT section, concat('      - ', org, ' / ', project_name, ' / ', task_name, ' IPUs ', {fixed2('p', False)}, ' -> ', {fixed2('c', False)}, ' (',
+  {arrow2('c - p')}, '), Runs ', rp, ' -> ', rc, ' (', {runs}, ')') FROM tl
+UNION ALL {spike_lines_sql(8, 'Past Week', periods[0])}
+UNION ALL {spike_lines_sql(9, 'Month', periods[1])}
+UNION ALL {spike_lines_sql(10, 'Rolling Month', periods[2])}"""
+
+
+@register("narrative", narrative_sql(PERIODS))
 def narrative(spark, d):
-    return P.narrative(tasks_events(spark, d), "2024-01-24", EVERY)
+    return P.narrative(tasks_events(spark, d), "2024-01-24", EVERY).select("section", "text")
 
 
 @register("narrative_whole_months")
@@ -26,9 +88,23 @@ def executive_report(spark, d):
     return P.executive(tasks_tpch(spark, d), "1999-05-31", "1999-05-31", ("weekly", "monthly_30d", "monthly_calendar", "quarterly"))
 
 
-@register("coverage_message")
+def coverage_message_sql(start: str, end: str) -> str:
+    holes = coverage_sql(f"end_date BETWEEN DATE '{start}' AND DATE '{end}'")
+    return f"""{holes.split("SELECT org, log_type, strftime", 1)[0]}, gaps AS (SELECT org, log_type, strftime{holes.split("SELECT org, log_type, strftime", 1)[1]}),
+gone AS (SELECT CAST(g AS DATE) AS d FROM generate_series(DATE '{start}', DATE '{end}', INTERVAL 1 DAY) t(g)
+  WHERE CAST(g AS DATE) NOT IN (SELECT d FROM seen)), {islands_sql('gone')},
+placed AS (SELECT *, ROW_NUMBER() OVER (ORDER BY a) AS nth, COUNT(*) OVER () AS n FROM isl),
+ranked AS (SELECT *, ROW_NUMBER() OVER (ORDER BY days_missing DESC, org, log_type) AS nth, COUNT(*) OVER () AS n FROM gaps WHERE days_missing > 0)
+SELECT 1 AS section, concat('Missing data detected on ', MAX(n), ' global gap(s): ', string_agg({SHOWN_RANGE}, ', ' ORDER BY a) FILTER (nth <= 5),
+  CASE WHEN MAX(n) > 5 THEN concat(' and ', MAX(n) - 5, ' more gap(s)') ELSE '' END, '.') AS text FROM placed UNION ALL
+SELECT 2, concat('- ', org, ' (', log_type, '): has ', first_date, ' → ', last_date, ', missing ', days_missing, ' day(s) in ', gap_count, ' gap(s) — ',
+  CASE WHEN length(missing_ranges) > 90 THEN concat(missing_ranges[1:87], '...') ELSE missing_ranges END) FROM ranked WHERE nth <= 8 UNION ALL
+SELECT 3, concat('…and ', MAX(n) - 8, ' more org/log-type combination(s) with gaps.') FROM ranked HAVING MAX(n) > 8"""
+
+
+@register("coverage_message", coverage_message_sql(*FULL))
 def coverage_message(spark, d):
-    return P.coverage_message(tasks_tpch(spark, d), *FULL)
+    return P.coverage_message(tasks_tpch(spark, d), *FULL).select("section", "text")
 
 
 @register("narrative_project_lines", f"""{windows_sql('events', PERIODS)}, g AS (SELECT period_no, org, project_name,
