@@ -68,10 +68,17 @@ def test_quiet_narrative(spark, sf):
     ]
 
 
-def test_complete_coverage(spark, sf):
-    days = tasks_events(spark, sf).where(F.col("org") == "org_0")
-    lines = [r.text for r in P.coverage_message(days, "2024-01-01", "2024-01-30").collect()]
-    assert len(lines) == 1 and lines[0].startswith(("No missing days", "Missing data"))
+def test_coverage_without_global_gaps(spark):
+    def message(*rows):
+        days = spark.createDataFrame([(o, dt.date(2024, 1, d)) for o, d in rows], "org string, end_date date")
+        tasks = days.select("*", F.col("end_date").cast("timestamp").alias("end_time"), F.lit(None).cast("string").alias("log_type"))
+        return [r.text for r in P.coverage_message(tasks, "2024-01-01", "2024-01-03").collect()]
+
+    assert message(("A", 1), ("A", 2), ("A", 3)) == ["No missing days detected across the full available date span."]
+    assert message(("A", 1), ("A", 2), ("A", 3), ("B", 1), ("B", 3)) == [
+        "Every calendar day has at least some data, but individual organizations still have gaps.",
+        "- B (Task Usage): has January 1, 2024 → January 3, 2024, missing 1 day(s) in 1 gap(s) — January 2, 2024",
+    ]
 
 
 def test_executive_sections(spark, sf):
