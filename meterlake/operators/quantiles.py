@@ -16,7 +16,9 @@ def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def _bucket(value: Column) -> Column:
     """Order-preserving bucket of about 0.1 % relative width; depends on the value only."""
     size = (F.floor(F.log(F.abs(value)) * 1000) + 800_000).cast("long")
-    return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, size).otherwise(-size)
+    bucket = F.when(value == 0, F.lit(0).cast("long")).when(value > 0, size).otherwise(-size)
+    # never NULL, and known to be: both uses of the counts then have one plan and share its shuffle
+    return F.coalesce(bucket, F.lit(0).cast("long"))
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:

@@ -198,7 +198,7 @@ def row_hash(spark, d):
 
 
 @register("row_hash_dedup", f"""{base('tpch')}, x AS (SELECT DISTINCT sha256({IDENTITY_SQL}) AS row_hash, org, end_date, status FROM (
-  SELECT * REPLACE ('run' AS task_run_id, CAST(NULL AS VARCHAR) AS task_id, '' AS task_name, 1.0 AS metered_value, agent_name[1:14] AS agent_name,
+  SELECT * REPLACE ('run' AS task_run_id, CAST(NULL AS VARCHAR) AS task_id, '' AS task_name, 1.0 AS metered_value, '' AS agent_name, 'env' AS environment,
     CAST(NULL AS TIMESTAMP) AS start_time, 'f' AS folder_name) FROM tasks))
 SELECT row_hash, MIN(status) AS status FROM x WHERE end_date < DATE '2000-01-01' AND row_hash NOT IN (SELECT row_hash FROM x WHERE status = 'P') GROUP BY 1""")
 def row_hash_dedup(spark, d):
@@ -206,7 +206,7 @@ def row_hash_dedup(spark, d):
     t = tasks_tpch(spark, d)
     coarse = t.withColumns({
         "task_run_id": F.lit("run"), "task_id": F.lit(None).cast("string"), "task_name": F.lit(""), "metered_value": F.lit(1.0),
-        "agent_name": F.substring("agent_name", 1, 14), "start_time": F.lit(None).cast("timestamp"), "folder_name": F.lit("f"),
+        "agent_name": F.lit(""), "environment": F.lit("env"), "start_time": F.lit(None).cast("timestamp"), "folder_name": F.lit("f"),
     })
     hashed = dedup.with_row_hash(coarse).select("row_hash", "status", "end_date")
     staged = dedup.one_per_hash(hashed.where(F.col("end_date") < "2000-01-01").select("row_hash", "status"))

@@ -29,10 +29,10 @@ def date_islands(spark, d):
     return D.islands(tasks_tpch(spark, d).select("agent_name", F.col("end_date").alias("date")).distinct(), ["agent_name"])
 
 
-@register("date_summary", f"""{base('tpch')}, seen AS (SELECT DISTINCT end_date AS d FROM tasks WHERE agent_name = 'Supplier#000000003'),
+@register("date_summary", f"""{base('tpch')}, seen AS (SELECT DISTINCT end_date AS d FROM tasks),
 {islands_sql('seen')} SELECT MIN(a) AS start_date, MAX(b) AS end_date, string_agg({RANGE_TEXT}, '; ' ORDER BY a) AS label FROM isl""")
 def date_summary(spark, d):
-    return D.date_summary(tasks_tpch(spark, d).where(F.col("agent_name") == "Supplier#000000003"))
+    return D.date_summary(tasks_tpch(spark, d))
 
 
 @register("missing_ranges", f"""{base('tpch')}, seen AS (SELECT DISTINCT end_date AS d FROM tasks WHERE {days(*FULL)}
