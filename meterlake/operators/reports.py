@@ -16,7 +16,7 @@ from meterlake.functions.labels import arrow, display_date, display_range, group
 from meterlake.operators import anomalies as A
 from meterlake.operators import compare as C
 from meterlake.operators.cells import daily_cells, kept
-from meterlake.operators.filters import Day, TaskFilter, as_date
+from meterlake.operators.filters import Day, TaskFilter, as_date, log_type_is
 from meterlake.operators.series import coverage_gaps, missing_ranges
 from meterlake.schema import Pricing
 
@@ -50,6 +50,10 @@ def report(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).orderBy(*LINE[:-1], "text")
 
 
+def of_log_type(tasks: DataFrame, log_type: str | None) -> DataFrame:
+    return tasks.where(log_type_is(log_type)) if log_type else tasks
+
+
 def _short(day: dt.date) -> str:
     return f"{day:%b} {day.day}"
 
@@ -166,7 +170,7 @@ def narrative(
     first = min(p.prev_start for p in periods)
     tasks = kept(daily_cells(tasks, first, max(p.end for p in periods), pricing), "report-cells")
     compared = kept(C.period_compare(tasks, periods, pricing, log_type), "report-dimensions")
-    parts = [_total_lines(tasks, periods, pricing)]
+    parts = [_total_lines(of_log_type(tasks, log_type), periods, pricing)]
     parts += _dimension_lines(compared, "log_type", "Log type", 2)
     parts += _dimension_lines(compared, "org", "Organization", 3)
     if show_environment:
@@ -182,13 +186,19 @@ def narrative(
 
 
 def executive(
-    tasks: DataFrame, anchor: Day, today: Day, include: Sequence[str] = ("weekly", "monthly_calendar"), pricing: Pricing = Pricing()
+    tasks: DataFrame,
+    anchor: Day,
+    today: Day,
+    include: Sequence[str] = ("weekly", "monthly_calendar"),
+    log_type: str | None = None,
+    pricing: Pricing = Pricing(),
 ) -> DataFrame:
     """Executive trend report: workload and units per period, movers, the split by organization,
     unusual days with their driver, and task spikes."""
     spark = tasks.sparkSession
     end = as_date(anchor)
     first = end - dt.timedelta(days=SPIKE_HISTORY - 1)
+    tasks = of_log_type(tasks, log_type)
     tasks = kept(daily_cells(tasks, min(first, *(p.prev_start for p in C.executive_periods(anchor, today))), end, pricing), "report-cells")
     titles = {"weekly": "Weekly Change", "monthly_30d": "Monthly Change (Rolling 30 Days)",
               "monthly_calendar": "Monthly Change (Calendar Month)", "quarterly": "Quarterly Change"}

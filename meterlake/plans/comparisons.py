@@ -57,11 +57,11 @@ def period_totals_whole_months(spark, d):
     return C.period_totals(tasks_tpch(spark, d), WHOLE_MONTHS)
 
 
-def compare_sql(view: str, periods: list[C.Period]) -> str:
+def compare_sql(view: str, periods: list[C.Period], only: str = "TRUE") -> str:
     org, log, env = (c.replace("(org)", "(raw_org)") for c in (ORG, LOG, ENV))
     parts = " UNION ALL ".join(
-        f"SELECT '{n}' AS dimension, {e} AS value, x.period_no, side, ei FROM x"
-        for n, e in (("log_type", log), ("org", org), ("environment", env))
+        f"SELECT '{n}' AS dimension, {e} AS value, x.period_no, side, ei FROM x WHERE {kept}"
+        for n, e, kept in (("log_type", log, "TRUE"), ("org", org, only), ("environment", env, only))
     )
     return f"""{windows_sql(view, periods)}, l AS ({parts}), v AS (SELECT DISTINCT dimension, value FROM l),
 g AS (SELECT v.dimension, v.value, p.period_no, p.period, {side_sum('ei', 'cur')} AS ic, {side_sum('ei', 'prev')} AS ip

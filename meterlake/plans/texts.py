@@ -6,8 +6,8 @@ import datetime as dt
 
 from meterlake.operators import compare as C
 from meterlake.operators import reports as P
-from meterlake.plans.comparisons import PERIODS, compare_sql, windows_sql
-from meterlake.plans.registry import register
+from meterlake.plans.comparisons import PERIODS, WHOLE_MONTHS, compare_sql, windows_sql
+from meterlake.plans.registry import LOG, register
 from meterlake.plans.series import SHOWN_RANGE, coverage_sql, islands_sql, spikes_sql
 from meterlake.plans.totals import FULL
 from meterlake.plans.views import tasks_events, tasks_tpch
@@ -23,11 +23,11 @@ def arrow2(x: str) -> str:
     return f"concat(CASE WHEN {x} >= 0 THEN '↑ ' ELSE '↓ ' END, {fixed2(f'abs({x})')})"
 
 
-def spike_lines_sql(section: int, title: str, period: C.Period) -> str:
+def spike_lines_sql(view: str, only: str, section: int, title: str, period: C.Period) -> str:
     """Header, count and first five of the spikes of one period."""
     back = dt.timedelta(days=(period.end - period.start).days + 1)
     windows = [str(d) for d in (period.start, period.end, period.start - back, period.start - dt.timedelta(days=1))]
-    found = f"({spikes_sql('events', *windows, 3.0, 10)})"
+    found = f"({spikes_sql(view, *windows, 3.0, 10, only)})"
     shown_first = "ORDER BY z_score DESC, daily_ipus DESC, task_date, task_name, task_id LIMIT 5"
     return f"""SELECT {section} AS section, 'Task Spikes ({title}):' AS text UNION ALL
 SELECT {section}, CASE WHEN COUNT(*) = 0 THEN '- No task showed a major spike versus prior baseline.'
@@ -36,11 +36,12 @@ SELECT {section}, concat('  - ', strftime(task_date, '%B %-d, %Y'), ': ', task_n
   ' ran materially above baseline (about ', format('{{:.1f}}', ROUND(multiplier_vs_baseline, 1)), 'x).') FROM (SELECT * FROM {found} {shown_first})"""
 
 
-def narrative_sql(periods: list[C.Period]) -> str:
+def narrative_sql(view: str, periods: list[C.Period], only: str = "TRUE") -> str:
+    """Lines of all sections; ``only`` is the log-type condition of all but the log-type lines."""
     short = [f"{p.name} ({p.start:%b} {p.start.day} - {p.end:%b} {p.end.day}): total IPUs " for p in periods]
     against = ["previous week", "previous period", "previous 30-day period"]
     titles = ["Past Week", "Month-to-date", "Past 30 Days"]
-    compared = compare_sql("events", periods).split(" SELECT dimension", 1)[0].rsplit("SELECT dimension, value, period_no", 1)[0]
+    compared = compare_sql(view, periods, only).split(" SELECT dimension", 1)[0].rsplit("SELECT dimension, value, period_no", 1)[0]
     dims = " UNION ALL ".join(
         f"""SELECT {n} AS section, '{title} comparison:' AS text UNION ALL
 SELECT {n}, concat('{title}: ', value) FROM g WHERE dimension = '{d}' AND period_no = 0 UNION ALL
@@ -51,10 +52,11 @@ SELECT {n}, concat('  ', period, ': ', {fixed2('ic')}, ' IPUs -> ', {fixed2('ip'
   COALESCE(SUM(CAST(ei AS DECIMAL(28,8))) FILTER (side = 'prev'), 0) AS p,
   COUNT(*) FILTER (side = 'cur') AS rc, COUNT(*) FILTER (side = 'prev') AS rp"""
     runs = "concat(CASE WHEN rc >= rp THEN '↑ ' ELSE '↓ ' END, format('{:,}', abs(rc - rp)))"
-    return f"""{compared}, totals AS (SELECT period_no, {changed} FROM (SELECT w.period_no, w.side, ei FROM w LEFT JOIN x ON x.period_no = w.period_no
-  AND x.side = w.side) GROUP BY 1),
-pc AS (SELECT period_no, org, project_name, {changed} FROM x GROUP BY 1, 2, 3),
-tc AS (SELECT period_no, org, project_name, task_name, {changed} FROM x GROUP BY 1, 2, 3, 4),
+    return f"""{compared}, y AS (SELECT * FROM x WHERE {only}),
+totals AS (SELECT period_no, {changed} FROM (SELECT w.period_no, w.side, ei FROM w LEFT JOIN y ON y.period_no = w.period_no
+  AND y.side = w.side) GROUP BY 1),
+pc AS (SELECT period_no, org, project_name, {changed} FROM y GROUP BY 1, 2, 3),
+tc AS (SELECT period_no, org, project_name, task_name, {changed} FROM y GROUP BY 1, 2, 3, 4),
 tf AS (SELECT *, {titles}[period_no + 1] AS title, CASE WHEN p <= 0 AND c > 0 THEN 'Starts' WHEN p > 0 AND c <= 0 THEN 'Stops'
   WHEN c > p THEN 'Going up' WHEN c < p THEN 'Going down' END AS kind FROM tc WHERE abs(c - p) >= 1 OR abs(rc - rp) > 50),
 tl AS (SELECT CASE WHEN kind IN ('Starts', 'Stops') THEN 7 ELSE 6 END AS section, * FROM tf WHERE kind IS NOT NULL)
@@ -68,19 +70,20 @@ UNION ALL SELECT DISTINCT section, concat('  - ', title) FROM tl
 UNION ALL SELECT section, concat('    - ', kind) FROM (SELECT DISTINCT section, title, kind FROM tl)
 UNION ALL SELECT section, concat('      - ', org, ' / ', project_name, ' / ', task_name, ' IPUs ', {fixed2('p', False)}, ' -> ', {fixed2('c', False)}, ' (',
   {arrow2('c - p')}, '), Runs ', rp, ' -> ', rc, ' (', {runs}, ')') FROM tl
-UNION ALL {spike_lines_sql(8, 'Past Week', periods[0])}
-UNION ALL {spike_lines_sql(9, 'Month', periods[1])}
-UNION ALL {spike_lines_sql(10, 'Rolling Month', periods[2])}"""
+UNION ALL {spike_lines_sql(view, only, 8, 'Past Week', periods[0])}
+UNION ALL {spike_lines_sql(view, only, 9, 'Month', periods[1])}
+UNION ALL {spike_lines_sql(view, only, 10, 'Rolling Month', periods[2])}"""
 
 
-@register("narrative", narrative_sql(PERIODS))
+@register("narrative", narrative_sql("events", PERIODS))
 def narrative(spark, d):
     return P.narrative(tasks_events(spark, d), "2024-01-24", EVERY).select("section", "text")
 
 
-@register("narrative_whole_months")
+@register("narrative_whole_months", narrative_sql("tpch", WHOLE_MONTHS, f"{LOG} = 'Task Usage'"))
 def narrative_whole_months(spark, d):
-    return P.narrative(tasks_tpch(spark, d), "1999-03-31", EVERY, whole_months=True, log_type="Task Usage")
+    lines = P.narrative(tasks_tpch(spark, d), "1999-03-31", EVERY, whole_months=True, log_type="Task Usage")
+    return lines.select("section", "text")
 
 
 @register("executive_report")
