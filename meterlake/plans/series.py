@@ -144,7 +144,8 @@ def task_history(spark, d):
     return A.task_history(tasks, A.task_spikes(tasks, "2024-01-30", 15, 15).drop("task_id"), "2024-01-16", "2024-01-30")
 
 
-@register("anomaly_drivers", f"""{anomaly_sql('tpch', '1999-01-01', '1999-12-31', 'total_ipus', 1.0).replace(
+def drivers_sql(view: str, start: str, end: str, t: float) -> str:
+    return f"""{anomaly_sql(view, start, end, 'total_ipus', t).replace(
     'SELECT *, CASE', ', a AS (SELECT *, CASE', 1)}),
 c AS (SELECT end_date AS date, COALESCE(project_name, '(Unknown)') AS p, COALESCE(task_name, '(Unknown)') AS t, {total(EI)} AS x
   FROM tasks WHERE end_date IN (SELECT date FROM a) GROUP BY 1, 2, 3),
@@ -156,7 +157,10 @@ b AS (SELECT p.date, p.whole, GREATEST(p.x, t.x) AS x, CASE WHEN p.x >= t.x THEN
   CASE WHEN p.x >= t.x THEN p.name ELSE t.name END AS name FROM p JOIN t USING (date))
 SELECT date, {shown('whole')} AS day_ipus, CASE WHEN ok THEN kind END AS driver_kind, CASE WHEN ok THEN name END AS driver_name,
   CASE WHEN ok THEN {shown('x')} END AS driver_ipus
-FROM (SELECT *, whole > 0 AND CAST(x AS DOUBLE) / CAST(whole AS DOUBLE) >= 0.35 AS ok FROM b)""")
+FROM (SELECT *, whole > 0 AND CAST(x AS DOUBLE) / CAST(whole AS DOUBLE) >= 0.35 AS ok FROM b)"""
+
+
+@register("anomaly_drivers", drivers_sql("tpch", "1999-01-01", "1999-12-31", 1.0))
 def anomaly_drivers(spark, d):
     tasks = tasks_tpch(spark, d)
     unusual = A.daily_anomalies(tasks, "1999-01-01", "1999-12-31", threshold=1.0)

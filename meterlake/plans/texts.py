@@ -6,9 +6,9 @@ import datetime as dt
 
 from meterlake.operators import compare as C
 from meterlake.operators import reports as P
-from meterlake.plans.comparisons import PERIODS, WHOLE_MONTHS, compare_sql, windows_sql
-from meterlake.plans.registry import LOG, register
-from meterlake.plans.series import SHOWN_RANGE, coverage_sql, islands_sql, spikes_sql
+from meterlake.plans.comparisons import EXECUTIVE, PERIODS, WHOLE_MONTHS, compare_sql, windows_sql
+from meterlake.plans.registry import LOG, ORG, register
+from meterlake.plans.series import SHOWN_RANGE, anomaly_sql, coverage_sql, drivers_sql, islands_sql, spikes_sql
 from meterlake.plans.totals import FULL
 from meterlake.plans.views import tasks_events, tasks_tpch
 
@@ -86,9 +86,90 @@ def narrative_whole_months(spark, d):
     return lines.select("section", "text")
 
 
-@register("executive_report")
+def signed2(x: str) -> str:
+    return f"concat(CASE WHEN {x} >= 0 THEN '+' ELSE '-' END, {fixed2(f'abs({x})')})"
+
+
+def whole(x: str) -> str:
+    return f"format('{{:,}}', {x})"
+
+
+def signed_whole(x: str) -> str:
+    return f"concat(CASE WHEN {x} >= 0 THEN '+' ELSE '-' END, {whole(f'abs({x})')})"
+
+
+def rate(x: str) -> str:
+    def places(n: int) -> str:
+        return f"format('{{:.{n}f}}', CAST(ROUND(CAST({x} AS DECIMAL(30,6)), {n}) AS DOUBLE))"
+
+    return f"CASE WHEN {x} = 0 THEN '0' WHEN {x} >= 0.01 THEN {places(3)} WHEN {x} >= 0.0001 THEN {places(6)} ELSE format('{{:.2e}}', {x}) END"
+
+
+PERIOD_TITLES = {
+    "weekly": "Weekly Change", "monthly_30d": "Monthly Change (Rolling 30 Days)",
+    "monthly_calendar": "Monthly Change (Calendar Month)", "quarterly": "Quarterly Change",
+}
+
+
+def long_range(a: dt.date, b: dt.date) -> str:
+    return f"{a:%B} {a.day}, {a.year} to {b:%B} {b.day}, {b.year}"
+
+
+def executive_section_sql(view: str, p: C.Period, section: int) -> str:
+    """Lines of one period: totals, movers, and the split by organization."""
+    sums = """COALESCE(SUM(CAST(ei AS DECIMAL(28,8))) FILTER (side = 'cur'), 0) AS c, COALESCE(SUM(CAST(ei AS DECIMAL(28,8))) FILTER (side = 'prev'), 0) AS p,
+  COUNT(*) FILTER (side = 'cur') AS rc, COUNT(*) FILTER (side = 'prev') AS rp"""
+    trends = " UNION ALL ".join(
+        f"""SELECT {section + 1} AS section, concat('- {word} trending {way}: ', COALESCE(string_agg(k, ', ' ORDER BY nth), 'none material'), '.') AS text FROM (
+  SELECT k, ROW_NUMBER() OVER (ORDER BY abs(c - p) DESC, k NULLS FIRST) AS nth FROM {source} WHERE {test}) WHERE nth <= 3 AND k IS NOT NULL"""
+        for source, word in (("mo", "Organizations"), ("mp", "Projects")) for way, test in (("up", "c > p"), ("down", "c < p"))
+    )
+    org = ORG.replace("(org)", "(raw_org)")
+    runs = f"""CASE WHEN rc > rp THEN concat('up ', {signed_whole('rc - rp')}, ' runs (', rp, ' → ', rc, ')')
+  WHEN rc < rp THEN concat('down ', {signed_whole('rc - rp')}, ' runs (', rp, ' → ', rc, ')') ELSE concat('flat at ', rc, ' runs') END"""
+    return f"""SELECT * FROM ({windows_sql(view, [p])}, a AS (SELECT {sums} FROM x), mo AS (SELECT {org} AS k, {sums} FROM x GROUP BY 1),
+mp AS (SELECT raw_project AS k, {sums} FROM x GROUP BY 1),
+n AS (SELECT {org} AS o, 'project' AS kind, project_name AS name, {sums} FROM x GROUP BY 1, 2, 3 UNION ALL
+  SELECT {org}, 'task', task_name, {sums} FROM x GROUP BY 1, 2, 3),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY o, kind ORDER BY abs(c - p) DESC, CASE WHEN kind = 'task' THEN rc - rp END DESC,
+  CASE WHEN kind = 'task' THEN rc END DESC, name) AS nth, CAST(c AS DOUBLE) / GREATEST(rc, 1) AS xc, CAST(p AS DOUBLE) / GREATEST(rp, 1) AS xp FROM n),
+t AS (SELECT * FROM r WHERE kind = 'task' AND nth <= 3)
+SELECT {section} AS section, '{PERIOD_TITLES[p.name]}' AS text UNION ALL
+SELECT {section}, '- {p.name}: {long_range(p.start, p.end)} (vs {long_range(p.prev_start, p.prev_end)}).' UNION ALL
+SELECT {section}, concat('  - Workload: ', {whole('rp')}, ' → ', {whole('rc')}, ' tasks (', {signed_whole('rc - rp')}, ').') FROM a UNION ALL
+SELECT {section}, concat('  - IPU usage: ', {fixed2('p')}, ' → ', {fixed2('c')}, ' (', {signed2('c - p')}, ').') FROM a UNION ALL {trends} UNION ALL
+SELECT {section + 2}, concat('- ', k, ': ', CASE WHEN c >= p THEN 'Increased ' ELSE 'Decreased ' END, {fixed2('abs(c - p)')}, ' IPUs') FROM mo UNION ALL
+SELECT {section + 2}, concat('  - ', name, ': ', CASE WHEN c >= p THEN 'increased ' ELSE 'decreased ' END, {fixed2('abs(c - p)')}, ' IPUs')
+  FROM r WHERE kind = 'project' AND nth = 1 UNION ALL
+SELECT {section + 2}, concat('    - ', name, ': ', {runs}) FROM t UNION ALL
+SELECT {section + 2}, concat('      - IPUs: ', {fixed2('p')}, ' → ', {fixed2('c')}, ' (', {signed2('c - p')}, ')') FROM t UNION ALL
+SELECT {section + 2}, concat('      - IPU/run: ', {rate('xp')}, ' → ', {rate('xc')}) FROM t)"""
+
+
+def executive_sql(view: str, anchor: dt.date, periods: list[C.Period]) -> str:
+    start = anchor - dt.timedelta(days=89)
+    unusual = anomaly_sql(view, str(start), str(anchor), "total_ipus", 2.0)
+    sections = " UNION ALL ".join(executive_section_sql(view, p, 10 * (i + 1)) for i, p in enumerate(periods))
+    spike_period = C.Period("watch", start, anchor, start, anchor)
+    return f"""SELECT 0 AS section, 'Usage Executive Trend Report' AS text UNION ALL SELECT 0, 'Data through {anchor:%B} {anchor.day}, {anchor.year}' UNION ALL
+{sections} UNION ALL SELECT 90, 'Potential Anomalies' UNION ALL
+SELECT 90, CASE WHEN COUNT(*) = 0 THEN '- total_ipus: no unusual pattern detected.'
+  ELSE concat('- total_ipus: ', COUNT(*), ' unusual day(s) detected. Dates to review:') END FROM ({unusual}) UNION ALL
+SELECT 90, text FROM ({drivers_sql(view, str(start), str(anchor), 2.0).replace('SELECT date, CAST(ROUND(whole', ', d AS (SELECT date, CAST(ROUND(whole', 1)}),
+  top AS (SELECT * FROM a ORDER BY z_score DESC, date LIMIT 3)
+  SELECT concat('  - ', strftime(top.date, '%B %-d, %Y'), ' (', anomaly_type, '): ', {fixed2('CAST(total_ipus AS DECIMAL(28,6))')}, ' IPUs.',
+    CASE WHEN driver_kind IS NOT NULL THEN concat(' Primary driver: ', driver_kind, ' ', driver_name, ' (', {fixed2('CAST(driver_ipus AS DECIMAL(28,6))')}, ' IPUs).')
+      ELSE '' END) AS text FROM top LEFT JOIN d USING (date)) UNION ALL
+{spike_lines_sql(view, 'TRUE', 91, 'x', spike_period).replace("'Task Spikes (x):'", "'Task Spike Watch'")}"""
+
+
+EXEC_ANCHOR = dt.date(1999, 5, 31)
+
+
+@register("executive_report", executive_sql("tpch", EXEC_ANCHOR, EXECUTIVE))
 def executive_report(spark, d):
-    return P.executive(tasks_tpch(spark, d), "1999-05-31", "1999-05-31", ("weekly", "monthly_30d", "monthly_calendar", "quarterly"))
+    lines = P.executive(tasks_tpch(spark, d), EXEC_ANCHOR, EXEC_ANCHOR, tuple(PERIOD_TITLES))
+    return lines.select("section", "text")
 
 
 def coverage_message_sql(start: str, end: str) -> str:
