@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,24 +17,20 @@ NULL_TOKENS = [
 ]
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_YEAR_FIRST = r"^\d{4}[-/]"
+# Texts that can be a date: year first, three numbers, or a month name.
+_DATE = r"^(\d{4}[-/]\d|\d{1,2}[-/.]\d{1,2}[-/.]\d{2}|\d{1,2}[- ][A-Za-z]{3}|[A-Za-z]{3,9} \d)"
+_YEAR_20XX = r"^(\d{1,2}[-/.]\d{1,2}[-/.])([0-6]\d)(?=\s|T|$)"
+_YEAR_19XX = r"^(\d{1,2}[-/.]\d{1,2}[-/.])([7-9]\d)(?=\s|T|$)"
 _ISO_DATE = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})[T\s]*"
 _THREE_PARTS = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})[T\s]*"
-_SHORT_YEAR = r"^(\d{1,2}[-/.]\d{1,2}[-/.])(\d{2})(?=\s|T|$)"
-_NINETIES = r"^\d{1,2}[-/.]\d{1,2}[-/.][7-9]"
-_HALF_DAY = r"\d\s*[AaPp][Mm]$"
-_MONTH_NAME = r"[A-Za-z]{3}"
+_TWELVE = r"\b12((?::\d+)+(?:\.\d+)?\s*[AaPp][Mm])$"
 _AM_PM = r"\s*[AaPp][Mm]$"
+_PM = r"\d\s*[Pp][Mm]$"
+_NO_HALF_DAY_HOUR = r"\s(0+|1[3-9]|2\d)(:\d+)+(\.\d+)?\s*[AaPp][Mm]$"
 TIME_ONLY = r"^\s*\d{1,2}(:\d{2}){1,2}(\.\d+)?\s*$"
 
-# Date texts with month names, tried after the numeric forms.
-_NAMED_MONTH_FORMATS = [
-    "d-MMM-yyyy[ H:m[:s]]",
-    "d MMM yyyy[ H:m[:s]]",
-    "d MMMM yyyy[ H:m[:s]]",
-    "MMM d, yyyy[ H:m[:s]]",
-    "MMMM d, yyyy[ H:m[:s]]",
-]
+# Dates with a month name, in any of these orders.
+_NAMED_MONTH = "[d-MMM-yyyy][d MMM yyyy][d MMMM yyyy][MMM d, yyyy][MMMM d, yyyy][ H:m[:s]]"
 
 
 def is_missing(c: Column) -> Column:
@@ -64,60 +60,30 @@ def text_number_or_zero(c: Column) -> Column:
     return F.coalesce(number(c), F.lit(0.0))
 
 
-def with_timestamps(df: DataFrame, cells: Mapping[str, Column]) -> DataFrame:
-    """Adds timestamp columns read from text cells. Year-first text is ISO; other numeric dates are
-    read day first and, where that is no calendar date, month first.
-
-    Dates are rewritten to ISO text and cast, which stays cheap for cells that do not fit; only
-    dates with a month name go through format patterns. Every step is a projection of its own,
-    because the later ones use its result more than once."""
-    names = list(cells)
-
-    def step(df: DataFrame, part: str, build: Callable[[Callable[[str], Column]], Column]) -> DataFrame:
-        def own(name: str) -> Callable[[str], Column]:
-            return lambda earlier: F.col(f"_{earlier}_{name}")
-
-        return df.withColumns({f"_{part}_{n}": build(own(n)) for n in names})
-
-    df = df.withColumns({f"_text_{n}": F.trim(c) for n, c in cells.items()})
-    df = step(df, "day", lambda c: F.regexp_extract(c("text"), _SHORT_YEAR, 1))
-    df = step(df, "half", lambda c: c("text").rlike(_HALF_DAY))
-    df = step(df, "bare", _bare_date)
-    df = step(df, "moment", _moment)
-    df = step(df, "hour", lambda c: F.when(c("half"), F.hour(c("moment"))))
-    df = df.withColumns({n: _on_clock(n) for n in names})
-    return df.drop(*[f"_{part}_{n}" for part in ("text", "day", "half", "bare", "moment", "hour") for n in names])
-
-
-def _bare_date(c: Callable[[str], Column]) -> Column:
-    """Text with a four-digit year and without AM or PM."""
-    century = F.when(c("text").rlike(_NINETIES), F.lit("19")).otherwise(F.lit("20"))
-    rest = F.substring(c("text"), F.length(c("day")) + 1, F.length(c("text")))
-    full_year = F.when(c("day") != "", F.concat(c("day"), century, rest)).otherwise(c("text"))
-    return F.when(c("half"), F.regexp_replace(full_year, _AM_PM, "")).otherwise(full_year)
-
-
-def _moment(c: Callable[[str], Column]) -> Column:
-    bare = c("bare")
-
-    def dated(pattern: str, order: str) -> Column:
-        return F.regexp_replace(bare, pattern, order).try_cast("timestamp")
-
-    named = F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in _NAMED_MONTH_FORMATS])
-    return (
-        F.when(bare.rlike(_YEAR_FIRST), dated(_ISO_DATE, "$1-$2-$3 "))
-        .when(bare.rlike(_THREE_PARTS), F.coalesce(dated(_THREE_PARTS, "$3-$2-$1 "), dated(_THREE_PARTS, "$3-$1-$2 ")))
-        .when(bare.rlike(_MONTH_NAME) & ~is_missing(bare), named)
+def timestamp(c: Column) -> Column:
+    """Text to timestamp. Year-first text is ISO; other numeric dates are read day first and,
+    where that is no calendar date, month first.
+
+    Texts are rewritten to ISO step by step and cast, which stays cheap for cells that do not fit;
+    only dates with a month name go through a format. Each step uses the one before it once, so
+    that the expression stays small where Spark copies it into a filter."""
+    text = F.trim(c)
+    iso = text
+    for pattern, into in (
+        (_YEAR_20XX, "$120$2"), (_YEAR_19XX, "$119$2"), (_ISO_DATE, "$1-$2-$3 "), (_TWELVE, "00$1"), (_AM_PM, ""),
+    ):
+        iso = F.regexp_replace(iso, pattern, into)
+    moment = F.coalesce(
+        F.regexp_replace(iso, _THREE_PARTS, "$3-$2-$1 ").try_cast("timestamp"),
+        F.regexp_replace(iso, _THREE_PARTS, "$3-$1-$2 ").try_cast("timestamp"),
+        F.try_to_timestamp(iso, F.lit(_NAMED_MONTH)),
     )
+    afternoon = F.when(text.rlike(_PM), F.lit(12)).otherwise(F.lit(0))
+    return F.when(text.rlike(_DATE) & ~text.rlike(_NO_HALF_DAY_HOUR), F.timestamp_add("HOUR", afternoon, moment))
 
 
-def _on_clock(name: str) -> Column:
-    """Moves a 12-hour clock time to its half of the day."""
-    hour, pm = F.col(f"_hour_{name}"), F.upper(F.col(f"_text_{name}")).endswith("PM")
-    shift = F.when(pm & (hour < 12), 12).when(~pm & (hour == 12), -12).otherwise(0)
-    moment = F.col(f"_moment_{name}")
-    half = F.when(hour.between(1, 12), F.timestamp_add("HOUR", shift, moment))
-    return F.when(F.col(f"_half_{name}"), half).otherwise(moment)
+def with_timestamps(df: DataFrame, cells: Mapping[str, Column]) -> DataFrame:
+    return df.withColumns({name: timestamp(c) for name, c in cells.items()})
 
 
 def with_full_start(df: DataFrame, name: str, start: Column, dates: list[Column], run_date: Column) -> DataFrame:
@@ -125,5 +91,4 @@ def with_full_start(df: DataFrame, name: str, start: Column, dates: list[Column]
     first of ``dates`` (timestamps) that has one, else the date of the import."""
     day = F.coalesce(*[F.to_date(d) for d in dates], run_date)
     on_day = F.concat_ws(" ", day.cast("string"), F.trim(start)).try_cast("timestamp")
-    df = with_timestamps(df, {"_full": start})
-    return df.withColumn(name, F.when(start.rlike(TIME_ONLY), on_day).otherwise(F.col("_full"))).drop("_full")
+    return df.withColumn(name, F.when(start.rlike(TIME_ONLY), on_day).otherwise(timestamp(start)))

@@ -28,11 +28,12 @@ def not_stored(staged: DataFrame, stored_hashes: DataFrame) -> DataFrame:
 
 
 def full_row_duplicates(df: DataFrame) -> DataFrame:
-    """Every copy of rows that occur more than once, comparing all columns (NULLs are equal).
+    """Every copy of rows that occur more than once, comparing all columns (NULLs are equal) but the
+    file a row came from.
 
     Equal rows are counted, which shrinks a hot group before the shuffle, and written out again in
     slices, so that no task holds or emits a whole group."""
-    columns = df.columns
+    columns = [c for c in df.columns if c != "source_file"]
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
     slices = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES_PER_TASK_ROW))
     sliced = counted.select("*", F.explode(slices).alias("_slice")).repartition(*columns, "_slice")

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +46,12 @@ def otherwise(rows: DataFrame, section: int, text: str, rank: int = 1) -> DataFr
 
 
 def report(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts).orderBy(*LINE[:-1], "text")
+    """One sorted frame. Pairs are united first, so that no part is analyzed once per other part."""
+    parts = list(parts)
+    while len(parts) > 1:
+        pairs = zip(parts[::2], parts[1::2])
+        parts = [a.union(b) for a, b in pairs] + parts[len(parts) // 2 * 2:]
+    return parts[0].orderBy(*LINE[:-1], "text")
 
 
 def of_log_type(tasks: DataFrame, log_type: str | None) -> DataFrame:

@@ -100,7 +100,7 @@ def cumulative_by_org(tasks: DataFrame, start: Day, end: Day) -> DataFrame:
     has no rows. Each value is carried over the days up to the organization's next one; a
     semi-join keeps the observed days."""
     rows = tasks.where(in_days(tasks, start, end) & F.col("org").isNotNull())
-    daily = rows.groupBy(F.col("end_date").alias("date"), "org").agg(exact_sum(F.col("ipus")).alias("ipus"))
+    daily = rows.groupBy(F.to_date("end_time").alias("date"), "org").agg(exact_sum(F.col("ipus")).alias("ipus"))
     in_order = Window.partitionBy("org").orderBy("date")
     running = F.sum("ipus").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     steps = daily.select(

@@ -205,7 +205,7 @@ def status_top_tasks(df: DataFrame, status: str, limit: int = 10) -> DataFrame:
 def batch_daily(df: DataFrame, *extra: str) -> DataFrame:
     """Runs, units and cost per day, optionally by organization or log type."""
     rows = present(df, ["end_time", *extra])
-    return rows.groupBy(day_key(), *extra).agg(_runs(), *_amounts()).orderBy("date", *extra)
+    return rows.groupBy(F.to_date("end_time").alias("date"), *extra).agg(_runs(), *_amounts()).orderBy("date", *extra)
 
 
 def batch_hourly(df: DataFrame, *extra: str) -> DataFrame:

@@ -235,3 +235,20 @@ def test_frames_of_other_formats(spark, folder):
     files, _ = read(spark, folder, "two_environment_headers.csv", orgs={"two_environment_headers.csv": "North"})
     columns = [c for c in files.columns if c != "source_file"]
     assert sorted(map(str, values(df, *columns))) == sorted(map(str, values(files, *columns)))
+
+
+def test_batch_views(spark, folder):
+    """What a user looks at before saving works on the ingested frame itself."""
+    from meterlake.operators import dedup, filters, series, stats
+
+    df, _ = read(spark, folder, "task_usage_standard.csv", "org_ami.csv", orgs={"org_ami.csv": "North"})
+    assert stats.headline(df).first().row_count == 7
+    assert values(stats.batch_daily(df, "log_type"), "date", "run_count")[0] == (dt.date(2024, 1, 13), 1)
+    assert stats.batch_hourly(df).count() > 1 and stats.summary_by(df, "project_name").count() == 1
+    assert dict(values(stats.log_type_counts(df))) == {TASK: 4, BULK: 3}
+    assert stats.duration_stats(df).first().task_count == 7
+    assert filters.hours_between(df, "2024-06-01", "2024-06-30", 11, 11).count() == 1
+    assert values(series.cumulative_by_org(df, "2024-06-01", "2024-06-30").where("org like 'North%'"), "cumulative_ipus") == [
+        (1.0,), (1.5,), (1.5,)]
+    copies = df.unionByName(df.where("task_id = '1'").withColumn("source_file", F.lit("other")))
+    assert dedup.full_row_duplicates(copies).count() == 2
