@@ -31,6 +31,8 @@ REWEIGHT = 11.143
 HALF_FACTOR = 2.139
 REWEIGHT_FACTOR = 1.08
 STEPS = 4
+#: Repeated runs of a text that are looked up one by one.
+SHORT_LIST = 48
 #: Bins for each doubling of the squared distance.
 BINS = 16
 
@@ -44,32 +46,33 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     spaced = F.translate(plain, "\t\n\x0b\x0c\r", "     ")
     lines = F.filter(F.split(plain, "\n", -1), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
     out = docs.withColumns({"_words": F.array_remove(F.split(spaced, " ", -1), ""), "_lines": lines})
-    # sorted hashes of the runs of three words, each with its place
-    runs = F.when(
-        F.size("_words") >= 3,
-        F.sort_array(F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.struct(
-            F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)).alias("h"), i.alias("i")
-        ))),
-    )
-    out = out.withColumns({"_runs": F.coalesce(runs, F.array().cast("array<struct<h:bigint,i:int>>"))})
-    hashes = out.withColumn("_hashes", F.col("_runs.h"))
-    twice = F.filter("_runs", lambda r, k: (F.get("_hashes", k - 1) == r["h"]) | (F.get("_hashes", k + 1) == r["h"]))
-    hashes = hashes.withColumn("_places", F.sort_array(F.transform(
-        F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), twice).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")), lambda r: r["i"]
-    )))
+    starts = F.when(F.size("_words") >= 3, F.sequence(F.lit(0), F.size("_words") - 3)).otherwise(F.array().cast("array<int>"))
+    out = out.withColumn("_starts", starts).withColumn("_hashes", F.transform(
+        "_starts", lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
+    ))
+    out = out.withColumn("_sorted", F.sort_array("_hashes"))
+    out = out.withColumn("_twice", F.array_distinct(F.filter("_sorted", lambda h, k: F.get("_sorted", k + 1) == h)))
+    # starts of the runs that the text has twice: looked up in a short list, or else by sorting
+    # hashes with their starts, which is slower but grows with n log n
+    pairs = F.sort_array(F.transform("_starts", lambda i: F.struct(F.get("_hashes", i).alias("h"), i.alias("i"))))
+    out = out.withColumn("_pairs", F.when(F.size("_twice") > SHORT_LIST, pairs).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    by_sorting = F.filter("_pairs", lambda r, k: (F.get("_sorted", k - 1) == r["h"]) | (F.get("_sorted", k + 1) == r["h"]))
+    out = out.withColumn("_places", F.when(F.size("_twice") == 0, F.array().cast("array<int>")).when(
+        F.size("_twice") <= SHORT_LIST, F.filter("_starts", lambda i: F.array_contains("_twice", F.get("_hashes", i)))
+    ).otherwise(F.sort_array(F.transform(by_sorting, lambda r: r["i"]))))
     repeated = F.aggregate(
         "_places", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
         lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")),
         lambda a: a["n"].cast("long"),
     )
-    counted = hashes.withColumns({
+    counted = out.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.translate(plain, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": (F.length(plain) - F.length(F.translate(plain, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_repeat_words": repeated,
-    }).drop("_words", "_lines", "_runs", "_hashes", "_places")
+    }).drop("_words", "_lines", "_starts", "_hashes", "_sorted", "_twice", "_pairs", "_places")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
 

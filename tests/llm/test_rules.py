@@ -36,7 +36,8 @@ EDGE = [(9000, None), (9001, ""), (9002, " \t\n"), (9003, "a\n a\na\r\na\x0b"),
 
 
 def test_counts_equal_brute_force(documents):
-    rows = corpus(1, 80) + EDGE
+    many = " ".join(f"w{i % 90}" for i in range(400))
+    rows = corpus(1, 80) + EDGE + [(9100, many + " x " + many), (9101, f"a b {many} c")]
     got = rules.quality_rules(documents(rows)).collect()
     want = sorted((repr(d), *brute(t)) for d, t in rows)
     assert sorted((repr(g.doc_id), *g[1:7]) for g in got) == want
