@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import bayes_svm, chat, jaccard, pieces, rules, sharding, winnow
+from meterlake.llm import bayes_svm, chat, jaccard, log_bilinear, main_text, pieces, rules, sharding, warc, winnow
+from meterlake.sources.files import work_dir
 
 #: The model file of the piece encoder; a parameter of the operator.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -148,3 +149,30 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   (sum(upto) FILTER (role = 'assistant' OR n = total))::BIGINT AS formatted_chars
 FROM s GROUP BY conv_id
 """
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"), work_dir(spark, "warc"))
+
+
+@query
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear.score_documents(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op3_warc"] = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+s AS (
+  SELECT *, CASE WHEN payload_bytes >= {warc.MIN_REVISIT_BYTES} AND count(*) OVER w > 1 THEN max(page_id) OVER w END AS first
+  FROM p WINDOW w AS (PARTITION BY payload_digest))
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM s
+"""
