@@ -82,7 +82,11 @@ class Vocabulary:
 
     @classmethod
     def of(cls, counted: DataFrame) -> Vocabulary:
-        top = counted.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
+        # the least bin of counts that keeps the head within its bound; bins are under 3000
+        bins = counted.groupBy(F.floor(F.log2("n") * 64).alias("bin")).count().toPandas().sort_values("bin", ascending=False)
+        fits = bins["bin"][bins["count"].cumsum() <= HEAD]
+        head = counted.where(F.floor(F.log2("n") * 64) >= int(fits.min())) if len(fits) else counted.limit(0)
+        top = head.toPandas().sort_values(["n", "word"], ascending=[False, True])
         words, counts, buckets = top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64), top["bucket"].to_numpy(np.int64)
         own = np.where(np.arange(words.size) < OWN, np.arange(words.size), -1)
         sums = counted.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("words")).toPandas()
