@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from meterlake.llm.store import kept
 from meterlake.llm.text import LOWER, lists, mix, signed, texts, words_and_tails
 
-#: Words with a class of their own, buckets of endings, and words whose counts go to every task.
-OWN = 384
-ENDINGS = 128
+#: Words with a class of their own, buckets of endings, and a bound of the words whose counts go to
+#: every task.
+OWN = 192
+ENDINGS = 64
 CLASSES = OWN + ENDINGS
 HEAD = 65_536
 CONTEXT = 3
@@ -37,7 +38,7 @@ FIRST_BATCH, BATCH, DOUBLE = 64, 2048, 100
 RATE = 0.1
 #: Averages of the parameters over all tasks, each after one pass.
 ROUNDS = 1
-BLOCK = 8192
+BLOCK = 1024
 
 END_TOKEN = mix(np.array([0xE0D], np.uint64))[0]
 START_CLASS = CLASSES  # only in contexts
@@ -146,13 +147,21 @@ class Parameters:
     def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithms of the normalised probabilities of the target classes."""
         out = np.empty(targets.size)
+        outputs = np.concatenate([self.outputs, self.bias[:, None]], axis=1).T
+        query = np.ones((BLOCK, WIDTH + 1), dtype=self.outputs.dtype)
         for low in range(0, targets.size, BLOCK):
-            part = slice(low, low + BLOCK)
-            scores = self.query(contexts[part]) @ self.outputs.T + self.bias
-            own = scores[np.arange(scores.shape[0]), targets[part]]
-            top = scores.max(axis=1)
-            np.exp(scores - top[:, None], out=scores)
-            out[part] = own - top - np.log(scores.sum(axis=1))
+            n = min(BLOCK, targets.size - low)
+            part = slice(low, low + n)
+            query[:n, :WIDTH] = self.query(contexts[part])
+            scores = query[:n] @ outputs
+            own = scores[np.arange(n), targets[part]]
+            with np.errstate(over="ignore", divide="ignore"):
+                total = np.log(np.exp(scores).sum(axis=1))
+            wild = np.flatnonzero(~np.isfinite(total))  # out of the range of single precision
+            if wild.size:
+                top = scores[wild].max(axis=1)
+                total[wild] = top + np.log(np.exp(scores[wild] - top[:, None]).sum(axis=1))
+            out[part] = own - total
         return out
 
 
