@@ -25,7 +25,7 @@ LEVELS = 9
 PIECE = 1 << 20
 
 #: Bound of the sample of labelled rows that the model is fitted on: those with the least hash.
-FIT_ROWS = 8000
+FIT_ROWS = 5000
 THRESHOLD = 0.3
 
 
@@ -125,7 +125,7 @@ def fit(rows: list[np.ndarray], good: np.ndarray) -> Model:
     for found in rows:
         v = ratios[found]
         length = np.sqrt(v @ v)
-        values.append(v / length if length > 0 else v)
+        values.append((v / length if length > 0 else v).astype(np.float32))
     share = good[own].mean()
     costs = np.where(good[own], 0.5 / share, 0.5 / (1 - share))
     weights, bias = hinge_fit([rows[i] for i in own], [values[i] for i in own], np.where(good[own], 1.0, -1.0), costs)
@@ -154,7 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     # the sample has a fixed bound of 17 bytes a row, so it can go to every task
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("at", "good", "text")
     found = chosen.mapInArrow(_indicator_rows, "at long, good boolean, found array<int>").orderBy("at").limit(rows).toArrow()
-    return fit([np.asarray(f, dtype=np.int32) for f in found.column("found").to_pylist()], np.array(found.column("good").to_pylist(), dtype=bool))
+    lists_ = found.column("found").combine_chunks()
+    flat, ends = lists_.values.to_numpy(), lists_.offsets.to_numpy()
+    return fit([flat[a:b] for a, b in zip(ends, ends[1:], strict=False)], np.array(found.column("good").to_pylist(), dtype=bool))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
