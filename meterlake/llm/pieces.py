@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +24,9 @@ from meterlake.llm.text import lists, texts
 MARK = "▁".encode()
 #: A character without a piece scores this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
-CACHE_UNITS = 300_000
+CACHE_UNITS = 400_000
+#: Texts that are encoded together.
+ROWS = 256
 #: Bytes of units whose paths are searched at a time.
 AREA = 1 << 19
 
@@ -88,7 +89,7 @@ class Pieces:
     surface: list[bytes]  # bytes that an id stands for
     byte_ids: np.ndarray
     unknown: float
-    splits_lines: bool
+    inside: np.ndarray  # of two bytes (first * 256 + second): true if a piece may go across them
 
     @classmethod
     def load(cls, path: str, file_scores: bool = False) -> Pieces:
@@ -112,7 +113,13 @@ class Pieces:
         if (byte_ids < 0).any() or any("▁" in w.decode().lstrip("▁") for w in words):
             raise ValueError("the model needs all byte pieces, and markers only in front")
         unknown = min(scores[i] for i in words.values()) - UNKNOWN_PENALTY
-        return cls(DoubleArray(words), scores, surface, byte_ids, unknown, not any(b"\n" in w for w in words))
+        inside = np.zeros(1 << 16, dtype=bool)
+        for i in words.values():
+            for a, b in zip(surface[i], surface[i][1:], strict=False):
+                inside[a * 256 + b] = True
+        for second in range(128, 192):  # never within a character
+            inside[second::256] = True
+        return cls(DoubleArray(words), scores, surface, byte_ids, unknown, inside)
 
     def units(self, text: bytes) -> list[bytes]:
         """Parts of a text that no piece crosses; together they are the marked text. A space is
@@ -120,11 +127,13 @@ class Pieces:
         if not text:
             return []
         marked = b" " + text.replace(MARK, b" ")
-        return re.findall(rb"\n| +[^ \n]*|[^ \n]+", marked) if self.splits_lines else re.findall(rb" +[^ ]*|[^ ]+", marked)
+        data = np.frombuffer(marked, dtype=np.uint8)
+        cuts = [0, *(np.flatnonzero(~self.inside[data[:-1].astype(np.uint16) * 256 + data[1:]]) + 1).tolist(), len(marked)]
+        return [marked[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def paths(self, units: list[bytes]) -> list[np.ndarray]:
+    def paths(self, units: list[bytes]) -> list[list[int]]:
         """Ids of the best path of each unit."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(units)
+        out: list[list[int]] = [[]] * len(units)
         marked = [u.replace(b" ", MARK) for u in units]
         order = sorted(range(len(units)), key=lambda i: len(marked[i]))
         at = 0
@@ -137,7 +146,7 @@ class Pieces:
             at = end
         return out
 
-    def _search(self, words: list[bytes]) -> list[np.ndarray]:
+    def _search(self, words: list[bytes]) -> list[list[int]]:
         width = len(words[-1])
         data = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(len(words), width).T.astype(np.int32)
         length = np.array([len(w) for w in words])
@@ -184,24 +193,29 @@ class Pieces:
                 if p[at] >= 0:
                     ids.append(p[at])
                 else:
-                    ids.extend(self.byte_ids[c] for c in w[s[at] : at][::-1])
+                    ids.extend(int(self.byte_ids[c]) for c in w[s[at] : at][::-1])
                 at = s[at]
-            out.append(np.array(ids[::-1], dtype=np.int32))
+            ids.reverse()
+            out.append(ids)
         return out
 
     def encoder(self):
-        """A function from text to ids that remembers the paths of recent units."""
+        """A function from texts to their ids that remembers the paths of recent units. The paths
+        of all new units of the texts are searched together."""
         memory: dict[bytes, bytes] = {}
 
-        def encode(text: bytes) -> np.ndarray:
-            units = self.units(text)
-            new = list(set(units) - memory.keys())
-            if new:
-                if len(memory) + len(new) > CACHE_UNITS:
-                    memory.clear()
-                    new = list(set(units))
-                memory.update((u, ids.tobytes()) for u, ids in zip(new, self.paths(new), strict=True))
-            return np.frombuffer(b"".join(map(memory.__getitem__, units)), dtype=np.int32)
+        def encode(many: list[bytes]) -> list[np.ndarray]:
+            units = [self.units(t) for t in many]
+            new = list(set().union(*units) - memory.keys())
+            if len(memory) + len(new) > CACHE_UNITS:
+                memory.clear()
+                new = list(set().union(*units))
+            found = self.paths(new)
+            flat, at = np.fromiter((i for ids in found for i in ids), dtype=np.int32).tobytes(), 0
+            for unit, ids in zip(new, found, strict=True):
+                memory[unit] = flat[at : at + 4 * len(ids)]
+                at += 4 * len(ids)
+            return [np.frombuffer(b"".join(map(memory.__getitem__, u)), dtype=np.int32) for u in units]
 
         return encode
 
@@ -220,9 +234,9 @@ def encode_documents(docs: DataFrame, model_path: str, file_scores: bool = False
         encode, is_byte = pieces.encoder(), np.zeros(pieces.scores.size, dtype=bool)
         is_byte[pieces.byte_ids] = True
         for whole in batches:
-            for low in range(0, whole.num_rows, 256):
-                batch = whole.slice(low, 256)
-                ids = [encode(t or b"") for t in texts(batch.column(1))]
+            for low in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(low, ROWS)
+                ids = encode([t or b"" for t in texts(batch.column(1))])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([i.size for i in ids], pa.int64()), pa.array([int(is_byte[i].sum()) for i in ids], pa.int64()), lists(ids, pa.int32())],
                     ["doc_id", "n_pieces", "n_byte_pieces", "piece_ids"],
@@ -240,8 +254,8 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 256):
-                batch = whole.slice(low, 256)
+            for low in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(low, ROWS)
                 column = batch.column(place)
                 flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(n or 0 for n in pc.list_value_length(column).to_pylist())])
                 out = [held.value.decode(flat[a:b]).decode(errors="replace") for a, b in zip(ends, ends[1:], strict=False)]
@@ -260,18 +274,18 @@ def piece_counts(docs: DataFrame, model_path: str) -> DataFrame:
         pieces = held.value
         encode, is_byte = pieces.encoder(), np.zeros(pieces.scores.size, dtype=bool)
         is_byte[pieces.byte_ids] = True
-        for batch in batches:
-            counts, fallback, digests, same = [], [], [], []
-            for text in texts(batch.column(1)):
-                text = text or b""
-                ids = encode(text)
-                counts.append(ids.size)
-                fallback.append(int(is_byte[ids].sum()))
-                digests.append(hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
-                same.append(pieces.decode(ids) == text.replace(MARK, b" "))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(fallback, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())],
-                ["doc_id", "n_pieces", "n_byte_pieces", "ids_sha256", "round_trip"],
-            )
+        for whole in batches:
+            for low in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(low, ROWS)
+                given = [t or b"" for t in texts(batch.column(1))]
+                ids = encode(given)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0), pa.array([i.size for i in ids], pa.int64()), pa.array([int(is_byte[i].sum()) for i in ids], pa.int64()),
+                        pa.array([hashlib.sha256(",".join(map(str, i.tolist())).encode()).hexdigest() for i in ids], pa.string()),
+                        pa.array([pieces.decode(i) == t.replace(MARK, b" ") for i, t in zip(ids, given, strict=True)], pa.bool_()),
+                    ],
+                    ["doc_id", "n_pieces", "n_byte_pieces", "ids_sha256", "round_trip"],
+                )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, n_byte_pieces long, ids_sha256 string, round_trip boolean")
