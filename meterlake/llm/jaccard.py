@@ -2,16 +2,22 @@
 
 1. Documents with equal sets form one class; all later work is on classes.
 2. Blocks. Two sets that link differ in at most d n-grams, where d follows from their sizes. The
-   n-grams are dealt by hash over d + 1 segments, so that linked sets agree in at least one whole
-   segment: its hash is the block's key. Classes that share a block are candidates.
-3. Each connected group of candidates is cut into tiles by size and hash. A pair of tiles is one
-   cell: the sparse incidence matrix (classes by n-grams) times its transpose, accumulated over
+   n-grams are dealt by hash over segments so that linked sets agree in at least one whole segment:
+   its hash is the block's key. d + 1 segments make that certain, and small sets use as many. Large
+   sets use fewer and larger ones, so that unlike sets rarely meet, yet enough that a pair at the
+   limit agrees in SURE of them on average: it meets in none with a probability of exp(-SURE), less
+   than one in 10**15, which is of the order of a collision of hashes. Classes that share a block
+   are candidates.
+3. A connected group of candidates that fits is one cell. A larger one is taken apart into the
+   classes that share a block with the same least class, and these are cut into tiles by size and
+   hash; a pair of tiles is one cell: the sparse incidence matrix (classes by n-grams) times its transpose, accumulated over
    slices of n-grams, holds the overlap of every pair; pairs of tiles and pairs of classes whose
-   sizes alone forbid a link are discarded. Every pair of a group is in exactly one cell.
+   sizes alone forbid a link are discarded. Every pair of candidates is in a cell, and is counted in
+   one of them.
 4. A cell gives out links as a spanning forest and the number of links of each class; the
    components of the forest are the groups of near duplicates.
 
-No pair is lost: see `Blocks` for empty segments. What a task holds is bounded by the tile size."""
+See `Blocks` for empty segments. What a task holds is bounded by the tile size."""
 
 from __future__ import annotations
 
@@ -31,6 +37,8 @@ from meterlake.llm.text import LOWER, gram_hashes, lists, mix, signed, texts, wo
 
 #: Sizes of one instance of blocks lie within this factor.
 SPREAD = 1.3
+#: Segments that a pair at the limit agrees in on average, where not all of them need be used.
+SURE = 36
 #: Classes in a tile, and n-grams in a tile.
 TILE_ROWS = 192
 TILE_GRAMS = 2_000_000
@@ -57,15 +65,32 @@ class Blocks:
         low = math.floor(SPREAD**i + 1e-9)
         high = max(low, math.floor(SPREAD ** (i + 1) + 1e-9) - 1)
         most = (high + high * 100 // p) * (100 - p) // (100 + p)
+        sure = self._sure_segments(low, high)
+        if sure < most + 3:
+            return low, high, sure, sure
         spare = 2
         while True:
             segments = most + 1 + spare
             empty = segments * math.exp(-low / segments)
-            need = 2 + math.ceil(empty + 4 * math.sqrt(empty))
-            if need <= spare or most == 0 or segments >= 4 * (most + 1) + 8:
+            need = 1 + math.ceil(empty + 2 * math.sqrt(empty))
+            if need <= spare or most == 0 or spare > most // 2 + 2:
                 return low, high, segments, spare
             spare += max(1, (need - spare) // 2)
 
+    def _sure_segments(self, low: int, high: int) -> int:
+        """The least number of segments in which sets that just link agree in SURE filled segments
+        on average: a segment agrees unless one of the d n-grams that differ falls into it. As the
+        hashes are spread evenly, a pair that agrees in none is as likely as exp(-SURE)."""
+        p, segments = self.percent / 100, 1
+        while True:
+            agreed = []
+            for n in (low, high):
+                d = (1 - p) / (1 + p) * (n + n / p)
+                agreed.append(segments * (math.exp(-d / segments) - math.exp(-(n + n / p + d) / 2 / segments)))
+            if min(agreed) >= SURE or segments > 4 * high:
+                return segments
+            segments += max(1, segments // 50)
+
     def instances(self, n: int) -> range:
         def of(size: int) -> int:
             i = max(0, int(math.log(size) / math.log(SPREAD)) - 1)
@@ -170,7 +195,8 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def cell_links(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links of one cell: rows (a, b, 0) of a spanning forest and (a, null, links)."""
+    """Links of one cell: rows (a, b, 0) of a spanning forest and (a, null, links). A pair that
+    has several groups in common is counted in the least of them."""
     frame = frame.sort_values("key", kind="stable").drop_duplicates("key")
     keys, tile, weight = frame["key"].to_numpy(np.int64), frame["second"].to_numpy(bool), frame["copies"].to_numpy(np.int64)
     sets = [np.asarray(g, dtype=np.int64) for g in frame["grams"]]
@@ -181,7 +207,13 @@ def cell_links(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     np.fill_diagonal(link, False)
     if tile.any() and not tile.all():  # two tiles: pairs within one of them are in another cell
         link &= tile[:, None] != tile[None, :]
-    degree = link.astype(np.int64) @ weight
+    counted = link.copy()
+    groups, own = [frozenset(g) for g in frame["groups"]], int(frame["root"].iloc[0])
+    if any(len(g) > 1 for g in groups):
+        for i, j in zip(*np.nonzero(np.triu(link)), strict=True):
+            if min(groups[i] & groups[j]) != own:
+                counted[i, j] = counted[j, i] = False
+    degree = counted.astype(np.int64) @ weight
     a, b, left = [], [], np.ones(keys.size, dtype=bool)
     for start in range(keys.size):
         if not left[start]:
@@ -204,8 +236,8 @@ def cell_links(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def _cells(members: DataFrame, percent: int) -> DataFrame:
-    """Cells of each class: members has key, n, copies, root (group of candidates). A group that
-    fits is one cell. Else a tile is a range of sizes, in which partners are at most one range
+    """Cells of each class: members has key, n, copies, root (a group) and groups (all groups of
+    the key). A group that fits is one cell. Else a tile is a range of sizes, in which partners are at most one range
     away, and a slice of the hashes."""
     groups = members.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
     step = math.log(100 / percent) if percent < 100 else 1.0
@@ -227,7 +259,20 @@ def _cells(members: DataFrame, percent: int) -> DataFrame:
         f" filter(transform(sequence(0, coalesce(above, 1) - 1), t -> {up}), c -> above is not null and level >= 0),"
         f" filter(transform(sequence(0, coalesce(below, 1) - 1), t -> {down}), c -> below is not null and level >= 0))"
     )
-    return placed.withColumn("own", own).select("key", "copies", "root", F.explode(F.expr(cells)).alias("cell")).select("key", "copies", "root", "cell.*")
+    return placed.withColumn("own", own).select("key", "copies", "root", "groups", F.explode(F.expr(cells)).alias("cell")).select("key", "copies", "root", "groups", "cell.*")
+
+
+def _groups(connected: DataFrame, candidates: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, n, copies, root, groups: the groups in which a class meets its candidates."""
+    placed = connected.withColumnRenamed("node", "key").join(classes, "key")
+    sizes = placed.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
+    fits = sizes.withColumn("fits", (F.col("rows") <= TILE_ROWS) & (F.col("grams") <= TILE_GRAMS)).select("root", "fits")
+    placed = placed.join(fits, "root")
+    whole = placed.where("fits").select("key", "n", "copies", "root", F.array("root").alias("groups"))
+    hubs = candidates.select(F.col("a").alias("key"), F.col("b").alias("hub")).union(candidates.select("b", "b")).distinct()
+    of_hub = hubs.groupBy("key").agg(F.collect_set("hub").alias("groups"))  # at most one for each block of a class
+    apart = placed.where("not fits").select("key", "n", "copies").join(of_hub, "key")
+    return whole.union(apart.select("key", "n", "copies", F.explode("groups").alias("root"), "groups"))
 
 
 def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -246,11 +291,12 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     classes = kept(rows.where("key is not null").groupBy("key").agg(F.first("n_shingles").alias("n"), F.count("*").alias("copies")), "jaccard-classes")
 
     posted = text.mapInArrow(_block_keys(n, blocks), "key long, blocks array<long>").select(F.explode("blocks").alias("block"), "key")
-    candidates = (
+    candidates = kept(
         posted.withColumn("hub", F.expr("min(key) over (partition by block)"))
-        .where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
+        .where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct(),
+        "jaccard-pairs",
     )
-    members = kept(components(candidates, "jaccard-candidates").join(classes, F.col("node") == F.col("key")).select("key", "n", "copies", "root"), "jaccard-members")
+    members = kept(_groups(components(candidates, "jaccard-candidates"), candidates, classes), "jaccard-members")
     wanted = spark.sparkContext.broadcast(membership_filter(members, "key"))
     sets = text.mapInArrow(_sets(n, wanted), "key long, grams array<long>").groupBy("key").agg(F.first("grams").alias("grams"))
     cells = _cells(members, percent).join(sets, "key")
