@@ -40,7 +40,7 @@ SPREAD = 1.3
 #: Segments that a pair at the limit agrees in on average, where not all of them need be used.
 SURE = 36
 #: Classes in a tile, and n-grams in a tile.
-TILE_ROWS = 192
+TILE_ROWS = 768
 TILE_GRAMS = 2_000_000
 #: Columns of the incidence matrix that are multiplied at a time.
 SLICE = 4096
