@@ -80,38 +80,44 @@ def cores_cost(cores: Column, minutes: Column) -> Column:
 
 
 FIXED_PLACES = 1e8
-FIXED_LIMIT = 9e10  # amounts from here on do not fit a long at 8 places
-LOW_BITS = 20
+LIMB_BITS = 21
+TOP = float(1 << 63)
+#: Limbs of an amount and what one of each is worth: 8 places after the point, three limbs of the
+#: whole part below 2**63, and multiples of 2**63.
+LIMBS = {"places": "0.00000001", "low": "1", "middle": str(1 << LIMB_BITS), "high": str(1 << 2 * LIMB_BITS), "top": str(1 << 63)}
 
 
 def fixed_parts(name: str, x: Column) -> dict[str, Column]:
-    """Columns to sum a double amount exactly, apart from one rounding to 8 places: the high and low
-    bits of the amount as a long, and the amount itself where it is too large for that."""
-    fits = F.abs(x) < FIXED_LIMIT
-    fixed = F.rint(F.when(fits, x) * FIXED_PLACES).cast("long")
-    return {
-        f"{name}_high": F.shiftright(fixed, LOW_BITS),
-        f"{name}_low": fixed.bitwiseAND(F.lit((1 << LOW_BITS) - 1)),
-        f"{name}_huge": F.when(~fits, x),
+    """Longs to sum a double amount exactly, apart from one rounding to 8 places. Every amount is
+    taken apart in the same way: the steps are exact in doubles. NaN counts as 0; an infinite
+    amount is an error. Trillions of rows fit, as a limb has 27 bits at most, but for `top`."""
+    size = F.abs(F.nanvl(x, F.lit(0.0)))
+    sign = F.when(x < 0, F.lit(-1)).otherwise(F.lit(1)).cast("long")
+    top = F.floor(size / TOP)
+    rest = size - top.cast("double") * TOP
+    whole = F.floor(rest)
+    mask = F.lit((1 << LIMB_BITS) - 1)
+    limbs = {
+        "places": F.rint((rest - whole.cast("double")) * FIXED_PLACES).cast("long"), "low": whole.bitwiseAND(mask),
+        "middle": F.shiftright(whole, LIMB_BITS).bitwiseAND(mask), "high": F.shiftright(whole, 2 * LIMB_BITS), "top": top,
     }
+    valid = F.when(size < F.lit(2.0**95), F.lit(True)).otherwise(F.raise_error(F.lit("an amount is infinite or beyond decimal(37,8)")).cast("boolean"))
+    return {f"{name}_{part}": F.when(x.isNotNull() & valid, limb * sign) for part, limb in limbs.items()}
 
 
-def parts_sum(high: Column, low: Column, huge: Column, hit: Column | None = None) -> Column:
+def parts_sum(*limbs: Column, hit: Column | None = None) -> Column:
     """Aggregate: total of fixed parts as decimal(38,8), of all rows or of those that meet a condition."""
-
-    def added(part: Column, kind: str) -> Column:
-        return F.coalesce(F.sum(part if hit is None else F.when(hit, part)).cast(kind), F.lit(0).cast(kind))
-
-    last_places = (added(high, "decimal(19,0)") * F.lit(1 << LOW_BITS).cast("decimal(7,0)") + added(low, "decimal(19,0)"))
-    total = (last_places.cast("decimal(28,0)") * F.lit("0.00000001").cast("decimal(8,8)")).cast("decimal(38,8)")
-    return (total + added(huge, "decimal(38,8)")).cast("decimal(38,8)")
+    total = None
+    for limb, worth in zip(limbs, LIMBS.values(), strict=True):
+        added = F.coalesce(F.sum(limb if hit is None else F.when(hit, limb)), F.lit(0)).cast("decimal(19,0)")
+        kind = "decimal(8,8)" if worth.startswith("0") else f"decimal({len(worth)},0)"
+        value = (added * F.lit(worth).cast(kind)).cast("decimal(37,8)")  # a sum of two keeps its 8 places
+        total = value if total is None else total.cast("decimal(37,8)") + value
+    return total.cast("decimal(38,8)")
 
 
 def exact_sum(x: Column, hit: Column | None = None) -> Column:
-    """Aggregate: sum of double amounts that does not depend on row order, as decimal(38,8).
-
-    Summing bits apart lets trillions of rows fit and costs a fifth of summing decimals. Only
-    single amounts of ninety billion and more, where a double has no 8 places, are summed as they are."""
+    """Aggregate: sum of double amounts that does not depend on row order, as decimal(38,8)."""
     return parts_sum(*fixed_parts("x", x).values(), hit=hit)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions.labels import arrow, env_base, label, log_type_label, org_label, percent_change, trend
-from meterlake.functions.pricing import fixed_parts, parts_sum, shown, usage
+from meterlake.functions.pricing import LIMBS, fixed_parts, parts_sum, shown, usage
 from meterlake.operators.filters import Day, as_date, in_days, log_type_is
 from meterlake.schema import Pricing
 
@@ -118,7 +118,7 @@ def _measures(df: DataFrame, periods: Sequence[Period], pricing: Pricing) -> lis
     def total(name: str, inside: Column) -> Column:
         if used.summed:
             return used.total(F.col(name), inside)
-        return parts_sum(*[F.col(f"_{name}_{part}") for part in ("high", "low", "huge")], hit=inside)
+        return parts_sum(*[F.col(f"_{name}_{part}") for part in LIMBS], hit=inside)
 
     out = []
     for i, p in enumerate(periods):
