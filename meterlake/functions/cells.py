@@ -18,19 +18,26 @@ NULL_TOKENS = [
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 # Texts that can be a date: year first, three numbers, or a month name.
-_DATE = r"^(\d{4}[-/]\d|\d{1,2}[-/.]\d{1,2}[-/.]\d{2}|\d{1,2}[- ][A-Za-z]{3}|[A-Za-z]{3,9} \d)"
-_YEAR_20XX = r"^(\d{1,2}[-/.]\d{1,2}[-/.])([0-6]\d)(?=\s|T|$)"
-_YEAR_19XX = r"^(\d{1,2}[-/.]\d{1,2}[-/.])([7-9]\d)(?=\s|T|$)"
-_ISO_DATE = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})[T\s]*"
+_DATE = r"^(\d{4}[-/.]\d|(19|20)\d{6}([T\s]|$)|\d{1,2}[-/.]\d{1,2}[-/.]\d{2}|\d{1,2}[-/ ][A-Za-z]{3}|[A-Za-z]{3,9}\.? \d)"
+_YEAR_20XX = r"^(\d{1,2}(?:[-/.]\d{1,2}[-/.]|[-/ ][A-Za-z]{3,9}[-/ ]))([0-6]\d)(?=\s|T|$)"
+_YEAR_19XX = r"^(\d{1,2}(?:[-/.]\d{1,2}[-/.]|[-/ ][A-Za-z]{3,9}[-/ ]))([7-9]\d)(?=\s|T|$)"
+_COMPACT = r"^((?:19|20)\d{2})(0[1-9]|1[0-2])([0-2]\d|3[01])(?=[T\s]|$)"
+_ISO_DATE = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})[T\s]*"
+_SEPT = r"(?i)\bsept\b"
+_DAY_MONTH = r"^(\d{1,2})[-/ ]([A-Za-z]{3,9})[-/, ]+(\d{4})"
+_MONTH_DAY = r"^([A-Za-z]{3,9})\.? +(\d{1,2}),? +(\d{4})"
 _THREE_PARTS = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})[T\s]*"
 _TWELVE = r"\b12((?::\d+)+(?:\.\d+)?\s*[AaPp][Mm])$"
 _AM_PM = r"\s*[AaPp][Mm]$"
 _PM = r"\d\s*[Pp][Mm]$"
-_NO_HALF_DAY_HOUR = r"\s(0+|1[3-9]|2\d)(:\d+)+(\.\d+)?\s*[AaPp][Mm]$"
+_NO_HALF_DAY_HOUR = r"\s(1[3-9]|2\d)(:\d+)+(\.\d+)?\s*[AaPp][Mm]$"
 TIME_ONLY = r"^\s*\d{1,2}(:\d{2}){1,2}(\.\d+)?\s*$"
 
-# Dates with a month name, in any of these orders.
-_NAMED_MONTH = "[d-MMM-yyyy][d MMM yyyy][d MMMM yyyy][MMM d, yyyy][MMMM d, yyyy][ H:m[:s]]"
+# Dates with a month name, in any of these orders, with a clock of up to six places.
+_NAMED_MONTH = (
+    "[d MMM yyyy][d MMMM yyyy][MMM d, yyyy][MMMM d, yyyy]"
+    "[ H:m[:s[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]]]"
+)
 
 
 def is_missing(c: Column) -> Column:
@@ -70,7 +77,8 @@ def timestamp(c: Column) -> Column:
     text = F.trim(c)
     iso = text
     for pattern, into in (
-        (_YEAR_20XX, "$120$2"), (_YEAR_19XX, "$119$2"), (_ISO_DATE, "$1-$2-$3 "), (_TWELVE, "00$1"), (_AM_PM, ""),
+        (_YEAR_20XX, "$120$2"), (_YEAR_19XX, "$119$2"), (_COMPACT, "$1-$2-$3"), (_ISO_DATE, "$1-$2-$3 "), (_SEPT, "Sep"),
+        (_DAY_MONTH, "$1 $2 $3"), (_MONTH_DAY, "$1 $2, $3"), (_TWELVE, "00$1"), (_AM_PM, ""),
     ):
         iso = F.regexp_replace(iso, pattern, into)
     moment = F.coalesce(

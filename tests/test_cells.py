@@ -26,6 +26,19 @@ TIMES = {
     "05/06/2024 12:05:06 pm": (2024, 6, 5, 12, 5, 6),
     "05/06/2024 1:05 PM": (2024, 6, 5, 13, 5),
     "Jun 5, 2024 1:05 PM": (2024, 6, 5, 13, 5),
+    "03-Jan-24": (2024, 1, 3),
+    "3 Jan 24 5:00": (2024, 1, 3, 5),
+    "3-Jan-98": (1998, 1, 3),
+    "03-Jan-2024 10:11:12.123": (2024, 1, 3, 10, 11, 12, 123000),
+    "3/January/2024 10:11": (2024, 1, 3, 10, 11),
+    "2024.01.03": (2024, 1, 3),
+    "20240103": (2024, 1, 3),
+    "20240103 10:11": (2024, 1, 3, 10, 11),
+    "Sept 3, 2024": (2024, 9, 3),
+    "September 3 2024": (2024, 9, 3),
+    "03/01/2024 00:30 AM": (2024, 1, 3, 0, 30),
+    "20241303": None,
+    "2024.5": None,
     "05/06/2024 13:05 PM": None,
     "31/31/2024": None,
     "2024-13-41": None,
