@@ -27,7 +27,9 @@ NOW = dt.datetime(2024, 7, 1, 8)
 
 @register("parse_timestamps", """SELECT l_orderkey, l_linenumber, l_shipdate + to_minutes(CAST(l_partkey % 1440 AS BIGINT)) AS minute_text,
   l_shipdate + to_seconds(CAST(l_partkey % 86400 AS BIGINT)) AS second_text, l_shipdate AS month_first_text,
-  CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_shipdate END AS named_text, date_trunc('day', l_shipdate) AS short_year_text FROM lineitem""")
+  CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_shipdate END AS named_text, date_trunc('day', l_shipdate) AS short_year_text,
+  l_shipdate AS compact_text, l_shipdate + to_minutes(CAST(l_partkey % 1440 AS BIGINT)) AS named_minute_text, l_shipdate AS long_name_text,
+  l_shipdate + INTERVAL 30 MINUTE AS midnight_text FROM lineitem""")
 def parse_timestamps(spark, d):
     t = table(spark, d, "lineitem")
     day = F.col("l_shipdate").cast("timestamp")
@@ -41,6 +43,10 @@ def parse_timestamps(spark, d):
         F.when(F.dayofmonth(day) > 12, F.date_format(day, "M/d/yyyy")).otherwise(F.date_format(day, "d.M.yyyy")).alias("month_first_text"),
         F.when(F.col("l_linenumber") % 3 == 0, F.lit(" NaT ")).otherwise(F.date_format(day, "dd-MMM-yyyy")).alias("named_text"),
         F.date_format(day, "dd/MM/yy").alias("short_year_text"),
+        F.when(is_even, F.date_format(day, "yyyyMMdd")).otherwise(F.date_format(day, "yyyy.MM.dd")).alias("compact_text"),
+        F.when(is_even, F.date_format(minute, "d MMM yy H:mm")).otherwise(F.date_format(minute, "dd-MMM-yyyy HH:mm:ss.SSS")).alias("named_minute_text"),
+        F.regexp_replace(F.date_format(day, "MMM d, yyyy"), "Sep", "Sept").alias("long_name_text"),
+        F.date_format(day, "dd/MM/yyyy '00:30 AM'").alias("midnight_text"),
     )
     return K.with_timestamps(raw, {c: F.col(c) for c in raw.columns[2:]})
 
@@ -185,8 +191,22 @@ def ingest_files(spark, d):
     return ingested(spark, d).select(*INGESTED_COLUMNS.split(", "), "cost")
 
 
+@register("ingest_quoted", """SELECT concat(l_orderkey, '-', l_linenumber) AS task_run_id, concat('line "', l_returnflag, '",', chr(10), 'next, ', l_linestatus) AS task_name,
+  CAST(l_partkey AS VARCHAR) AS task_id, l_quantity AS metered_value, 'Task Usage' AS log_type FROM lineitem""")
+def ingest_quoted(spark, d):
+    """Cells and a header with quotes, commas and line breaks."""
+    folder = work_dir(spark, "quoted-logs")
+    name = F.concat(F.lit('line "'), "l_returnflag", F.lit('",\nnext, '), "l_linestatus")
+    write_csv(table(spark, d, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("Task Run ID"), name.alias("Task Name"),
+        F.lit("x").alias('free\n"text", any'), F.col("l_partkey").alias("Task ID"), F.col("l_quantity").alias("Metered Value"),
+    ), folder)
+    rows, _ = log_files.ingest_files(spark, log_files.list_log_files(spark, folder), RUN_DATE)
+    return rows.select("task_run_id", "task_name", "task_id", "metered_value", "log_type")
+
+
 IDENTITY_SQL = "concat_ws('|', " + ", ".join(
-    f"COALESCE({c}, '')" for c in (
+    f"concat(length(COALESCE({c}, '')), ':', COALESCE({c}, ''))" for c in (
         "task_id", "task_run_id", "task_name", "task_type", "project_name", "folder_name", "org", "environment", "agent_name", "log_type")
 ) + """, COALESCE(strftime(start_time, '%Y-%m-%d %H:%M:%S'), ''), COALESCE(strftime(end_time, '%Y-%m-%d %H:%M:%S'), ''),
 CAST(CAST(ROUND(COALESCE(metered_value, 0), 6) AS DECIMAL(28,6)) AS VARCHAR))"""

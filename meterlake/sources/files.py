@@ -19,6 +19,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def qualified(spark: SparkSession, path: str) -> tuple[str, str, str]:
+    """Scheme, authority and path of a path as it is given, completed by the session's defaults."""
+    fs, p = _fs(spark, path)
+    uri = fs.makeQualified(p).toUri()
+    return uri.getScheme() or "", uri.getAuthority() or "", uri.getPath()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)

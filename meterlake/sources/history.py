@@ -77,8 +77,10 @@ def append_tasks(
     """Adds the rows of a priced batch whose hash is not stored yet and logs the addition.
 
     The hash covers the end time, so a stored copy can only lie in the same month: only those
-    months' hashes are read, and they meet the batch on the partitioning that took out its repeated
-    rows. Running a batch again adds nothing."""
+    months' hashes are read. They meet the batch before its repeated rows are taken out, so that a
+    second delivery is not grouped only to be thrown away. Running a batch again adds nothing; with
+    the same ``batch_id`` it also records the addition, once, if the first run died before that."""
+    again = batch_id is not None
     batch_id = batch_id or uuid.uuid4().hex
     staging = f"{root}/_staging/{batch_id}-{uuid.uuid4().hex}"
     rows = to_tasks(batch.withColumns({"batch_id": F.lit(batch_id), "created_at": F.lit(created_at)}))
@@ -88,7 +90,7 @@ def append_tasks(
 
     touched = _in_months(_months(staged))
     stored = read_history(spark, root).where(touched)
-    write_tasks(not_stored(one_per_hash(staged), stored), tasks_path(root))
+    write_tasks(one_per_hash(not_stored(staged, stored)), tasks_path(root))
 
     history = read_history(spark, root)
     added_rows = history.where(touched & (F.col("batch_id") == batch_id))
@@ -105,7 +107,8 @@ def append_tasks(
         added.label if added else None,
     )
     note = ADDED_PREFIX + result.added_ranges if result.added_ranges else None
-    record_event(spark, root, "ADD", result.start_date, result.end_date, rows_added, total, note, created_at)
+    if not (again and is_recorded(spark, root, batch_id)):
+        record_event(spark, root, "ADD", result.start_date, result.end_date, rows_added, total, note, created_at, batch_id)
     return result
 
 
@@ -140,12 +143,17 @@ def delete_tasks(spark: SparkSession, root: str, f: TaskFilter, created_at: dt.d
 def record_event(
     spark: SparkSession, root: str, action: str, start: dt.date | None, end: dt.date | None,
     affected: int | None, remaining: int | None, note: str | None, created_at: dt.datetime,
+    cause: str | None = None,
 ) -> None:
-    event_id = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"  # in order of recording
+    event_id = f"{time.time_ns():020d}-{cause or uuid.uuid4().hex}"  # in order of recording
     row = (event_id, action, start, end, affected, remaining, note, created_at)
     spark.createDataFrame([row], EVENTS_SCHEMA).coalesce(1).write.mode("append").parquet(events_path(root))
 
 
+def is_recorded(spark: SparkSession, root: str, batch_id: str) -> bool:
+    return not read_events(spark, root).where(F.col("event_id").endswith(f"-{batch_id}")).isEmpty()
+
+
 def read_events(spark: SparkSession, root: str, action: str | None = None, limit: int | None = None) -> DataFrame:
     """Audit log, newest first."""
     if not files.exists(spark, events_path(root)):

@@ -252,3 +252,63 @@ def test_batch_views(spark, folder):
         (1.0,), (1.5,), (1.5,)]
     copies = df.unionByName(df.where("task_id = '1'").withColumn("source_file", F.lit("other")))
     assert dedup.full_row_duplicates(copies).count() == 2
+
+
+def test_line_breaks_in_cells_and_header(spark, tmp_path):
+    path = tmp_path / "quoted.csv"
+    path.write_text('Task ID,"Free\ntext",Metered Value,Task Name\n1,"a\nb",2.5,"x, ""y""\nz"\n2,,3,plain\n')
+    df, errors = log_files.ingest_files(spark, [str(path)], RUN_DATE)
+    assert values(df.orderBy("task_id"), "task_id", "metered_value", "task_name") == [("1", 2.5, 'x, "y"\nz'), ("2", 3.0, "plain")]
+    assert errors.count() == 0
+
+
+def test_bad_files_are_found_by_their_whole_path(spark, tmp_path):
+    from meterlake.sources.files import qualified
+
+    path = tmp_path / "a b%20c.csv"
+    path.write_text("Task ID,Metered Value\n1,2\n3,4,5,6\n")
+    df, errors = log_files.ingest_files(spark, [str(path)], RUN_DATE)
+    assert (df.count(), errors.count()) == (0, 1)
+    assert qualified(spark, str(path)) == ("file", "", str(path)) == qualified(spark, f"file://{path}")
+    assert log_files._reported("s3a://a/x.csv") != log_files._reported("s3a://b/x.csv")
+
+
+def test_hash_keeps_parts_apart(spark):
+    from meterlake.functions.identity import IDENTITY_TEXT, row_hash
+
+    def row(**cells):
+        return tuple(cells.get(c) for c in IDENTITY_TEXT) + (None, None, 1.0)
+
+    rows = [row(task_id="a|b", task_run_id="c"), row(task_id="a", task_run_id="b|c"), row(task_id="a", task_run_id="1:b"),
+            row(task_id="", task_run_id="1:b"), row(task_run_id="1:b")]
+    schema = ", ".join(f"{c} string" for c in IDENTITY_TEXT) + ", start_time timestamp, end_time timestamp, metered_value double"
+    hashes = [r[0] for r in values(spark.createDataFrame(rows, schema), row_hash())]
+    assert len(set(hashes)) == 4 and hashes[3] == hashes[4]  # a blank is stored as NULL
+
+
+def test_stream_batch_that_died_before_its_event(spark, folder, tmp_path, monkeypatch):
+    from meterlake.streaming.ingest import start_ingest
+
+    source, root = tmp_path / "in", str(tmp_path / "lake")
+    source.mkdir()
+    (source / "a.csv").write_text(FILES["task_usage_standard.csv"])
+    (source / "broken.csv").write_text(FILES["broken.csv"])
+
+    def run():
+        start_ingest(spark, str(source), root, str(tmp_path / "checkpoint"), clock=lambda: NOW).awaitTermination()
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(history, "record_event", dies)
+        with pytest.raises(Exception, match="lost"):
+            run()
+    assert history.read_history(spark, root).count() == 4 and history.read_events(spark, root).count() == 0
+    run()
+    assert values(history.read_events(spark, root), "action", "affected_rows", "remaining_rows") == [("ADD", 4, 4)]
+    assert spark.read.parquet(f"{root}/ingest_errors").count() == 1
+    batch = history.read_history(spark, root).first().batch_id
+    df, _ = read(spark, folder, "task_usage_standard.csv")
+    history.append_tasks(spark, root, df, NOW, batch)
+    assert history.read_history(spark, root).count() == 4 and history.read_events(spark, root).count() == 1
