@@ -137,7 +137,7 @@ def outlier_estimates(counted: DataFrame) -> DataFrame:
     names = kept(_group_names(rows), "rules-groups")
     rows = kept(rows.join(names.withColumnsRenamed({"lang": "_l", "source": "_s"}), F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))).select("grp", *DIMS), "rules-rows")
     median = lambda c: F.percentile_approx(c, 0.5, 10_000)
-    centre = rows.groupBy("grp").agg(*[median(a).alias(f"m_{a}") for a in DIMS])
+    centre = kept(rows.groupBy("grp").agg(*[median(a).alias(f"m_{a}") for a in DIMS]), "rules-centres")  # few rows of a known size: the hot group is not shuffled
     spread = rows.join(centre, "grp").groupBy("grp").agg(*[F.first(f"m_{a}").alias(f"m_{a}") for a in DIMS], *[median(F.abs(F.col(a) - F.col(f"m_{a}"))).alias(f"d_{a}") for a in DIMS])
     estimate = spread.select("grp", *[f"m_{a}" for a in DIMS], *[
         (F.sqrt((1.4826 * F.col(f"d_{a}")) ** 2 + FLOORS[a] ** 2) if a == b else F.lit(0.0)).alias(f"l_{a}_{b}") for a, b in _pairs()
