@@ -16,8 +16,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from the labels of this stage's rows."""
-    return bayes_svm.good_documents(docs, table(spark, sf_dir, "labels"))
+    """Documents that the classifier rejects go. It learns from the labelled rows of the whole
+    table: those that the rules keep are nearly all good, and from them alone it would reject none."""
+    return bayes_svm.good_documents(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -174,9 +174,11 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the model accepts, with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+def good_documents(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that the model accepts, with all their columns. It learns from the labelled
+    rows of `learn_from` (doc_id, text), or else of docs. Where an earlier step has taken out the bad
+    rows, docs holds one class only, and a model of one class would accept every text."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs if learn_from is None else learn_from, labels))
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
