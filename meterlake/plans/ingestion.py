@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from meterlake.functions import cells as K
 from meterlake.operators import dedup, ingest
-from meterlake.operators.filters import TaskFilter
+from meterlake.operators.filters import TaskFilter, analysis_end
 from meterlake.operators.stats import stats
 from meterlake.plans.registry import BASE, FACTOR, TPCH_PARENT, base, days, register, shown, total
-from meterlake.plans.views import table, tasks_tpch, tpch_organizations
+from meterlake.plans.views import table, tasks_events, tasks_tpch, tpch_organizations
 from meterlake.schema import BULK, TASK, Pricing
 from meterlake.sources import history, log_files, organizations as O
 from meterlake.sources.files import work_dir
-from meterlake.sources.sinks import write_csv
+from meterlake.sources.sinks import export_batch, export_between, write_csv
 
 RUN_DATE = dt.date(2024, 7, 1)
 NOW = dt.datetime(2024, 7, 1, 8)
@@ -279,6 +279,40 @@ def history_events(spark, d):
     return events.select("action", "start_date", "end_date", "affected_rows", "remaining_rows")
 
 
+@register("audit_display", f"""{base('tpch')}, early AS (SELECT MIN(end_date) AS a, MAX(end_date) AS z, COUNT(*) AS n FROM tasks WHERE end_date < DATE '1999-01-01'),
+late AS (SELECT MIN(end_date) FILTER (end_date >= DATE '1998-01-01') AS a, MAX(end_date) AS z, COUNT(*) FILTER (end_date >= DATE '1999-01-01') AS n, COUNT(*) AS whole FROM tasks)
+SELECT '2024-07-01 08:00:00' AS created_at, concat(a, ' to ', z) AS processed_date_range, n AS affected_rows, n AS remaining_rows FROM early
+UNION ALL SELECT '2024-07-01 08:00:00', concat(a, ' to ', z), n, whole FROM late""")
+def audit_display(spark, d):
+    shown_rows = history.events_display(history.read_events(spark, stored_view(spark, d), "ADD"))
+    return shown_rows.select("created_at", "processed_date_range", "affected_rows", "remaining_rows")
+
+
+@register("export_round_trip", f"""{base('tpch')} SELECT task_run_id AS "Task Run ID", status AS "Status", metered_value AS "Metered Value",
+  round_even(metered_value * {FACTOR}, 8) AS "IPUs" FROM tasks""")
+def export_round_trip(spark, d):
+    """A priced batch written under the standard titles and read back."""
+    path = work_dir(spark, "export")
+    export_batch(ingest.price(tasks_tpch(spark, d)), path)
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    return back.select("Task Run ID", "Status", *[F.col(c).cast("double").alias(c) for c in ("Metered Value", "IPUs")])
+
+
+@register("timestamp_export", f"""{base('events')} SELECT task_run_id, end_time, metered_value FROM tasks
+WHERE end_time BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-11 18:30:00'""")
+def timestamp_export(spark, d):
+    path = work_dir(spark, "export")
+    export_between(tasks_events(spark, d), dt.datetime(2024, 1, 5, 6), dt.datetime(2024, 1, 11, 18, 30), path, "parquet")
+    return spark.read.parquet(path).select("task_run_id", "end_time", "metered_value")
+
+
+@register("analysis_end", f"""{base('tpch')} SELECT task_run_id FROM tasks WHERE {days('1995-01-01', '1999-06-14')}""")
+def analysis_end_rows(spark, d):
+    """Rows up to the last whole day before the day of the analysis."""
+    last = analysis_end("2001-12-31", "1999-06-15")
+    return TaskFilter("1995-01-01", last).apply(tasks_tpch(spark, d)).select("task_run_id")
+
+
 @register("history_delete", f"""{base('tpch')}{STORED} SELECT task_run_id, task_id, NULLIF(org, '') AS org, log_type, start_time, end_time, metered_value,
   i AS ipus, c AS cost FROM priced WHERE NOT COALESCE({days('1996-03-01', '1997-02-10')} AND environment = 'NATION_3', FALSE)
   AND NOT COALESCE({days('2000-01-01', '2000-03-31')}, FALSE)""")

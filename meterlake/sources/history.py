@@ -126,7 +126,7 @@ def delete_tasks(spark: SparkSession, root: str, f: TaskFilter, created_at: dt.d
     deleted = sum(per_month.values())
     if deleted:
         staging = f"{root}/_rewrite/{uuid.uuid4().hex}"
-        write_tasks(kept_rows(history.where(_in_months(list(per_month))), f), staging)
+        kept_rows(history.where(_in_months(list(per_month))), f).select(*TASKS_SCHEMA.names).write.parquet(staging)
         kept = spark.read.schema(TASKS_SCHEMA).parquet(staging)
         left = set(_months(kept))
         if left:

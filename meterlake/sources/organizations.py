@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions.labels import base_org, blank_to_null, bulk_org
-from meterlake.schema import BULK, BULK_SUFFIX, ORGANIZATIONS_SCHEMA
+from meterlake.schema import BULK, ORGANIZATIONS_SCHEMA
 
 OTHER = "Other"
 
@@ -146,26 +146,3 @@ def file_name_orgs(files: DataFrame, catalog: DataFrame) -> DataFrame:
     base = F.coalesce(match, first)
     known = files.withColumn("_patterns", patterns)
     return known.withColumn("org", F.when(bulk, bulk_org(base)).otherwise(base)).drop("_patterns")
-
-
-def distinct_file_orgs(
-    file_names: Sequence[str], bulk: Sequence[bool], tokens: Sequence[tuple[str, str]], options: Sequence[str]
-) -> dict[str, str]:
-    """The same choice made file by file, for an upload list: an organization that an earlier file
-    took is used again only if nothing else fits. Works on the names the caller passes in."""
-    taken: set[str] = set()
-    chosen: dict[str, str] = {}
-    longest_first = sorted(tokens, key=lambda t: -len(t[0]))
-    for file_name, is_bulk in zip(file_names, bulk):
-        text = "".join(ch for ch in file_name.lower() if ch.isalnum())
-        is_bulk = is_bulk or "massingest" in text or (text.endswith("mi") and len(text) > 2)
-        named = [org + BULK_SUFFIX if is_bulk else org for token, org in longest_first if token in text]
-        named = [org for org in named if org in options]
-        free = [org for org in options if org not in taken]
-        same_kind = [org for org in free if org.endswith(BULK_SUFFIX) == is_bulk]
-        candidates = [org for org in named if org not in taken] + named + same_kind + free + list(options)
-        if candidates:
-            chosen[file_name] = candidates[0]
-            taken.add(candidates[0])
-    return chosen
-
