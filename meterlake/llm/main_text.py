@@ -37,12 +37,21 @@ SUPPORT = 0.6
 MIN_PAGES = 3
 
 # Fixed values of HTML: elements by what they are.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas"}
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg"}
+#: Without an end tag these reach to the end of the page; of the other raw elements only the tag goes.
+RAW_TO_END = {"script", "style", "textarea", "title"}
+NESTING = {"template", "svg"}
+MATH = {
+    "math", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts",
+    "mprescripts", "none", "mtable", "mtr", "mtd", "mstyle", "mpadded", "mphantom", "menclose", "merror", "semantics", "annotation", "annotation-xml",
+}
+#: Elements that a trailing slash ends.
+SLASH_ENDS = {"svg", "path", "circle"} | MATH
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s",
-    "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
-}
+    "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "object", "canvas",
+} | MATH
 LEFT_OUT = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head"} | RAW
 LEFT_OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 #: Words of class and id values that mark what is not the article.
@@ -73,6 +82,18 @@ def _left_out(name: str, attributes: dict[str, str]) -> bool:
     return bool(words & LEFT_OUT_WORDS)
 
 
+def _raw_ends(page: str, name: str) -> dict[int, int]:
+    """Ends of the elements of a raw name that have an end tag, by their start."""
+    out, opened = {}, []
+    for tag in re.finditer(rf"<(/?){name}(?=[\s/>]|$)[^>]*(?:>|$)", page, re.I):
+        if tag.group(1):
+            if opened:
+                out[opened.pop()] = tag.end()
+        elif not opened or name in NESTING and not tag.group().endswith("/>"):
+            opened.append(tag.start())
+    return out
+
+
 class Token:
     __slots__ = ("kind", "name", "text", "path", "article", "left_out", "block")
 
@@ -85,6 +106,7 @@ def tokens_of(page: str) -> list[Token]:
     paragraph ends where the next block starts."""
     out: list[Token] = []
     stack: list[tuple[str, str, bool, int]] = []  # name, label, left out, article number
+    raw_ends: dict[str, dict[int, int]] = {}
     articles, at = 0, 0
 
     def state() -> tuple[str, int, bool]:
@@ -133,11 +155,16 @@ def tokens_of(page: str) -> list[Token]:
         # the path leaves out inline elements, so that an unclosed one does not change what follows
         inner = path if name in INLINE else f"{path}/{label}"[-200:]
         out.append(Token("start", name, "", inner, article, left, name not in INLINE))
-        if name in VOID or (match.group(3) or "").rstrip().endswith("/") and name in ("path", "circle"):
+        if name in VOID or name in SLASH_ENDS and (match.group(3) or "").rstrip().endswith("/"):
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if name in RAW_TO_END:
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(page, at)
+                at = end.end() if end else len(page)
+            else:
+                if name not in raw_ends:
+                    raw_ends[name] = _raw_ends(page, name)
+                at = max(at, raw_ends[name].get(match.start(), at))
             continue
         stack.append((name, inner, left, article))
     return out

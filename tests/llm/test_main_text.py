@@ -31,6 +31,17 @@ def test_broken_markup():
     assert text("<article>one<!-- open") == "one"
 
 
+def test_raw_elements_end_where_they_end():
+    assert text('<article>a<svg width="1"/> b<p>c<math display="block" />d</p><svg><text>no</text></svg>e</article>') == "a\nb\ncd\ne"
+    assert text("<article>a <svg><svg><text>no</text></svg><text>no</text></svg>b</article>") == "a\nb"
+    assert text("<article>a<svg>b<p>c</p><svg><text>no</text></svg>d</article>") == "a\nb\nc\nd"
+    assert text("<p>x <math><mi>y</mi><mo>=</mo><mspace/><mn>2</mn></math> z</p>") == "x y=2 z"
+    assert text("<p>x <object data='a'>no plugin</object> <canvas>a chart</canvas> z</p>") == "x no plugin a chart z"
+    assert text("<p>one<svg><path d=''/><p>two<noscript><p>three<iframe src='x'><p>four<template><p>five") == "one\ntwo\nthree\nfour\nfive"
+    for name in ("script", "style", "textarea", "title"):
+        assert text(f"<p>one</p><{name}>no<p>no") == "one"
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
 
