@@ -54,7 +54,7 @@ INLINE = {
 } | MATH
 LEFT_OUT = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head"} | RAW
 LEFT_OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
-#: Words of class and id values that mark what is not the article.
+#: Words that mark what is not the article: a class or id counts if all its words are of these.
 LEFT_OUT_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb",
     "breadcrumbs", "sidebar", "aside", "footer", "header", "masthead", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "newsletter", "subscribe",
@@ -69,17 +69,21 @@ SCOPES = {"ul", "ol", "dl", "table", "select", "tbody", "thead", "tfoot"}
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-WORDS = re.compile(r"[a-z]+")
+PARTS = re.compile(r"[^\W\d_]+")
 BLANK = re.compile(r"\s+")
 
 
 def _left_out(name: str, attributes: dict[str, str]) -> bool:
-    if name in LEFT_OUT or attributes.get("role", "").lower() in LEFT_OUT_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
+    """Left out by what the element is."""
+    return name in LEFT_OUT or attributes.get("role", "").lower() in LEFT_OUT_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
+
+
+def _named_out(name: str, attributes: dict[str, str]) -> bool:
+    """Left out by a class or id, which only counts as a whole: `cookie-notice`, not `notice-period`."""
     if name in ("html", "body"):
         return False
-    words = set(WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-    return bool(words & LEFT_OUT_WORDS)
+    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
+    return any(words and LEFT_OUT_WORDS.issuperset(words) for words in (PARTS.findall(n) for n in named.split()))
 
 
 def _raw_ends(page: str, name: str) -> dict[int, int]:
@@ -95,34 +99,37 @@ def _raw_ends(page: str, name: str) -> dict[int, int]:
 
 
 class Token:
-    __slots__ = ("kind", "name", "text", "path", "article", "left_out", "block")
+    __slots__ = ("kind", "name", "text", "path", "article", "left_out", "named", "block")
 
-    def __init__(self, kind: str, name: str, text: str, path: str, article: int, left_out: bool, block: bool):
-        self.kind, self.name, self.text, self.path, self.article, self.left_out, self.block = kind, name, text, path, article, left_out, block
+    def __init__(self, kind: str, name: str, text: str, path: str, article: int, left_out: bool, named: tuple[int, ...], block: bool):
+        self.kind, self.name, self.text, self.path, self.article, self.left_out, self.named, self.block = kind, name, text, path, article, left_out, named, block
 
 
 def tokens_of(page: str) -> list[Token]:
     """Tokens of a page in order. Elements that are not closed end where their parent ends; a
-    paragraph ends where the next block starts."""
+    paragraph ends where the next block starts. The numbers in `named` are those of the open elements
+    that a class or id leaves out; an element that holds an article is none of them."""
     out: list[Token] = []
-    stack: list[tuple[str, str, bool, int]] = []  # name, label, left out, article number
+    stack: list[tuple[str, str, bool, int, tuple[int, ...]]] = []  # name, label, left out, article number, named
+    holders: set[int] = set()
+    elements = 0
     raw_ends: dict[str, dict[int, int]] = {}
     articles, at = 0, 0
 
-    def state() -> tuple[str, int, bool]:
-        return (stack[-1][1], stack[-1][3], stack[-1][2]) if stack else ("", 0, False)
+    def state() -> tuple[str, int, bool, tuple[int, ...]]:
+        return (stack[-1][1], stack[-1][3], stack[-1][2], stack[-1][4]) if stack else ("", 0, False, ())
 
     def say(text: str) -> None:
         if text:
-            path, article, left = state()
-            out.append(Token("text", "", html_module.unescape(text), path, article, left, False))
+            path, article, left, named = state()
+            out.append(Token("text", "", html_module.unescape(text), path, article, left, named, False))
 
     def close(names: set[str], scope: set[str]) -> None:
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in names:
                 while len(stack) > k:
-                    name, path, left, article = stack.pop()
-                    out.append(Token("end", name, "", path, article, left, name not in INLINE))
+                    name, path, left, article, named = stack.pop()
+                    out.append(Token("end", name, "", path, article, left, named, name not in INLINE))
                 return
             if stack[k][0] in scope:
                 return
@@ -140,21 +147,28 @@ def tokens_of(page: str) -> list[Token]:
             close({name}, set() if name in ENDS_PARAGRAPH | {"body", "html"} else {"article", "main", "body"})
             continue
         attributes = {m[0].lower(): html_module.unescape(m[1] or m[2] or m[3]) for m in ATTRIBUTE.findall(match.group(3) or "")}
-        if re.search(r"(?:^|\s)hidden(?:\s|/|$)", match.group(3) or ""):
+        if "hidden" in (match.group(3) or "").lower() and re.search(r"(?:^|\s)hidden(?:\s|/|$)", ATTRIBUTE.sub(" ", match.group(3)), re.I):
             attributes["hidden"] = ""
         if name in ENDS_PARAGRAPH:
             close({"p"}, {"td", "th", "li", "div", "article", "section", "main", "body", "button", "aside", "blockquote", "figure", "form"})
         elif name in SAME_ENDS:
             close(SAME_ENDS[name], SCOPES)
-        path, article, left = state()
+        path, article, left, named = state()
         label = f"{name}.{attributes.get('class', '')}#{attributes.get('id', '')}"
+        left = left or _left_out(name, attributes)
+        by_name = _named_out(name, attributes)
         if not left and not article and (name in ARTICLE or attributes.get("role", "").lower() in ARTICLE_ROLES):
             articles += 1
             article = articles
-        left = left or _left_out(name, attributes)
+            if not by_name:
+                holders.update(named)
+                named = ()
+        if by_name:
+            elements += 1
+            named = (*named, elements)
         # the path leaves out inline elements, so that an unclosed one does not change what follows
         inner = path if name in INLINE else f"{path}/{label}"[-200:]
-        out.append(Token("start", name, "", inner, article, left, name not in INLINE))
+        out.append(Token("start", name, "", inner, article, left, named, name not in INLINE))
         if name in VOID or name in SLASH_ENDS and (match.group(3) or "").rstrip().endswith("/"):
             continue
         if name in RAW:
@@ -166,7 +180,11 @@ def tokens_of(page: str) -> list[Token]:
                     raw_ends[name] = _raw_ends(page, name)
                 at = max(at, raw_ends[name].get(match.start(), at))
             continue
-        stack.append((name, inner, left, article))
+        stack.append((name, inner, left, article, named))
+    if holders:
+        for token in out:
+            if token.named:
+                token.named = tuple(k for k in token.named if k not in holders)
     return out
 
 
@@ -197,7 +215,7 @@ def main_text(tokens: list[Token], keys: list[int | None], template: set[int]) -
         if token.kind != "text":
             if token.block:
                 flush()
-        elif token.left_out or (has_article and not token.article) or (not has_article and key in template):
+        elif token.left_out or token.named or (has_article and not token.article) or (not has_article and key in template):
             continue
         else:
             parts.append(token.text)

@@ -42,6 +42,19 @@ def test_raw_elements_end_where_they_end():
         assert text(f"<p>one</p><{name}>no<p>no") == "one"
 
 
+def test_class_words_take_out_no_article():
+    for label in ('class="content-sidebar-wrap"', 'class="no-sidebar"', 'id="page-with-header"', 'class="widget-area"', 'class="sidebar"', 'id="comments"'):
+        assert text(f"<div {label}><p>no</p><article><p>all of it</p></article></div>") == "all of it"
+        assert text(f"<div {label}><div class=widget><div role=main>all of it</div></div></div>") == "all of it"
+    inside = '<h2 id="related-work">Work</h2><section id="notice-period">Notice</section><p class="reply-to">Reply</p><p class="big comments">no</p><p id="ad_banner">no</p>'
+    assert text(f"<article>{inside}</article>") == "Work\nNotice\nReply"
+    assert text('<article>x</article><div class="comments"><article class="comment">no</article></div>') == "x"
+
+
+def test_hidden_is_an_attribute():
+    assert text('<p><a title="a hidden gem">text</a> <b hidden>no</b><i HIDDEN class=x>no</i><u hidden="">no</u></p>') == "text"
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
 
