@@ -6,10 +6,16 @@ pages) form a class. A class that is on most pages of a host, whose tokens come
 order on each page, is valid; the valid classes nest into the host's template. The parts of a page
 between template tokens are its slots.
 
-The text of the slots is taken inside the template's article or main element, or of the whole body
-where a page has none; menus, notices, adverts, forms and comments inside are left out, told by
-element and by class, id or role. Outside of an article, text that is itself a token of the
-template (the same on most of a host's pages) is left out too.
+The text of the slots is taken; text that is itself a token of the template (the same on most of a
+host's different pages) is left out, also in an article. An article or main element is a hint: text
+outside of it is taken only from a slot that holds more than all articles of the page together.
+Pages without a template go by article or main, or the whole body where a page has none. Menus,
+notices, adverts, forms and comments are left out, told by element and by class, id or role; a
+class or id gives way where the page's slots have no other text, or less of it and no article.
+
+Pages of a host with the same text, copies or one article under several URLs, are one page for the
+support of a template's text, however many rows they are. An article that is for the most part
+template text is held by several pages, and stays whole.
 
 Vectors are never gathered: a token's vector is a sum of hashes of (page, count), so classes come
 from a grouped sum, in which a host of any size is pre-aggregated. Pages meet their host's template
@@ -198,11 +204,43 @@ def page_keys(tokens: list[Token]) -> list[int | None]:
     return [None if t.kind == "text" and not t.text.strip() else token_key(t) for t in tokens]
 
 
-def main_text(tokens: list[Token], keys: list[int | None], template: set[int]) -> str:
-    """Text of the slots, blocks joined by line breaks.
+def _taken(tokens: list[Token], keys: list[int | None], template: set[int]) -> list[bool]:
+    """Of each token, whether it is text of the article."""
+    slot, slots, named_sizes = 0, [], Counter()
+    in_articles, shared, outside = 0, 0, Counter()
+    has_article = False
+    for token, key in zip(tokens, keys, strict=True):
+        has_article = has_article or bool(token.article and not token.named)
+        if key in template:
+            slot += 1
+        slots.append(slot)
+        if token.kind != "text" or token.left_out or key is None:
+            continue
+        size = len(token.text.strip())
+        if key in template:
+            shared += size if token.article and not token.named else 0
+        elif token.named:
+            named_sizes[token.named[0]] += size
+        elif token.article:
+            in_articles += size
+        else:
+            outside[slot] += size
+    # an article that is for the most part template is one that several pages hold: it stays whole
+    whole = shared > in_articles
+    in_articles += shared if whole else 0
+    # without a template the whole page is one slot, of which an article is taken
+    large = {k for k, n in outside.items() if not has_article or template and n > in_articles}
+    size = in_articles + sum(outside[k] for k in large)
+    freed = {k for k, n in named_sizes.items() if n > size} if template and not (has_article and size) else set()
+    return [
+        t.kind == "text" and not t.left_out and (key not in template or whole and bool(t.article) and not t.named)
+        and (t.named[0] in freed if t.named else bool(t.article) or slot in large)
+        for t, key, slot in zip(tokens, keys, slots, strict=True)
+    ]
+
 
-    The template decides about text outside of an article; of several articles, all are taken."""
-    has_article = any(t.article for t in tokens)
+def main_text(tokens: list[Token], keys: list[int | None], template: set[int]) -> str:
+    """Text of the slots, blocks joined by line breaks; of several articles, all are taken."""
     blocks, parts = [], []
 
     def flush() -> None:
@@ -211,14 +249,11 @@ def main_text(tokens: list[Token], keys: list[int | None], template: set[int]) -
             blocks.append(text)
         parts.clear()
 
-    for token, key in zip(tokens, keys, strict=True):
-        if token.kind != "text":
-            if token.block:
-                flush()
-        elif token.left_out or token.named or (has_article and not token.article) or (not has_article and key in template):
-            continue
-        else:
+    for token, taken in zip(tokens, _taken(tokens, keys, template), strict=True):
+        if taken:
             parts.append(token.text)
+        elif token.block:
+            flush()
     flush()
     return "\n".join(blocks)
 
@@ -228,39 +263,63 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][-+.\w]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+#: Stands for the page itself among its tokens.
+PAGE_TOKEN = 0
+
+
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page and token: its count and its first place among the page's tokens."""
+    """For each page: a hash of its text and one of all its tokens; of each token its count and its
+    first place among the page's tokens."""
     for batch in batches:
-        keys, counts, first = [], [], []
-        for page in texts(batch.column(2)):
-            found = page_keys(tokens_of((page or b"").decode(errors="replace")))
-            place: dict[int, int] = {}
+        contents, variants, keys, first, counts = [], [], [], [], []
+        for page in texts(batch.column(1)):
+            tokens = tokens_of((page or b"").decode(errors="replace"))
+            found = page_keys(tokens)
+            place: dict[int, int] = {PAGE_TOKEN: -1}
             for i, k in enumerate(found):
                 if k is not None:
                     place.setdefault(k, i)
             times = Counter(k for k in found if k is not None)
+            times[PAGE_TOKEN] = 1
+            said = [k for k, t in zip(found, tokens, strict=True) if k is not None and t.kind == "text" and not t.left_out]
+            contents.append(xxhash.xxh3_64_intdigest(np.array(said, dtype=np.uint64).tobytes()))
+            variants.append(xxhash.xxh3_64_intdigest(np.array([k for k in found if k is not None], dtype=np.uint64).tobytes()))
             keys.append(signed(np.array(list(place), dtype=np.uint64)))
             counts.append(np.array([times[k] for k in place], dtype=np.int32))
             first.append(np.array(list(place.values()), dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], lists(keys, pa.int64()), lists(counts, pa.int32()), lists(first, pa.int32())], ["host", "page", "token", "times", "place"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), pa.array(signed(np.array(contents, dtype=np.uint64)), pa.int64()), pa.array(signed(np.array(variants, dtype=np.uint64)), pa.int64()),
+                lists(keys, pa.int64()), lists(counts, pa.int32()), lists(first, pa.int32()),
+            ],
+            ["host", "content", "variant", "token", "times", "place"],
+        )
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
-    """(host, tokens, classes): tokens of the host's template in order, and the class of each.
-
-    A vector's hash adds up hashes of (page, count) by exclusive or. A token on SUPPORT of the
-    pages has at most 1 / SUPPORT times the tokens of an average page beside it, so a host's
-    template is no longer than that, whatever the number of pages."""
-    hosted = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url", F.length("html")).alias("page"), "html")
-    sizes = hosted.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES)
-    each = hosted.mapInArrow(_evidence, "host string, page long, token array<long>, times array<int>, place array<int>")
-    rows = each.select("host", "page", F.explode(F.arrays_zip("token", "times", "place")).alias("t")).select("host", "page", "t.*")
+    """(host, tokens, classes, shared): tokens of the host's template in order, the class of each,
+    and whether different pages share it.
+
+    A vector's hash adds up hashes of (page, count) by exclusive or. Pages with the same text are
+    reduced to one, which stands for as many rows; a token that is on most rows delimits slots, but
+    only one that is also on MIN_PAGES different texts and SUPPORT of them is shared. A token on
+    SUPPORT of the pages has at most 1 / SUPPORT times the tokens of an average page beside it, so a
+    host's template is no longer than that, whatever the number of pages."""
+    hosted = pages.select(host_of(F.col("url")).alias("host"), "html")
+    each = hosted.mapInArrow(_evidence, "host string, content long, variant long, token array<long>, times array<int>, place array<int>")
+    different = each.groupBy("host", "content").agg(F.count("*").alias("rows"), F.min(F.struct("variant", "token", "times", "place")).alias("p"))
+    rows = different.select("host", "content", "rows", F.explode(F.arrays_zip("p.token", "p.times", "p.place")).alias("t")).select("host", "content", "rows", "t.*")
     vectors = rows.groupBy("host", "token").agg(
-        F.count("*").alias("on"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.max("times").alias("most"), F.avg("place").alias("place"),
+        F.sum("rows").alias("on"), F.count("*").alias("contents"), F.bit_xor(F.xxhash64("content", "times")).alias("vector"), F.max("times").alias("most"), F.avg("place").alias("place"),
     )
-    frequent = vectors.join(sizes, "host").where((F.col("on") >= MIN_PAGES) & (F.col("on") >= SUPPORT * F.col("pages")) & (F.col("most") == 1))
-    return frequent.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "token", "vector"))).alias("t")).select(
-        "host", F.transform("t", lambda t: t["token"]).alias("tokens"), F.transform("t", lambda t: t["vector"]).alias("classes")
+    often = kept(vectors.where(F.col("on") >= MIN_PAGES), "vectors")
+    sizes = often.where(F.col("token") == PAGE_TOKEN).select("host", F.col("on").alias("pages"), F.col("contents").alias("texts"))
+    shared = (F.col("contents") >= MIN_PAGES) & (F.col("contents") >= SUPPORT * F.col("texts"))
+    of_rows = F.col("on") >= SUPPORT * F.col("pages")
+    frequent = often.where(F.col("token") != PAGE_TOKEN).join(sizes, "host").withColumn("shared", shared).where((of_rows | F.col("shared")) & (F.col("most") == 1))
+    return frequent.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "token", "vector", "shared"))).alias("t")).select(
+        "host", F.transform("t", lambda t: t["token"]).alias("tokens"), F.transform("t", lambda t: t["vector"]).alias("classes"),
+        F.transform("t", lambda t: t["shared"]).alias("shared"),
     )
 
 
@@ -295,10 +354,12 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for packed, tokens, classes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+        for packed, *of_host in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
             found = tokens_of(zlib.decompress(packed).decode(errors="replace")) if packed else []
             keys = page_keys(found)
-            out.append(main_text(found, keys, nested(tokens or [], classes or [], keys)))
+            tokens, classes, shared = (x or [] for x in of_host)
+            own = {t & 0xFFFFFFFFFFFFFFFF for t, s in zip(tokens, shared, strict=True) if not s}
+            out.append(main_text(found, keys, nested(tokens, classes, keys) - own))
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
@@ -306,10 +367,10 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of (page_id, url, html).
 
     Null and empty html has an empty text. Pages without a host share one template; hosts of fewer
-    than MIN_PAGES pages have none, and their pages go by elements alone. Repeated rows count as
-    pages of their own. Other columns are ignored."""
+    than MIN_PAGES pages have none, and their pages go by elements alone. Other columns are
+    ignored."""
     templates = kept(host_templates(pages), "templates")
     packed = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html").mapInArrow(_packed, "page_id long, url string, host string, packed binary")
-    joined = packed.join(templates, "host", "left").select("page_id", "url", "packed", "tokens", "classes")
+    joined = packed.join(templates, "host", "left").select("page_id", "url", "packed", "tokens", "classes", "shared")
     out = joined.mapInArrow(_extracted, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -91,3 +91,30 @@ def test_vectors_tell_classes_apart(spark):
     (row,) = M.host_templates(pages(spark, rows)).collect()
     sizes = sorted(row.classes.count(c) for c in set(row.classes))
     assert row.host == "v" and len(sizes) == 2 and sizes[0] == 3
+
+
+def test_copies_do_not_make_their_article_template(spark):
+    page = '<html><head><link rel="canonical" href="/{i}"><title>{i}</title></head><body><header>{i}</header><div>Our site</div><div><p>The story that all hold</p></div></body></html>'
+    rows = [(i, f"http://copies/{i}", page.replace("{i}", str(i % 4))) for i in range(9)]
+    rows += [(20 + i, f"http://copies/{i}", page.replace("The story that all hold", f"Story {i}")) for i in range(4)]
+    by = {g.page_id: g.text for g in M.extract_main_text(pages(spark, rows)).collect()}
+    assert {by[i] for i in range(9)} == {"The story that all hold"}
+    assert [by[20 + i] for i in range(4)] == [f"Story {i}" for i in range(4)]
+    alone = [(i, f"http://alone/{i}", page.replace("{i}", str(i))) for i in range(5)]
+    assert {g.text for g in M.extract_main_text(pages(spark, alone)).collect()} == {"Our site\nThe story that all hold"}
+
+
+def test_template_decides_on_pages_with_articles(spark):
+    page = '<div><b>Our site</b></div><article><h1>Head {i}</h1><p>By our staff</p><p>Long text of story {i}</p></article><div><p>Next story {i}</p></div>'
+    rows = [(i, f"http://a/{i}", page.replace("{i}", str(i))) for i in range(4)]
+    teaser = '<div><b>Our site</b></div><div class="widget"><p>Whole long story {i}, all of it.</p></div><article>Teaser {i}</article><div><i>Kept</i></div>'
+    rows += [(10 + i, f"http://b/{i}", teaser.replace("class=\"widget\"", "class=\"story\"").replace("{i}", str(i))) for i in range(4)]
+    rows += [(20 + i, f"http://c/{i}", teaser.replace("<article>", "<i>").replace("</article>", "</i>").replace("{i}", str(i))) for i in range(4)]
+    near = "<article><p>The same long article under each address.</p><p>Seen {i} times</p></article>"
+    rows += [(30 + i, f"http://d/{i}", near.replace("{i}", str(i))) for i in range(4)]
+    by = {g.page_id: g.text for g in M.extract_main_text(pages(spark, rows)).collect()}
+    for i in range(4):
+        assert by[i] == f"Head {i}\nLong text of story {i}"
+        assert by[10 + i] == f"Whole long story {i}, all of it.\nTeaser {i}"
+        assert by[20 + i] == f"Whole long story {i}, all of it.\nTeaser {i}"
+        assert by[30 + i] == f"The same long article under each address.\nSeen {i} times"
