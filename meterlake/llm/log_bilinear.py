@@ -26,8 +26,8 @@ from meterlake.llm.text import LOWER, lists, mix, signed, texts, words_and_tails
 
 #: Words with a class of their own, buckets of endings, and a bound of the words whose counts go to
 #: every task.
-OWN = 192
-ENDINGS = 64
+OWN = 384
+ENDINGS = 128
 CLASSES = OWN + ENDINGS
 HEAD = 65_536
 CONTEXT = 3
@@ -38,7 +38,7 @@ FIRST_BATCH, BATCH, DOUBLE = 64, 2048, 100
 RATE = 0.1
 #: Averages of the parameters over all tasks, each after one pass.
 ROUNDS = 1
-BLOCK = 1024
+BLOCK = 512
 
 END_TOKEN = mix(np.array([0xE0D], np.uint64))[0]
 START_CLASS = CLASSES  # only in contexts
@@ -149,18 +149,21 @@ class Parameters:
         out = np.empty(targets.size)
         outputs = np.concatenate([self.outputs, self.bias[:, None]], axis=1).T
         query = np.ones((BLOCK, WIDTH + 1), dtype=self.outputs.dtype)
+        room = np.empty((BLOCK, outputs.shape[1]), dtype=self.outputs.dtype)
+        ones = np.ones(outputs.shape[1], dtype=self.outputs.dtype)
         for low in range(0, targets.size, BLOCK):
             n = min(BLOCK, targets.size - low)
             part = slice(low, low + n)
             query[:n, :WIDTH] = self.query(contexts[part])
-            scores = query[:n] @ outputs
+            scores = np.matmul(query[:n], outputs, out=room[:n])
             own = scores[np.arange(n), targets[part]]
-            with np.errstate(over="ignore", divide="ignore"):
-                total = np.log(np.exp(scores).sum(axis=1))
+            with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+                total = np.log(np.exp(scores, out=scores) @ ones)
             wild = np.flatnonzero(~np.isfinite(total))  # out of the range of single precision
             if wild.size:
-                top = scores[wild].max(axis=1)
-                total[wild] = top + np.log(np.exp(scores[wild] - top[:, None]).sum(axis=1))
+                again = query[wild] @ outputs
+                top = again.max(axis=1)
+                total[wild] = top + np.log(np.exp(again - top[:, None]).sum(axis=1))
             out[part] = own - total
         return out
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from meterlake.llm import log_bilinear as L
 
@@ -90,3 +91,21 @@ def test_contexts_stop_at_the_start_of_a_text():
     got = L.contexts_of(np.array([5, 6, 7, 8, 9]), np.array([0, 3]))
     s = L.START_CLASS
     assert got.tolist() == [[s, s, s], [5, s, s], [6, 5, s], [s, s, s], [8, s, s]]
+
+
+def test_frequent_words_have_classes_of_their_own(spark, documents):
+    rows = [(i, " ".join(f"w{k}" for k in range(600) if k < 300 or k % 7 == i % 7)) for i in range(40)]
+    counted = documents(rows).select("text").mapInArrow(L._count, "word long, bucket short, n long").groupBy("word").agg(F.first("bucket").alias("bucket"), F.sum("n").alias("n"))
+    v = L.Vocabulary.of(counted)
+    classes, _ = v.classes(*L.tokens_of(" ".join(f"w{k}" for k in range(300)).encode()))
+    assert len(set(classes.tolist())) == 301 and classes.max() < L.OWN and L.CLASSES >= 512
+
+
+def test_wild_scores_stay_finite():
+    p = L.Parameters.start(small_vocabulary())
+    p.bias[:] = 0
+    p.bias[5] = 500
+    contexts = np.zeros((L.BLOCK + 3, L.CONTEXT), np.int64)
+    got = p.log_probabilities(contexts, np.full(L.BLOCK + 3, 5))
+    assert np.allclose(got, 0, atol=1e-4)
+    assert np.allclose(p.log_probabilities(contexts[:1], np.array([6])), -500, atol=5)
