@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import values
+from helpers import values
 from meterlake.functions import cells as K
 from meterlake.functions import labels as B
 from meterlake.functions import pricing as P

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import values
+from helpers import values
 from meterlake.operators import ingest
 from meterlake.schema import BULK, STANDARD_COLUMNS, TASK
 from meterlake.sources import history, log_files

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from conftest import values
+from helpers import values
 from meterlake.functions.pricing import usage
 from meterlake.operators import anomalies as A
 from meterlake.operators import compare as C

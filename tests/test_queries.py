@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from check import rows
 
-from conftest import SF
+from helpers import SF
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import values
+from helpers import values
 from meterlake.operators import reports as P
 from meterlake.operators import runs as R
 from meterlake.operators.filters import TaskFilter
