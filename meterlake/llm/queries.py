@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlake.llm import bayes_svm, chat, jaccard, log_bilinear, main_text, pieces, rules, sharding, warc, winnow
+from meterlake.llm import (
+    bayes_svm, chat, jaccard, log_bilinear, main_text, pieces, prefix_trie, ranked_search, rules, secret_scan,
+    sharding, warc, winnow,
+)
 from meterlake.sources.files import work_dir
 
 #: The model file of the piece encoder; a parameter of the operator.
@@ -176,3 +179,71 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
   CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM s
 """
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op11_ranked_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_low("text")}, '{_WORD}') AS w FROM documents),
+g AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+t AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+i AS (
+  SELECT q, item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all({_low("text")}, '{_WORD}')) AS term FROM benchmark) GROUP BY ALL),
+s AS (
+  SELECT q, item_id, r, doc_id, sum(times * floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT
+    * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM i JOIN f USING (term) JOIN t USING (term), g GROUP BY q, item_id, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op13_prefix_trie"] = f"""
+WITH tab AS (
+  SELECT list(v ORDER BY n) AS x FROM (
+    SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(n))),
+t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) - 1 AS nth
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % {prefix_trie.GROUP} AS first,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(conv_id::VARCHAR)), lambda i: ascii(substr(conv_id::VARCHAR, i + 1, 1))::BIGINT)),
+      lambda c, b: xor(c >> 8, x[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % {prefix_trie.MOST_SHARED} AS h
+  FROM (SELECT DISTINCT conv_id FROM t), tab),
+r AS (
+  SELECT c.conv_id, 0 AS part, nth, role, text FROM c JOIN t ON t.conv_id = c.first WHERE nth < h
+  UNION ALL SELECT conv_id, 1, nth, role, text FROM c JOIN t USING (conv_id) WHERE nth >= h),
+s AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(sha256(length(role) || ':' || role || text), '') OVER w AS path, octet_length(encode(text)) AS bytes
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, nth)),
+p AS (
+  SELECT conv_id, depth, path, bytes, max(depth) OVER (PARTITION BY conv_id) AS turns FROM s
+  UNION ALL SELECT conv_id, 0, '', 0, coalesce(max(depth), 0) FROM c LEFT JOIN s USING (conv_id) GROUP BY conv_id),
+n AS (
+  SELECT path, depth, substr(path, 1, 64 * (depth - 1)) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (turns = depth), '')) AS ends_sha256
+  FROM p GROUP BY path, depth),
+k AS (SELECT up AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY up),
+b AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+sub AS (
+  SELECT a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.bytes)::BIGINT AS saved_tokens
+  FROM b a JOIN b ON starts_with(b.path, a.path) GROUP BY a.path)
+SELECT b.conv_id, b.depth, u.conv_id AS parent_conv_id, b.n_convs, b.n_children, n_leaves, saved_tokens, b.ends_sha256
+FROM b JOIN sub USING (path) LEFT JOIN b u ON b.depth > 0 AND u.path = b.up
+"""
