@@ -130,10 +130,11 @@ def set_key(grams: np.ndarray) -> int:
 def _sizes(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [gram_set(t, n) for t in texts(batch.column(1))]
+            *ids, text = batch.columns
+            sets = [gram_set(t, n) for t in texts(text)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array([set_key(s) if s.size else None for s in sets], pa.int64())],
-                ["doc_id", "n_shingles", "key"],
+                [*ids, pa.array([s.size for s in sets], pa.int64()), pa.array([set_key(s) if s.size else None for s in sets], pa.int64())],
+                [*batch.schema.names[:-1], "n_shingles", "key"],
             )
 
     return run
@@ -275,19 +276,15 @@ def _groups(connected: DataFrame, candidates: DataFrame, classes: DataFrame) ->
     return whole.union(apart.select("key", "n", "copies", F.explode("groups").alias("root"), "groups"))
 
 
-def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every row of (doc_id, text).
-
-    Texts are lower-cased in A-Z and split at white space. Two documents link if 100 times the
-    common n-grams are at least `percent` times all of both; component_id is the least doc_id that
-    links reach, n_links the number of rows a row links to. A text without words links to nothing
-    and is its own component. Repeated rows are rows that link to each other. A null doc_id takes
-    part and is never least; a component of null ids only has a null id. Other columns are ignored."""
+def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The columns of docs but the last, `text`, with n_shingles, root and n_links: root names the
+    group of near duplicates, null for a text without words."""
     if not 1 <= percent <= 100:
         raise ValueError("percent must be from 1 to 100")
     spark, blocks = docs.sparkSession, Blocks(percent)
-    text = docs.select("text")
-    rows = kept(docs.select("doc_id", "text").mapInArrow(_sizes(n), "doc_id long, n_shingles long, key long"), "jaccard-rows")
+    text, ids = docs.select("text"), docs.columns[:-1]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
+    rows = kept(docs.mapInArrow(_sizes(n), f"{kinds}, n_shingles long, key long"), "jaccard-rows")
     classes = kept(rows.where("key is not null").groupBy("key").agg(F.first("n_shingles").alias("n"), F.count("*").alias("copies")), "jaccard-classes")
 
     posted = text.mapInArrow(_block_keys(n, blocks), "key long, blocks array<long>").select(F.explode("blocks").alias("block"), "key")
@@ -296,7 +293,11 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         .where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct(),
         "jaccard-pairs",
     )
-    members = kept(_groups(components(candidates, "jaccard-candidates"), candidates, classes), "jaccard-members")
+    # a class is connected to its least hub, and through that to its other ones
+    own = kept(candidates.groupBy("a").agg(F.min("b").alias("least"), F.collect_set("b").alias("hubs")), "jaccard-hubs")  # at most one hub for each block of a class
+    between = own.select(F.col("least").alias("a"), F.explode("hubs").alias("b")).where("a <> b").distinct()
+    connected = components(own.select("a", F.col("least").alias("b")).union(between), "jaccard-candidates")
+    members = kept(_groups(connected, candidates, classes), "jaccard-members")
     wanted = spark.sparkContext.broadcast(membership_filter(members, "key"))
     sets = text.mapInArrow(_sets(n, wanted), "key long, grams array<long>").groupBy("key").agg(F.first("grams").alias("grams"))
     cells = _cells(members, percent).join(sets, "key")
@@ -306,26 +307,46 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         ),
         "jaccard-links",
     )
+    wanted.destroy()
     roots = components(links.select("a", "b"), "jaccard-groups").withColumnRenamed("node", "key")
     degrees = links.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     of_class = classes.join(roots, "key", "left").join(degrees, "key", "left").select(
         "key", F.coalesce("root", "key").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
-    placed = rows.join(of_class, "key", "left")
+    return rows.join(of_class, "key", "left").select(*ids, "n_shingles", "root", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every row of (doc_id, text).
+
+    Texts are lower-cased in A-Z and split at white space. Two documents link if 100 times the
+    common n-grams are at least `percent` times all of both; component_id is the least doc_id that
+    links reach, n_links the number of rows a row links to. A text without words links to nothing
+    and is its own component. Repeated rows are rows that link to each other. A null doc_id takes
+    part and is never least; a component of null ids only has a null id. Other columns are ignored."""
+    placed = _grouped(docs.select("doc_id", "text"), n, percent)
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "root", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "n_links",
     )
 
 
 def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the least of their group of near duplicates, once each if
-    the row is repeated. Texts without words and rows without doc_id stay."""
-    groups = kept(jaccard_groups(docs, n, percent), "jaccard-kept")
-    drop = kept(groups.where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-drop")
-    again = kept(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "jaccard-again")
-    stay = docs.join(drop, "doc_id", "left_anti")
-    if again.isEmpty():
-        return stay
-    return stay.join(again, "doc_id", "left_anti").union(stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """One row of each group of near duplicates, with its columns: that with the least doc_id (a
+    null one last), of equal ids that with the least hash of the text, and one of rows that repeat
+    both. Rows are told apart by id and text, so a text that shares its id with another one stays if
+    it is in another group. Texts without words stay, each row of them."""
+    row = [F.col("doc_id"), F.sha2("text", 256).alias("_text_key")]
+    placed = kept(_grouped(docs.select(*row, "text"), n, percent).where("root is not null"), "jaccard-placed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_text_key")).alias("first")
+    groups = kept(placed.groupBy("root").agg(first, F.count("*").alias("rows")).where("rows > 1").select("root", "first.doc_id", "first._text_key"), "jaccard-first")
+    others = placed.select("root", F.col("doc_id").alias("d"), F.col("_text_key").alias("t")).join(groups, "root")
+    is_first = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_text_key") == F.col("t"))
+    drop = kept(others.where(~is_first).select("d", "t").distinct(), "jaccard-drop")
+    again = kept(others.where(is_first).groupBy("d", "t").count().where("count > 1").select("d", "t"), "jaccard-again")
+    keyed = docs.withColumn("_text_key", F.sha2("text", 256))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_text_key") == F.col("t"))
+    stay = keyed.join(drop, same, "left_anti")
+    if not again.isEmpty():
+        stay = stay.join(again, same, "left_anti").union(stay.join(again, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]))
+    return stay.select(*docs.columns)

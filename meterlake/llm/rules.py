@@ -178,9 +178,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with their columns. The counts are made twice, once
-    for the estimates and once beside the text, so that no text is shuffled or stored."""
+    """The rows of docs that the rules keep, with their columns. The counts are made once and
+    written beside the rows; the estimates read the counts only, and no text is shuffled."""
     columns = docs.columns
-    held = docs.select(F.struct(*columns).alias("row"), "lang", "source", "text")
-    estimates = outlier_estimates(kept(with_statistics(with_counts(docs.select("lang", "source", "text")).drop("text")), "rules-counts"))
-    return judged(with_statistics(with_counts(held)), estimates).where("kept").select("row.*")
+    held = with_statistics(with_counts(docs.select(F.struct(*columns).alias("row"), "lang", "source", "text"))).drop("text")
+    counted = kept(held, "rules-counts")
+    return judged(counted, outlier_estimates(counted)).where("kept").select("row.*")

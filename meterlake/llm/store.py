@@ -28,7 +28,7 @@ def probes(hashes: np.ndarray, bits: int = FILTER_BITS) -> list[np.ndarray]:
 
 
 def membership_filter(df: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A Bloom filter of the longs of a column, as a bit array of fixed size (1 MB by default).
+    """A Bloom filter of the longs of a column, as 64-bit words of fixed number (1 MB by default).
 
     The bits are set by an aggregation, so what reaches the driver is at most 2**bits / 64 words,
     whatever the number of rows. A full filter lets everything pass and costs time, not results."""
@@ -38,37 +38,49 @@ def membership_filter(df: DataFrame, column: str, bits: int = FILTER_BITS) -> np
         df.select(at.alias("at"))
         .groupBy(F.shiftright("at", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63L as int))")).alias("mask"))
-        .toPandas()
+        .toArrow()
     )
     out = np.zeros((1 << bits) // 64, dtype=np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little")
+    out[np.asarray(words.column("word")).astype(np.int64)] = np.asarray(words.column("mask")).astype(np.int64).view(np.uint64)
+    return out
 
 
-def passes(bit_array: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bits = int(bit_array.size).bit_length() - 1
+def passes(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bits = int(words.size * 64).bit_length() - 1
     found = np.ones(hashes.size, dtype=bool)
     for at in probes(hashes, bits):
-        found &= bit_array[at.astype(np.int64)] == 1
+        found &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
     return found
 
 
 def components(edges: DataFrame, purpose: str) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b) of longs; root is the least node
-    that can be reached. Each round takes the least root among the neighbours and then the root of
-    that root; the rounds grow with the logarithm of a component's width, and every round is a
-    written table. An edge with a null end is left out."""
+    that can be reached. An edge with a null end is left out.
+
+    In each round every node points at its least neighbour, if that is less than itself; pointers
+    are followed to their ends, and the edges are moved to these ends, where loops and repeated
+    edges go. So every round works on what the last one has left, and all tables of a round are
+    written. The least node of a component points nowhere, so it is the last one left."""
     edges = edges.where("a is not null and b is not null and a <> b")
-    both = kept(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{purpose}-edges")
-    roots = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), f"{purpose}-roots")
+    links = kept(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{purpose}-edges")
+    nodes = kept(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("root", F.col("node")), f"{purpose}-nodes")
+    while not links.isEmpty():
+        ends = _followed(kept(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), f"{purpose}-pointers"), purpose)
+        a, b = (ends.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
+        moved = links.join(b, "b").join(a, "a", "left").select(F.coalesce("a_root", "a").alias("x"), F.col("b_root").alias("y")).where("x <> y")
+        links = kept(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{purpose}-edges")
+        last = ends.select(F.col("node").alias("root"), F.col("root").alias("end"))
+        nodes = kept(nodes.join(last, "root", "left").select("node", F.coalesce("end", "root").alias("root")), f"{purpose}-nodes")
+    return nodes
+
+
+def _followed(pointers: DataFrame, purpose: str) -> DataFrame:
+    """Pointers (node, root) to lesser nodes, each followed to a node that points nowhere. Every
+    step doubles the way that a pointer goes."""
     while True:
-        near = (
-            both.join(roots.select(F.col("node").alias("b"), "root"), "b")
-            .groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        )
-        hooked = roots.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("hook"))
-        jump = roots.select(F.col("node").alias("hook"), F.col("root").alias("jump"))
-        after = kept(hooked.join(jump, "hook").select("node", "was", F.least("hook", "jump").alias("root")), f"{purpose}-roots")
-        roots = after.select("node", "root")
-        if after.where("root <> was").isEmpty():
-            return roots
+        onward = pointers.select(F.col("node").alias("root"), F.col("root").alias("end"))
+        after = pointers.join(onward, "root", "left").select("node", F.coalesce("end", "root").alias("root"), F.col("end").isNotNull().alias("moved"))
+        after = kept(after, f"{purpose}-pointers")
+        pointers = after.select("node", "root")
+        if after.where("moved").isEmpty():
+            return pointers

@@ -109,10 +109,12 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame
     shared = [spark.sparkContext.broadcast(membership_filter(p, "print")) for p in (prints.where(f"size = {SPAN}"), short)]
     posted = kept(
         docs.select("doc_id", "text")
-        .mapInArrow(_posts(*shared, lengths), "doc_id long, n_words long, print array<long>, start array<long>, size array<int>, run array<long>")
+        .mapInArrow(_posts(*shared, lengths), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, print array<long>, start array<long>, size array<int>, run array<long>")
         .withColumn("row", F.monotonically_increasing_id()),
         "winnow-posts",
     )
+    for sent in shared:
+        sent.destroy()
     hits = (
         posted.where("size(run) > 0").select("row", F.explode(F.arrays_zip("print", "start", "size", "run")).alias("p")).select("row", "p.*")
         .join(prints, ["size", "print"], "left_semi").select("row", "start", "size", "run").distinct()
@@ -146,7 +148,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that share no run with the benchmark, with all their columns."""
-    judged = kept(decontaminate(docs, benchmark), "winnow-judged")
-    bad = kept(judged.where("contaminated").select("doc_id").distinct(), "winnow-bad")
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows of docs that share no run with the benchmark, with all their columns. Rows are judged
+    by their text alone, so a null doc_id or one that several rows share makes no difference. Null
+    and wordless texts stay."""
+    key = F.sha2("text", 256)
+    rows, hits, _ = contaminated_spans(docs.select(key.alias("doc_id"), "text"), benchmark)
+    bad = kept(rows.join(hits.select("row").distinct(), "row", "left_semi").select(F.col("doc_id").alias("_bad")).distinct(), "winnow-bad")
+    return docs.join(bad, key == F.col("_bad"), "left_anti")

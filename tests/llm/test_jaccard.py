@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from meterlake.llm import jaccard
+from meterlake.llm.store import components
 from meterlake.llm.text import LOWER, VISIBLE, word_hashes
 
 
@@ -75,10 +76,42 @@ def test_one_of_each_group(spark, documents):
     texts = family(9, 30, 200, 2)
     rows = [(i + 3, t) for i, t in enumerate(texts)] + [(3, texts[0]), (900, None), (901, ""), (902, "short text"), (None, texts[2])]
     got = jaccard.one_of_each_group(documents(rows)).collect()
-    assert sorted(repr(r.doc_id) for r in got) == sorted(["3", "900", "901", "902", "None"])
+    assert sorted(repr(r.doc_id) for r in got) == sorted(["3", "900", "901", "902"])
     assert got[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars"}
 
 
+def test_one_of_each_group_tells_rows_apart_by_id_and_text(documents):
+    b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "bcd")
+    rows = [(1, b), (1, c), (2, b), (None, d), (None, d + " more"), (None, "alone " * 9), (4, c), (4, c), (5, None), (5, None)]
+    got = sorted(((x.doc_id, x.text) for x in jaccard.one_of_each_group(documents(rows)).collect()), key=repr)
+    want = [(1, b), (1, c), (None, "alone " * 9), (5, None), (5, None)]
+    assert [r for r in got if not (r[1] or "").startswith("d0")] == sorted(want, key=repr)
+    assert len(got) == len(want) + 1  # one of the two null ids
+    assert len(jaccard.one_of_each_group(documents([(9, c), (9, c)])).collect()) == 1
+
+
+def test_components_against_a_search(spark, tmp_path):
+    r = np.random.default_rng(8)
+    edges = [(i, i + 1) for i in range(100, 400)] + [(i + 1, i) for i in range(900, 500, -2)] + [(1000, i) for i in range(1001, 1400)]  # paths and a star
+    edges += [(int(a), int(b)) for a, b in r.integers(2000, 2300, (200, 2))] + [(5, 5), (None, 7), (7, None)]
+    want = {}
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            want.setdefault(a, {a}).add(b)
+            want.setdefault(b, {b}).add(a)
+    roots = {}
+    for start in sorted(want):
+        queue = [start] if start not in roots else []
+        while queue:
+            node = queue.pop()
+            if node not in roots:
+                roots[node] = start
+                queue += want[node]
+    got = components(spark.createDataFrame(edges, "a long, b long"), "test")
+    assert {x.node: x.root for x in got.collect()} == roots
+    assert components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+
+
 def test_no_rows(spark, documents):
     assert jaccard.jaccard_groups(documents([])).collect() == []
     assert jaccard.one_of_each_group(documents([])).collect() == []

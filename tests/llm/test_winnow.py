@@ -44,8 +44,16 @@ def test_equals_brute_force(spark, documents):
     assert sorted((repr(x.doc_id), *x[1:]) for x in got) == brute(docs, items)
     clean = winnow.clean_documents(documents(docs), frame)
     assert clean.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    bad = {b[0] for b in brute(docs, items) if b[5]}
-    assert sorted(repr(x.doc_id) for x in clean.collect()) == sorted(repr(d) for d, _ in docs if d is None or repr(d) not in bad)
+    want = [d for d in docs if not brute([d], items)[0][5]]
+    assert sorted(((x.doc_id, x.text) for x in clean.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_clean_rows_stay_whatever_ids_they_share(spark, documents):
+    item = "one two three four five six seven eight nine ten"
+    frame = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(5, f"a {item}"), (5, "clean"), (None, f"b {item}"), (None, "clean too"), (6, None), (6, ""), (7, "clean"), (7, "clean")]
+    got = winnow.clean_documents(documents(rows), frame).collect()
+    assert sorted(((x.doc_id, x.text) for x in got), key=repr) == sorted([r for r in rows if item not in (r[1] or "")], key=repr)
 
 
 def test_no_rows(spark, documents):
