@@ -19,6 +19,10 @@ NULL_TOKENS = [
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 # Texts that can be a date: year first, three numbers, or a month name.
 _DATE = r"^(\d{4}[-/.]\d|(19|20)\d{6}([T\s]|$)|\d{1,2}[-/.]\d{1,2}[-/.]\d{2}|\d{1,2}[-/ ][A-Za-z]{3}|[A-Za-z]{3,9}\.? \d)"
+# Left out before a date: a weekday with a comma, and the ending of a day's number. An hour alone
+# before AM or PM gets minutes.
+_AROUND = r"^[A-Za-z]{3,9}, *(?=\d)|(?<=\d)(?:st|nd|rd|th)\b"
+_HOUR_ALONE = r"(\s\d{1,2})\s*(?=[AaPp][Mm]$)"
 _YEAR_20XX = r"^(\d{1,2}(?:[-/.]\d{1,2}[-/.]|[-/ ][A-Za-z]{3,9}[-/ ]))([0-6]\d)(?=\s|T|$)"
 _YEAR_19XX = r"^(\d{1,2}(?:[-/.]\d{1,2}[-/.]|[-/ ][A-Za-z]{3,9}[-/ ]))([7-9]\d)(?=\s|T|$)"
 _COMPACT = r"^((?:19|20)\d{2})(0[1-9]|1[0-2])([0-2]\d|3[01])(?=[T\s]|$)"
@@ -74,7 +78,7 @@ def timestamp(c: Column) -> Column:
     Texts are rewritten to ISO step by step and cast, which stays cheap for cells that do not fit;
     only dates with a month name go through a format. Each step uses the one before it once, so
     that the expression stays small where Spark copies it into a filter."""
-    text = F.trim(c)
+    text = F.regexp_replace(F.regexp_replace(F.trim(c), _AROUND, ""), _HOUR_ALONE, "$1:00")
     iso = text
     for pattern, into in (
         (_YEAR_20XX, "$120$2"), (_YEAR_19XX, "$119$2"), (_COMPACT, "$1-$2-$3"), (_ISO_DATE, "$1-$2-$3 "), (_SEPT, "Sep"),

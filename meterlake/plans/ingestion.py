@@ -16,7 +16,7 @@ from meterlake.plans.registry import BASE, FACTOR, TPCH_PARENT, base, days, regi
 from meterlake.plans.views import table, tasks_events, tasks_tpch, tpch_organizations
 from meterlake.schema import BULK, TASK, Pricing
 from meterlake.sources import history, log_files, organizations as O
-from meterlake.sources.files import work_dir
+from meterlake.sources.files import renamed, work_dir
 from meterlake.sources.sinks import export_batch, export_between, write_csv
 
 RUN_DATE = dt.date(2024, 7, 1)
@@ -191,6 +191,38 @@ def ingest_files(spark, d):
     return ingested(spark, d).select(*INGESTED_COLUMNS.split(", "), "cost")
 
 
+UNREAD_SQL = """SELECT 'Start Time: no date or number' AS error, COUNT(*) FILTER (l_linenumber = 1) AS cells FROM lineitem
+UNION ALL SELECT 'Metered Value: no date or number', COUNT(*) FILTER (l_quantity > 40) FROM lineitem UNION ALL SELECT 'a row has more cells than the header', NULL"""
+
+
+@register("ingest_errors", UNREAD_SQL)
+def ingest_errors(spark, d):
+    """Cells that are no dates or numbers, by file column, and a file with surplus cells."""
+    folder = work_dir(spark, "odd-logs")
+    t = table(spark, d, "lineitem")
+    write_csv(t.select(
+        F.col("l_partkey").alias("Task ID"), F.when(F.col("l_linenumber") == 1, "some day").otherwise(F.col("l_shipdate").cast("string")).alias("Start Time"),
+        F.when(F.col("l_quantity") > 40, "much").otherwise(F.col("l_quantity").cast("string")).alias("Metered Value"),
+    ).coalesce(1), f"{folder}/cells")
+    rows = t.limit(50).select(F.concat_ws(",", "l_partkey", "l_quantity", "l_tax").alias("value"))
+    rows.unionByName(spark.createDataFrame([("Task ID,Metered Value",)], "value string")).coalesce(1).sortWithinPartitions(F.desc("value")).write.text(f"{folder}/surplus.csv")
+    paths = log_files.list_log_files(spark, folder) + log_files.list_log_files(spark, folder, "*.txt")
+    return log_files.ingest_files(spark, paths, RUN_DATE)[1].groupBy("error").agg(F.sum("cells").alias("cells"))
+
+
+@register("ingest_inferred_orgs", f"""{base('tpch')} SELECT CASE WHEN TRIM(org) = '' THEN 'EAST' ELSE {BASE.format('org')} END AS org, COUNT(*) AS n FROM tasks GROUP BY 1""")
+def ingest_inferred_orgs(spark, d):
+    """Files named after their organization; the one without a name gets the first free label."""
+    folder = work_dir(spark, "named-logs")
+    t = tasks_tpch(spark, d).select(F.regexp_replace(F.trim("org"), " Mass Ingestion$", "").alias("org"), F.col("task_id").alias("Task ID"), F.col("metered_value").alias("Metered Value"))
+    paths = []
+    for org, name in (("", "first"), ("ASIA", "Asia"), ("AMERICA", "america-2024"), ("EUROPE", "usage_europe"), ("MIDDLE EAST", "Middle East (1)")):
+        write_csv(t.where(F.col("org") == org).drop("org").coalesce(1), f"{folder}/{name}")
+        paths.append(renamed(spark, log_files.list_log_files(spark, f"{folder}/{name}")[0], f"{folder}/{name}.csv"))
+    rows, _ = log_files.ingest_files(spark, paths, RUN_DATE, log_types={p.rsplit("/", 1)[1]: TASK for p in paths}, catalog=tpch_organizations(spark))
+    return rows.groupBy("org").agg(F.count("*").alias("n"))
+
+
 @register("ingest_quoted", """SELECT concat(l_orderkey, '-', l_linenumber) AS task_run_id, concat('line "', l_returnflag, '",', chr(10), 'next, ', l_linestatus) AS task_name,
   CAST(l_partkey AS VARCHAR) AS task_id, l_quantity AS metered_value, 'Task Usage' AS log_type FROM lineitem""")
 def ingest_quoted(spark, d):

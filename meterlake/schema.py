@@ -86,4 +86,4 @@ EVENTS_SCHEMA = T.StructType(
     + _fields(T.TimestampType(), "created_at")
 )
 
-FILE_ERRORS_SCHEMA = T.StructType(_fields(T.StringType(), "file_path", "error"))
+FILE_ERRORS_SCHEMA = T.StructType(_fields(T.StringType(), "file_path", "error") + _fields(T.LongType(), "cells"))

@@ -31,6 +31,14 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def renamed(spark: SparkSession, path: str, to: str) -> str:
+    """Gives a file another name in its file system; returns the name."""
+    fs, p = _fs(spark, path)
+    if not fs.rename(p, _fs(spark, to)[1]):
+        raise OSError(f"cannot rename {path} to {to}")
+    return to
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder for tables that cut lineage or hold intermediate data: below the shared
     folder of spark.checkpoint.dir; only a session without one (a local test) gets a local folder."""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions.labels import base_org, blank_to_null, bulk_org
-from meterlake.schema import BULK, ORGANIZATIONS_SCHEMA
+from meterlake.schema import BULK, BULK_SUFFIX, ORGANIZATIONS_SCHEMA
 
 OTHER = "Other"
 
@@ -146,3 +146,36 @@ def file_name_orgs(files: DataFrame, catalog: DataFrame) -> DataFrame:
     base = F.coalesce(match, first)
     known = files.withColumn("_patterns", patterns)
     return known.withColumn("org", F.when(bulk, bulk_org(base)).otherwise(base)).drop("_patterns")
+
+
+def infer_file_orgs(files: Sequence[tuple[str, str]], catalog: DataFrame, used: set[str] = frozenset()) -> dict[str, str | None]:
+    """Organizations of the files (path, log type) of one delivery, in their order, by catalog tokens
+    in the file name, longest token first, ties in catalog order.
+
+    A label that another file has, or that is in ``used``, is avoided: first comes an unused match,
+    then a match, then an unused label of the file's kind, then any unused label, then the first."""
+    rows = catalog.select("name", "filename_tokens").orderBy("sort_order", "name").collect()  # a short list
+    tokens = [(letters_only(t), r.name) for r in rows for t in r.filename_tokens or []]
+    tokens.sort(key=lambda pair: -len(pair[0]))
+    kinds = {True: [bulk_org_name(r.name) for r in rows], False: [r.name for r in rows]}
+    options = [label for pair in zip(kinds[False], kinds[True], strict=True) for label in pair]
+    taken, out = set(used), {}
+    for path, log_type in files:
+        base = path.replace("\\", "/").rsplit("/", 1)[-1]
+        name = letters_only(base)
+        stem = letters_only(base.rsplit(".", 1)[0])
+        bulk = log_type == BULK or "massingest" in name or (stem.endswith("mi") and len(stem) > 2)
+        matches = [bulk_org_name(org) if bulk else org for token, org in tokens if token and token in name]
+        choices = [*[m for m in matches if m not in taken], *matches, *[o for o in [*kinds[bulk], *options] if o not in taken], *options]
+        out[path] = choices[0] if choices else None
+        if choices:
+            taken.add(choices[0])
+    return out
+
+
+def letters_only(text: str) -> str:
+    return "".join(ch for ch in text.lower() if ch.isalnum())
+
+
+def bulk_org_name(name: str) -> str:
+    return name if name.endswith(BULK_SUFFIX) else name + BULK_SUFFIX
