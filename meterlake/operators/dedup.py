@@ -16,11 +16,12 @@ def with_row_hash(df: DataFrame) -> DataFrame:
 
 def one_per_hash(df: DataFrame) -> DataFrame:
     """One row per row_hash: the smallest by the other columns in their order, so that the result
-    does not depend on how the files were split. An aggregate, not a window: copies of one row are
-    reduced before the shuffle however many there are."""
+    does not depend on how the files were split. Only hashes are shuffled to find those that repeat;
+    an aggregate, not a window, then reduces their rows before the shuffle however many there are."""
     others = [c for c in df.columns if c != "row_hash"]
-    kept = df.groupBy("row_hash").agg(F.min(F.struct(*others)).alias("kept"))
-    return kept.select("row_hash", "kept.*").select(*df.columns)
+    again = df.groupBy("row_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("row_hash")
+    least = df.join(again, "row_hash", "left_semi").groupBy("row_hash").agg(F.min(F.struct(*others)).alias("kept"))
+    return df.join(again, "row_hash", "left_anti").unionByName(least.select("row_hash", "kept.*")).select(*df.columns)
 
 
 def not_stored(staged: DataFrame, stored_hashes: DataFrame) -> DataFrame:

@@ -211,22 +211,33 @@ def to_tasks(df: DataFrame) -> DataFrame:
     })
 
 
-def retag_bulk_rows(tasks: DataFrame, pricing: Pricing = Pricing()) -> DataFrame:
+def to_rename() -> Column:
+    """Whether a row is a bulk row whose organization lacks the suffix."""
+    rename = (F.col("log_type") == BULK) & (F.trim("org") != "") & ~F.col("org").endswith(BULK_SUFFIX)
+    return F.coalesce(rename, F.lit(False))
+
+
+def _bulk_units(pricing: Pricing) -> Column:
+    return F.round(F.coalesce("metered_value", F.lit(0.0)) * F.lit(pricing.bulk_factor), 8)
+
+
+def priced_otherwise(pricing: Pricing = Pricing()) -> Column:
+    """Whether a row is a bulk row that is priced with another factor."""
+    off = F.abs(F.coalesce("ipus", F.lit(0.0)) - _bulk_units(pricing)) > 1e-7
+    return F.coalesce((F.col("log_type") == BULK) & F.col("metered_value").isNotNull() & off, F.lit(False))
+
+
+def retag_bulk_rows(tasks: DataFrame, pricing: Pricing = Pricing(), again: bool | None = None) -> DataFrame:
     """Brings older history up to date: bulk rows get the organization suffix and a new hash, and
-    if any bulk row is priced with another factor, all bulk rows are priced again."""
-    is_bulk = F.col("log_type") == BULK
-    rename = is_bulk & (F.trim("org") != "") & ~F.col("org").endswith(BULK_SUFFIX)
-    renamed = tasks.withColumn("_rename", F.coalesce(rename, F.lit(False)))
+    if any bulk row is priced with another factor, all bulk rows are priced again. ``again`` says so
+    where tasks are a part of the history."""
+    renamed = tasks.withColumn("_rename", to_rename())
     renamed = renamed.withColumn("org", F.when(F.col("_rename"), bulk_org(F.col("org"))).otherwise(F.col("org")))
     renamed = renamed.withColumn("row_hash", F.when(F.col("_rename"), row_hash()).otherwise(F.col("row_hash"))).drop("_rename")
-
-    metered = F.coalesce("metered_value", F.lit(0.0))
-    ipus = F.round(metered * F.lit(pricing.bulk_factor), 8)
-    off = is_bulk & F.col("metered_value").isNotNull() & (F.abs(F.coalesce("ipus", F.lit(0.0)) - ipus) > 1e-7)
-    any_off = tasks.agg(F.coalesce(F.bool_or(off), F.lit(False))).scalar()
-    again = is_bulk & any_off
-    cost = F.round(metered * F.lit(pricing.bulk_factor) * F.lit(pricing.unit_cost), 6)
+    off = F.lit(again) if again is not None else tasks.agg(F.coalesce(F.bool_or(priced_otherwise(pricing)), F.lit(False))).scalar()
+    cost = F.round(F.coalesce("metered_value", F.lit(0.0)) * F.lit(pricing.bulk_factor) * F.lit(pricing.unit_cost), 6)
+    reprice = (F.col("log_type") == BULK) & off
     return renamed.withColumns({
-        "ipus": F.when(again, ipus).otherwise(F.col("ipus")),
-        "cost": F.when(again, cost).otherwise(F.col("cost")),
+        "ipus": F.when(reprice, _bulk_units(pricing)).otherwise(F.col("ipus")),
+        "cost": F.when(reprice, cost).otherwise(F.col("cost")),
     })

@@ -355,6 +355,26 @@ def history_delete(spark, d):
     return history.read_history(spark, root).select(*HISTORY)
 
 
+@register("history_retag", f"""{base('tpch')}{STORED}, r AS (SELECT task_run_id, log_type, metered_value, c AS cost,
+  CASE WHEN log_type = 'Mass Ingestion' AND org <> '' THEN concat(regexp_replace(org, ' Mass Ingestion$', ''), ' Mass Ingestion') ELSE NULLIF(org, '') END AS org,
+  CASE WHEN log_type = 'Mass Ingestion' THEN round_even(metered_value * CAST(0.1 AS DOUBLE), 8) ELSE i END AS ipus FROM priced)
+SELECT task_run_id, log_type, org, ipus FROM r UNION ALL SELECT 'event', 'RETAG', NULL, CAST(COUNT(*) AS DOUBLE) FROM r WHERE log_type = 'Mass Ingestion'""")
+def history_retag(spark, d):
+    """A history whose bulk rows came under plain names, some priced with the task factor, and some
+    rows under both names; the event counts the bulk rows that were stored."""
+    root = work_dir(spark, "history")
+    rows = ingest.price(tasks_tpch(spark, d))
+    bulk = F.coalesce(F.col("log_type") == BULK, F.lit(False))
+    old = rows.withColumn("org", F.when(bulk, F.regexp_replace("org", " Mass Ingestion$", "")).otherwise(F.col("org")))
+    old = old.withColumn("ipus", F.when(bulk, F.round(F.col("metered_value") * 0.16, 8)).otherwise(F.col("ipus")))
+    history.append_tasks(spark, root, old, NOW)
+    changed, _ = history.retag_tasks(spark, root, NOW)
+    events = history.read_events(spark, root, "RETAG").select(
+        F.lit("event").alias("task_run_id"), F.col("action").alias("log_type"), F.lit(None).cast("string").alias("org"), F.col("affected_rows").cast("double").alias("ipus")
+    )
+    return history.read_history(spark, root).select("task_run_id", "log_type", "org", "ipus").unionByName(events)
+
+
 @register("delete_range_keep", f"""{base('tpch')} SELECT task_run_id FROM tasks
 WHERE NOT COALESCE({days('1996-03-01', '1997-02-10')} AND status = 'F' AND log_type = 'Mass Ingestion', FALSE)""")
 def delete_range_keep(spark, d):

@@ -31,6 +31,36 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it is missing."""
+    fs, p = _fs(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file that is there whole or not at all: under a hidden name first, and then
+    renamed. A file that is there already stays, and is an error."""
+    folder, _, name = path.rpartition("/")
+    hidden = f"{folder}/_{uuid.uuid4().hex}-{name}"
+    fs, p = _fs(spark, hidden)
+    stream = fs.create(p, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if exists(spark, path):
+        raise FileExistsError(path)
+    renamed(spark, hidden, path)
+
+
 def renamed(spark: SparkSession, path: str, to: str) -> str:
     """Gives a file another name in its file system; returns the name."""
     fs, p = _fs(spark, path)

@@ -1,12 +1,19 @@
-"""The task history: a Parquet table partitioned by end month, and its audit log.
+"""The task history: Parquet files by end month, the list of those that count, and the audit log.
 
-One writer at a time. A batch is first written out as it comes, without a shuffle, so that the log
-files are parsed once and a lost executor costs no more than its tasks."""
+A change (an addition, a deletion, a re-tagging) writes its rows into a folder of its own, by month,
+beside what is there. Then it publishes one small file, a version: which folders and months count
+from now on, how many rows each has, and the event for the audit log. Readers follow the newest
+version. So a change that dies at any point leaves the old state, rows and log alike, and its folder
+is in no list; `remove_unlisted` takes such folders away. Row totals come from the list. One writer
+at a time; a second one that comes to the same version number fails.
+
+A batch is first written out as it comes, without a shuffle, so that the log files are parsed once
+and a lost executor costs no more than its tasks."""
 
 from __future__ import annotations
 
 import datetime as dt
-import time
+import json
 import uuid
 from dataclasses import dataclass
 
@@ -15,15 +22,18 @@ from pyspark.sql import functions as F
 
 from meterlake.operators.dedup import not_stored, one_per_hash
 from meterlake.operators.filters import TaskFilter
-from meterlake.operators.ingest import to_tasks
+from meterlake.operators.ingest import priced_otherwise, retag_bulk_rows, to_rename, to_tasks
 from meterlake.operators.series import date_summary
-from meterlake.schema import EVENTS_SCHEMA, TASKS_SCHEMA
+from meterlake.schema import BULK, EVENTS_SCHEMA, TASKS_SCHEMA, Pricing
 from meterlake.sources import files
 
 # Texts of the audit log.
 ADDED_PREFIX = "Added date range(s): "
 OLD_ADDED_PREFIX = "; added date range(s): "
 DELETED_NOTE = "Historical rows deleted by date range"
+RETAGGED_NOTE = "Bulk rows brought up to date"
+
+NO_MONTH = "__HIVE_DEFAULT_PARTITION__"  # Spark's folder name for a NULL partition value
 
 
 @dataclass(frozen=True)
@@ -35,40 +45,100 @@ class AppendResult:
     added_ranges: str | None = None
 
 
-def tasks_path(root: str) -> str:
-    return f"{root}/tasks"
+@dataclass(frozen=True)
+class Version:
+    """Rows of every month that counts, by change; the calendar and the changes bound the list.
+    ``whole`` names the changes of which all months count."""
+
+    number: int
+    parts: dict[str, dict[str, int]]
+    whole: frozenset[str]
+
+    @property
+    def total(self) -> int:
+        return sum(n for months in self.parts.values() for n in months.values())
+
+    def without(self, months: set[str]) -> Version:
+        left = {c: {m: n for m, n in ms.items() if m not in months} for c, ms in self.parts.items()}
+        whole = frozenset(c for c in self.whole if left[c] == self.parts[c])
+        return Version(self.number, {c: ms for c, ms in left.items() if ms}, whole)
+
+    def added(self, change: str, months: dict[str, int]) -> Version:
+        return Version(self.number, {**self.parts, change: months}, self.whole | {change}) if months else self
 
 
-def events_path(root: str) -> str:
-    return f"{root}/history_events"
+def data_path(root: str) -> str:
+    return f"{root}/data"
+
+
+def versions_path(root: str) -> str:
+    return f"{root}/versions"
+
+
+def current_version(spark: SparkSession, root: str) -> Version:
+    numbers = [n for n in files.names(spark, versions_path(root)) if n.endswith(".json") and not n.startswith(("_", "."))]
+    if not numbers:
+        return Version(0, {}, frozenset())
+    stored = json.loads(files.read_text(spark, f"{versions_path(root)}/{numbers[-1]}"))
+    return Version(stored["version"], stored["parts"], frozenset(stored["whole"]))
+
+
+def _publish(spark: SparkSession, root: str, version: Version, event: dict | None) -> None:
+    """Makes a version the newest one, with the event that it is recorded by."""
+    number = version.number + 1
+    row = {"version": number, "parts": version.parts, "whole": sorted(version.whole), "event": event}
+    files.publish_text(spark, f"{versions_path(root)}/{number:020d}.json", json.dumps(row, default=str) + "\n")
 
 
 def read_history(spark: SparkSession, root: str) -> DataFrame:
-    if not files.exists(spark, tasks_path(root)):
+    return _read(spark, root, current_version(spark, root))
+
+
+def _read(spark: SparkSession, root: str, version: Version) -> DataFrame:
+    paths = []
+    for change, months in version.parts.items():
+        folder = f"{data_path(root)}/change={change}"
+        paths += [folder] if change in version.whole else [f"{folder}/end_month={m}" for m in months]
+    if not paths:
         return spark.createDataFrame([], TASKS_SCHEMA)
-    return spark.read.schema(TASKS_SCHEMA).parquet(tasks_path(root))
+    return spark.read.schema(TASKS_SCHEMA).option("basePath", data_path(root)).parquet(*paths).select(*TASKS_SCHEMA.names)
+
+
+def write_change(df: DataFrame, root: str) -> tuple[str, DataFrame]:
+    """Writes rows by month as a new change; returns its name and its rows. Rebalancing gathers small
+    months and splits a hot one over files."""
+    spark, change = df.sparkSession, f"c{uuid.uuid4().hex}"
+    folder = f"{data_path(root)}/change={change}"
+    df.select(*TASKS_SCHEMA.names).hint("rebalance", F.col("end_month")).write.partitionBy("end_month").parquet(folder)
+    return change, spark.read.schema(TASKS_SCHEMA).option("basePath", data_path(root)).parquet(folder).select(*TASKS_SCHEMA.names)
+
 
+def remove_unlisted(spark: SparkSession, root: str) -> list[str]:
+    """Removes the folders of changes that the newest version does not list (changes that died, and
+    ones whose months have all been replaced); for times without a writer or an old reader."""
+    listed = current_version(spark, root).parts
+    gone = [n for n in files.names(spark, data_path(root)) if n.removeprefix("change=") not in listed]
+    for name in gone:
+        files.remove(spark, f"{data_path(root)}/{name}")
+    return gone
 
-def write_tasks(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Writes rows by month. Rebalancing gathers small months and splits a hot one over files."""
-    rows = df.select(*TASKS_SCHEMA.names).hint("rebalance", F.col("end_month"))
-    writer = rows.write.mode(mode).partitionBy("end_month")
-    if mode == "overwrite":
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
 
+def _in_months(months: list[str]) -> Column:
+    known = [dt.date.fromisoformat(m) for m in months if m != NO_MONTH]
+    hit = F.col("end_month").isNull() if NO_MONTH in months else F.lit(False)
+    return hit | F.col("end_month").isin(known) if known else hit  # the calendar bounds the list
 
-def _months(df: DataFrame) -> list[dt.date | None]:
-    """Distinct end months; the calendar bounds their number."""
-    return [r.end_month for r in df.select("end_month").distinct().collect()]
 
+def _by_day(df: DataFrame, path: str) -> DataFrame:
+    """Rows counted by month and days of both times, as a table: what summaries need of them."""
+    days = [F.date_trunc("day", c).alias(c) for c in ("start_time", "end_time")]
+    df.groupBy("end_month", *days).agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
-def _in_months(months: list[dt.date | None]) -> Column:
-    known = sorted(m for m in months if m is not None)
-    hit = F.col("end_month").isNull() if None in months else F.lit(False)
-    if not known:
-        return hit
-    return hit | F.col("end_month").isin(known)  # the calendar bounds the list
+
+def _month_rows(by_day: DataFrame) -> dict[str, int]:
+    rows = by_day.groupBy("end_month").agg(F.sum("n").alias("n")).collect()  # the calendar bounds them
+    return {str(r.end_month) if r.end_month else NO_MONTH: r.n for r in rows}
 
 
 def append_tasks(
@@ -78,37 +148,35 @@ def append_tasks(
 
     The hash covers the end time, so a stored copy can only lie in the same month: only those
     months' hashes are read. They meet the batch before its repeated rows are taken out, so that a
-    second delivery is not grouped only to be thrown away. Running a batch again adds nothing; with
-    the same ``batch_id`` it also records the addition, once, if the first run died before that."""
-    again = batch_id is not None
+    second delivery is not grouped only to be thrown away. Rows and event count together or not at
+    all, so running a batch again adds what the first run did not, and records it once."""
     batch_id = batch_id or uuid.uuid4().hex
     staging = f"{root}/_staging/{batch_id}-{uuid.uuid4().hex}"
     rows = to_tasks(batch.withColumns({"batch_id": F.lit(batch_id), "created_at": F.lit(created_at)}))
     order = [c for c in ("source_file",) if c in rows.columns]
-    rows.select(*order, *TASKS_SCHEMA.names).write.parquet(staging)
-    staged = spark.read.schema(rows.select(*order, *TASKS_SCHEMA.names).schema).parquet(staging)
-
-    touched = _in_months(_months(staged))
-    stored = read_history(spark, root).where(touched)
-    write_tasks(one_per_hash(not_stored(staged, stored)), tasks_path(root))
-
-    history = read_history(spark, root)
-    added_rows = history.where(touched & (F.col("batch_id") == batch_id))
-    rows_added, total = added_rows.count(), history.count()
+    rows.select(*order, *TASKS_SCHEMA.names).write.parquet(f"{staging}/rows")
+    staged = spark.read.schema(rows.select(*order, *TASKS_SCHEMA.names).schema).parquet(f"{staging}/rows")
+    processed = _by_day(staged, f"{staging}/days")
+
+    version = current_version(spark, root)
+    touched = list(_month_rows(processed))
+    stored = _read(spark, root, version).where(_in_months(touched))
+    change, added = write_change(one_per_hash(not_stored(staged, stored)), root)
+    added_days = _by_day(added, f"{staging}/added")
+    months = _month_rows(added_days)
+    rows_added, total = sum(months.values()), version.total + sum(months.values())
     if rows_added == 0:
         files.remove(spark, staging)
+        files.remove(spark, f"{data_path(root)}/change={change}")
         return AppendResult(0, total)
-    processed, added = date_summary(staged).first(), date_summary(added_rows).first()
-    files.remove(spark, staging)
+    whole, new = date_summary(processed).first(), date_summary(added_days).first()
     result = AppendResult(
-        rows_added, total,
-        processed.start_date if processed else None,
-        processed.end_date if processed else None,
-        added.label if added else None,
+        rows_added, total, whole.start_date if whole else None, whole.end_date if whole else None, new.label if new else None,
     )
     note = ADDED_PREFIX + result.added_ranges if result.added_ranges else None
-    if not (again and is_recorded(spark, root, batch_id)):
-        record_event(spark, root, "ADD", result.start_date, result.end_date, rows_added, total, note, created_at, batch_id)
+    event = _event("ADD", result.start_date, result.end_date, rows_added, total, note, created_at, batch_id)
+    _publish(spark, root, version.added(change, months), event)
+    files.remove(spark, staging)
     return result
 
 
@@ -117,49 +185,77 @@ def kept_rows(tasks: DataFrame, f: TaskFilter) -> DataFrame:
     return tasks.where(~F.coalesce(f.predicate(tasks), F.lit(False)))
 
 
+def _replaced(spark: SparkSession, root: str, version: Version, months: list[str], rows: DataFrame) -> Version:
+    """The version in which rows stand for all that the months had before."""
+    change, written = write_change(rows, root)
+    counts = {str(r.end_month) if r.end_month else NO_MONTH: r.n for r in written.groupBy("end_month").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return version.without(set(months)).added(change, counts)
+
+
 def delete_tasks(spark: SparkSession, root: str, f: TaskFilter, created_at: dt.datetime) -> tuple[int, int]:
     """Deletes matching rows and returns (deleted, remaining). Only months with a deleted row are
-    rewritten: their kept rows go to a new table, replace the month's files from there, and a month
-    without kept rows is dropped."""
-    history = read_history(spark, root)
-    per_month = {r.end_month: r.n for r in f.apply(history).groupBy("end_month").agg(F.count(F.lit(1)).alias("n")).collect()}
-    deleted = sum(per_month.values())
-    if deleted:
-        staging = f"{root}/_rewrite/{uuid.uuid4().hex}"
-        kept_rows(history.where(_in_months(list(per_month))), f).select(*TASKS_SCHEMA.names).write.parquet(staging)
-        kept = spark.read.schema(TASKS_SCHEMA).parquet(staging)
-        left = set(_months(kept))
-        if left:
-            write_tasks(kept, tasks_path(root), "overwrite")
-        for month in set(per_month) - left:
-            files.remove(spark, f"{tasks_path(root)}/end_month={month}")
-        files.remove(spark, staging)
-    remaining = read_history(spark, root).count()
+    written anew, without it; a month without kept rows is in no list any more."""
+    version = current_version(spark, root)
+    history = _read(spark, root, version)
+    hit = [str(r.end_month) if r.end_month else NO_MONTH for r in f.apply(history).select("end_month").distinct().collect()]
+    after = _replaced(spark, root, version, hit, kept_rows(history.where(_in_months(hit)), f)) if hit else version
     start, end = dt.date.fromisoformat(str(f.start)), dt.date.fromisoformat(str(f.end))
-    record_event(spark, root, "DELETE", start, end, deleted, remaining, DELETED_NOTE, created_at)
-    return deleted, remaining
+    deleted = version.total - after.total
+    _publish(spark, root, after, _event("DELETE", start, end, deleted, after.total, DELETED_NOTE, created_at))
+    return deleted, after.total
+
+
+def retag_tasks(spark: SparkSession, root: str, created_at: dt.datetime, pricing: Pricing = Pricing()) -> tuple[int, int]:
+    """Brings stored bulk rows up to date (see `retag_bulk_rows`); returns (changed, remaining).
+
+    Only months with a row to change are written anew. A renamed row whose new hash another row of
+    the month has goes, as it would when it is delivered again; of several renamed rows with one
+    hash, one stays."""
+    version = current_version(spark, root)
+    history = _read(spark, root, version)
+    off, bulk = priced_otherwise(pricing), F.coalesce(F.col("log_type") == BULK, F.lit(False))
+    counts = history.groupBy("end_month").agg(F.count_if(to_rename()).alias("rename"), F.count_if(bulk).alias("bulk"), F.count_if(off).alias("off")).collect()
+    again = any(r.off for r in counts)
+    touched = [r for r in counts if r.rename or (again and r.bulk)]
+    if not touched:
+        return 0, version.total
+    months = [str(r.end_month) if r.end_month else NO_MONTH for r in touched]
+    rows = history.where(_in_months(months)).withColumn("_renamed", to_rename())
+    rows = retag_bulk_rows(rows, pricing, again)
+    same = rows.where("not _renamed").drop("_renamed")
+    renamed = one_per_hash(not_stored(rows.where("_renamed").drop("_renamed"), same))
+    after = _replaced(spark, root, version, months, same.unionByName(renamed))
+    changed = sum(r.bulk if again else r.rename for r in touched)
+    _publish(spark, root, after, _event("RETAG", None, None, changed, after.total, RETAGGED_NOTE, created_at))
+    return changed, after.total
+
+
+def _event(
+    action: str, start: dt.date | None, end: dt.date | None, affected: int | None, remaining: int | None, note: str | None,
+    created_at: dt.datetime, cause: str | None = None,
+) -> dict:
+    values = (cause or uuid.uuid4().hex, action, start, end, affected, remaining, note, created_at)
+    return dict(zip(EVENTS_SCHEMA.names, values, strict=True))
 
 
 def record_event(
     spark: SparkSession, root: str, action: str, start: dt.date | None, end: dt.date | None,
     affected: int | None, remaining: int | None, note: str | None, created_at: dt.datetime,
-    cause: str | None = None,
 ) -> None:
-    event_id = f"{time.time_ns():020d}-{cause or uuid.uuid4().hex}"  # in order of recording
-    row = (event_id, action, start, end, affected, remaining, note, created_at)
-    spark.createDataFrame([row], EVENTS_SCHEMA).coalesce(1).write.mode("append").parquet(events_path(root))
-
-
-def is_recorded(spark: SparkSession, root: str, batch_id: str) -> bool:
-    return not read_events(spark, root).where(F.col("event_id").endswith(f"-{batch_id}")).isEmpty()
+    """Logs an event that changes no rows."""
+    _publish(spark, root, current_version(spark, root), _event(action, start, end, affected, remaining, note, created_at))
 
 
 def read_events(spark: SparkSession, root: str, action: str | None = None, limit: int | None = None) -> DataFrame:
     """Audit log, newest first."""
-    if not files.exists(spark, events_path(root)):
+    if not files.names(spark, versions_path(root)):
         return spark.createDataFrame([], EVENTS_SCHEMA)
-    events = spark.read.schema(EVENTS_SCHEMA).parquet(events_path(root))
-    return list_events(events, action, limit)
+    texts = {"start_date", "end_date", "created_at"}
+    fields = ", ".join(f"{f.name} {'string' if f.name in texts else f.dataType.simpleString()}" for f in EVENTS_SCHEMA)
+    stored = spark.read.schema(f"version long, event struct<{fields}>").json(versions_path(root)).where("event is not null")
+    event_id = F.concat_ws("-", F.lpad(F.col("version").cast("string"), 20, "0"), "event.event_id")  # in order of recording
+    columns = {f.name: F.col(f"event.{f.name}").cast(f.dataType) for f in EVENTS_SCHEMA} | {"event_id": event_id}
+    return list_events(stored.select(*[c.alias(n) for n, c in columns.items()]), action, limit)
 
 
 def list_events(events: DataFrame, action: str | None = None, limit: int | None = None) -> DataFrame:

@@ -205,13 +205,73 @@ def test_delete_and_restore(spark, folder, tmp_path):
     assert history.delete_tasks(spark, root, TaskFilter("2024-01-01", "2024-01-31"), NOW) == (1, 4)
     left = history.read_history(spark, root)
     assert left.where("end_time is null").count() == 2  # rows without an end time are in no range
-    assert not (tmp_path / "lake/tasks/end_month=2024-01-01").exists()
+    assert "2024-01-01" not in {m for months in history.current_version(spark, root).parts.values() for m in months}
     assert history.delete_tasks(spark, root, TaskFilter("2020-01-01", "2020-01-31"), NOW) == (0, 4)
     assert history.append_tasks(spark, root, df, NOW).rows_added == 3
     assert sorted(values(history.read_history(spark, root), "row_hash")) == before
     assert values(history.read_events(spark, root, "DELETE"), "affected_rows", "remaining_rows", "note") != []
 
 
+def test_changes_that_die_leave_the_old_state(spark, folder, tmp_path, monkeypatch):
+    from meterlake.operators.filters import TaskFilter
+
+    root = str(tmp_path / "lake")
+    first, second = (read(spark, folder, n)[0] for n in ("task_usage_standard.csv", "org_ami.csv"))
+    history.append_tasks(spark, root, first, NOW)
+
+    def state():
+        return sorted(values(history.read_history(spark, root), "row_hash", "org")), history.read_events(spark, root).count()
+
+    before, unlisted = state(), len(history.remove_unlisted(spark, root))
+    june = TaskFilter("2024-06-01", "2024-06-30")
+    changes = [lambda: history.append_tasks(spark, root, second, NOW), lambda: history.delete_tasks(spark, root, june, NOW)]
+    for step in ("write_change", "_publish", "_by_day"):
+        for change in changes:
+            whole = getattr(history, step)
+
+            def dies(*args, whole=whole, step=step):
+                if step == "write_change":
+                    whole(*args)  # the rows are there, but in no list
+                raise RuntimeError("lost")
+
+            with monkeypatch.context() as m:
+                m.setattr(history, step, dies)
+                if not (step == "_by_day" and change is changes[1]):
+                    with pytest.raises(RuntimeError, match="lost"):
+                        change()
+            assert state() == before
+    assert unlisted == 0 and len(history.remove_unlisted(spark, root)) >= 3
+    assert state() == before
+    assert history.append_tasks(spark, root, second, NOW).total_rows == 7
+    assert history.delete_tasks(spark, root, june, NOW) == (4, 3)
+    assert values(history.read_events(spark, root), "action", "affected_rows", "remaining_rows") == [("DELETE", 4, 3), ("ADD", 3, 7), ("ADD", 4, 4)]
+
+
+def test_two_writers_of_one_version(spark, folder, tmp_path):
+    root = str(tmp_path / "lake")
+    history.append_tasks(spark, root, read(spark, folder, "neither.csv")[0], NOW)
+    version = history.current_version(spark, root)
+    history.record_event(spark, root, "NOTE", None, None, None, None, "first", NOW)
+    with pytest.raises(FileExistsError):
+        history._publish(spark, root, version, None)
+    assert values(history.read_events(spark, root), "action", "note") == [("NOTE", "first"), ("ADD", None)]
+
+
+def test_retag_writes_only_months_with_a_row_to_change(spark, folder, tmp_path):
+    root = str(tmp_path / "lake")
+    df, _ = read(spark, folder, "task_usage_standard.csv", "org_ami.csv", orgs={"org_ami.csv": "North"})
+    plain = df.withColumn("org", F.when(F.col("log_type") == BULK, F.lit("North")).otherwise(F.col("org")))
+    history.append_tasks(spark, root, plain.unionByName(df.where("task_id = 'j1'")), NOW)  # j1 is there under both names
+    files = lambda: {p for p in (tmp_path / "lake/data").rglob("*.parquet")}
+    old, kept = files(), history.read_history(spark, root).where("end_month = date'2024-01-01'").inputFiles()
+    assert history.retag_tasks(spark, root, NOW) == (3, 7)
+    got = history.read_history(spark, root)
+    assert sorted(values(got.where("log_type = 'Mass Ingestion'"), "task_id", "org")) == [(j, "North Mass Ingestion") for j in ("j1", "j2", "j3")]
+    assert got.where("end_month = date'2024-01-01'").inputFiles() == kept and old < files()
+    assert history.append_tasks(spark, root, df, NOW).rows_added == 0  # the new hashes are those of a new delivery
+    assert history.retag_tasks(spark, root, NOW) == (0, 7)
+
+
 def test_empty_batch(spark, folder, tmp_path):
     df, _ = read(spark, folder, "broken.csv")
     assert history.append_tasks(spark, str(tmp_path / "lake"), df, NOW) == history.AppendResult(0, 0)
@@ -340,13 +400,13 @@ def test_stream_batch_that_died_before_its_event(spark, folder, tmp_path, monkey
         raise RuntimeError("lost")
 
     with monkeypatch.context() as m:
-        m.setattr(history, "record_event", dies)
+        m.setattr(history, "_publish", dies)
         with pytest.raises(Exception, match="lost"):
             run()
-    assert history.read_history(spark, root).count() == 4 and history.read_events(spark, root).count() == 0
+    assert history.read_history(spark, root).count() == 0 == history.read_events(spark, root).count()
     run()
     assert values(history.read_events(spark, root), "action", "affected_rows", "remaining_rows") == [("ADD", 4, 4)]
-    assert spark.read.parquet(f"{root}/ingest_errors").count() == 1
+    assert spark.read.parquet(f"{root}/ingest_errors").count() == 2  # the broken file, and a cell that is no number
     batch = history.read_history(spark, root).first().batch_id
     df, _ = read(spark, folder, "task_usage_standard.csv")
     history.append_tasks(spark, root, df, NOW, batch)
