@@ -112,21 +112,35 @@ def _measured(df: DataFrame, pricing: Pricing) -> DataFrame:
     return df.withColumns({**fixed_parts("_ipus", used.ipus), **fixed_parts("_cost", used.cost)})
 
 
-def _measures(df: DataFrame, periods: Sequence[Period], pricing: Pricing) -> list[Column]:
-    used = usage(df, pricing)
+def _windows(periods: Sequence[Period]) -> list[tuple[str, dt.date, dt.date]]:
+    """Column suffix, first and last day of every window."""
+    return [
+        (f"{side}_{i}", a, b) for i, p in enumerate(periods)
+        for side, a, b in (("cur", p.start, p.end), ("prev", p.prev_start, p.prev_end))
+    ]
 
-    def total(name: str, inside: Column) -> Column:
-        if used.summed:
-            return used.total(F.col(name), inside)
-        return parts_sum(*[F.col(f"_{name}_{part}") for part in LIMBS], hit=inside)
 
+def window_sums(tasks: DataFrame, keys: Sequence[Column | str], periods: Sequence[Period], pricing: Pricing) -> DataFrame:
+    """Runs, units and cost of every window per key: runs_cur_0, runs_prev_0, ipus_cur_0, …
+
+    The first and last days of the windows cut the calendar into spans that no window divides. A row
+    is summed once, into its key and span, however many windows hold it; a window is then the sum of
+    the spans from its first to its last, over as many rows as keys and spans."""
+    df = _measured(tasks, pricing)
+    used, windows = usage(df, pricing), _windows(periods)
+    cuts = sorted({a for _, a, _ in windows} | {b + dt.timedelta(days=1) for _, _, b in windows})
+    span = reduce(lambda x, y: x + y, [(F.col("end_date") >= F.lit(c)).cast("int") for c in cuts])
+    amounts = ("ipus", "cost")
+    totals = {n: used.total(F.col(n)) if used.summed else parts_sum(*[F.col(f"_{n}_{part}") for part in LIMBS]) for n in amounts}
+    cells = df.where(in_periods(df, periods)).groupBy(*keys, span.alias("_span")).agg(
+        used.runs().alias("_runs"), *[c.alias(f"_{n}") for n, c in totals.items()]
+    )
     out = []
-    for i, p in enumerate(periods):
-        for side, a, b in (("cur", p.start, p.end), ("prev", p.prev_start, p.prev_end)):
-            inside = _between(F.col("end_date"), a, b)
-            out.append(used.runs(inside).alias(f"runs_{side}_{i}"))
-            out += [total(name, inside).alias(f"{name}_{side}_{i}") for name in ("ipus", "cost")]
-    return out
+    for name, a, b in windows:
+        inside = F.col("_span").between(sum(c <= a for c in cuts), sum(c <= b for c in cuts))
+        out.append(F.coalesce(F.sum(F.when(inside, F.col("_runs"))), F.lit(0)).cast("long").alias(f"runs_{name}"))
+        out += [F.coalesce(F.sum(F.when(inside, F.col(f"_{n}"))), F.lit(0)).cast("decimal(38,8)").alias(f"{n}_{name}") for n in amounts]
+    return cells.groupBy(*[c for c in cells.columns if c not in ("_span", "_runs", "_ipus", "_cost")]).agg(*out)
 
 
 _VALUES = [f"{m}_{s}" for m in ("runs", "ipus", "cost") for s in ("cur", "prev")]
@@ -149,8 +163,7 @@ def changes(
 ) -> DataFrame:
     """Runs, units and cost of both windows of every period, per key. A key that is present in one
     window only has zeros for the other, and NULL keys compare with NULL keys."""
-    tasks = _measured(tasks, pricing)
-    grouped = tasks.where(in_periods(tasks, periods)).groupBy(*keys).agg(*_measures(tasks, periods, pricing))
+    grouped = window_sums(tasks, keys, periods, pricing)
     names = [c for c in grouped.columns if not c.startswith(("runs_", "ipus_", "cost_"))]
     return _periods_to_rows(grouped, names, periods)
 
@@ -169,8 +182,7 @@ def window_changes(
 
 def period_totals(tasks: DataFrame, periods: Sequence[Period], pricing: Pricing = Pricing()) -> DataFrame:
     """Total units of each window; also where a window has no rows."""
-    tasks = _measured(tasks, pricing)
-    wide = tasks.where(in_periods(tasks, periods)).agg(*_measures(tasks, periods, pricing))
+    wide = window_sums(tasks, [], periods, pricing)
     rows = [
         F.struct(
             F.lit(p.name).alias("period"), F.lit(side).alias("side"),
@@ -191,11 +203,8 @@ def period_compare(
 
     The log-type lines cover both types whatever ``log_type`` is. Each combination of the three is
     summed before it is counted under each of its dimensions."""
-    tasks = _measured(tasks, pricing)
-    log_name = log_type_label().alias("log_type")
-    cells = tasks.where(in_periods(tasks, periods)).groupBy(
-        log_name, org_label().alias("org"), env_base(F.col("environment")).alias("environment")
-    ).agg(*_measures(tasks, periods, pricing))
+    labels = [log_type_label().alias("log_type"), org_label().alias("org"), env_base(F.col("environment")).alias("environment")]
+    cells = window_sums(tasks, labels, periods, pricing)
     scoped = F.lit(True) if not log_type else F.col("log_type") == log_type
     sides = F.array(
         F.struct(F.lit("log_type").alias("dimension"), F.col("log_type").alias("value"), F.lit(True).alias("kept")),
@@ -237,10 +246,7 @@ def with_trend(change_rows: DataFrame) -> DataFrame:
 def org_top_changes(tasks: DataFrame, period: Period, pricing: Pricing = Pricing(), top: int = 3) -> DataFrame:
     """Per organization: the project with the largest change and the ``top`` tasks, with runs and
     units per run."""
-    rows = _measured(named(tasks), pricing)
-    cells = rows.where(in_periods(rows, [period])).groupBy("org", "project_name", "task_name").agg(
-        *_measures(rows, [period], pricing)
-    )
+    cells = window_sums(named(tasks), ["org", "project_name", "task_name"], [period], pricing)
     sides = F.array(
         F.struct(F.lit("project").alias("kind"), F.col("project_name").alias("name")),
         F.struct(F.lit("task").alias("kind"), F.col("task_name").alias("name")),

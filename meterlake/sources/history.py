@@ -130,9 +130,11 @@ def _in_months(months: list[str]) -> Column:
 
 
 def _by_day(df: DataFrame, path: str) -> DataFrame:
-    """Rows counted by month and days of both times, as a table: what summaries need of them."""
-    days = [F.date_trunc("day", c).alias(c) for c in ("start_time", "end_time")]
-    df.groupBy("end_month", *days).agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.parquet(path)
+    """Rows counted by month and day, as a table: what summaries need of them. The day is that of the
+    end time; rows without one have that of the start time."""
+    days = {c: F.date_trunc("day", c) for c in ("start_time", "end_time")}
+    days["start_time"] = F.when(F.col("end_time").isNull(), days["start_time"])
+    df.groupBy("end_month", *[c.alias(n) for n, c in days.items()]).agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

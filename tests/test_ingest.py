@@ -263,11 +263,12 @@ def test_retag_writes_only_months_with_a_row_to_change(spark, folder, tmp_path):
     plain = df.withColumn("org", F.when(F.col("log_type") == BULK, F.lit("North")).otherwise(F.col("org")))
     history.append_tasks(spark, root, plain.unionByName(df.where("task_id = 'j1'")), NOW)  # j1 is there under both names
     files = lambda: {p for p in (tmp_path / "lake/data").rglob("*.parquet")}
-    old, kept = files(), history.read_history(spark, root).where("end_month = date'2024-01-01'").inputFiles()
+    january = lambda: [f for f in history.read_history(spark, root).inputFiles() if "end_month=2024-01-01" in f]
+    old, kept = files(), january()
     assert history.retag_tasks(spark, root, NOW) == (3, 7)
     got = history.read_history(spark, root)
     assert sorted(values(got.where("log_type = 'Mass Ingestion'"), "task_id", "org")) == [(j, "North Mass Ingestion") for j in ("j1", "j2", "j3")]
-    assert got.where("end_month = date'2024-01-01'").inputFiles() == kept and old < files()
+    assert january() == kept != [] and old < files()
     assert history.append_tasks(spark, root, df, NOW).rows_added == 0  # the new hashes are those of a new delivery
     assert history.retag_tasks(spark, root, NOW) == (0, 7)
 
