@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterlake.operators.dedup import not_stored, one_per_hash
 from meterlake.operators.filters import TaskFilter
@@ -104,6 +105,14 @@ def _read(spark: SparkSession, root: str, version: Version) -> DataFrame:
     return spark.read.schema(TASKS_SCHEMA).option("basePath", data_path(root)).parquet(*paths).select(*TASKS_SCHEMA.names)
 
 
+def read_changes(spark: SparkSession, root: str, changes: list[str]) -> DataFrame:
+    """All rows that some changes wrote, with the name of the change; also of months that do not count
+    any more."""
+    folders = [f"{data_path(root)}/change={c}" for c in changes]
+    schema = T.StructType([*TASKS_SCHEMA.fields, T.StructField("change", T.StringType())])
+    return spark.read.schema(schema).option("basePath", data_path(root)).parquet(*folders)
+
+
 def write_change(df: DataFrame, root: str) -> tuple[str, DataFrame]:
     """Writes rows by month as a new change; returns its name and its rows. Rebalancing gathers small
     months and splits a hot one over files."""
