@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions.labels import label, org_label
+from meterlake.functions.pricing import exact_sum, usage
 from meterlake.operators.anomalies import outliers
+from meterlake.operators.cells import kept
 from meterlake.operators.stats import finish, totals
 from meterlake.schema import Pricing
 from meterlake.sources import files
@@ -19,6 +21,10 @@ def run_headers(rows: DataFrame, pricing: Pricing = Pricing()) -> DataFrame:
     source_files."""
     keys = [*map(F.col, ("run_id", "run_name", "run_timestamp", "source_files"))]
     sums = finish(totals(rows.withColumn("task_id", F.col("task_run_id")), keys, pricing, unique=True))
+    return _header_columns(sums, pricing)
+
+
+def _header_columns(sums: DataFrame, pricing: Pricing) -> DataFrame:
     return sums.select(
         "run_id", "run_name", "run_timestamp", "source_files",
         F.lit(pricing.task_factor).alias("ipu_conversion_factor"),
@@ -28,15 +34,18 @@ def run_headers(rows: DataFrame, pricing: Pricing = Pricing()) -> DataFrame:
     )
 
 
+def _per_task() -> Column:
+    return F.round(F.col("total_ipus") / F.col("task_count"), 6).alias("avg_ipus_per_task")
+
+
 def _by(rows: DataFrame, key: Column, pricing: Pricing, unique: bool = True) -> DataFrame:
     return finish(totals(rows, [F.col("run_id"), key], pricing, unique=unique))
 
 
 def run_summaries(rows: DataFrame, pricing: Pricing = Pricing()) -> dict[str, DataFrame]:
     """The summary tables of all runs in the frame."""
-    per_task = F.round(F.col("total_ipus") / F.col("task_count"), 6).alias("avg_ipus_per_task")
     return {
-        "org_summaries": _by(rows, org_label().alias("org_name"), pricing).select("*", per_task),
+        "org_summaries": _by(rows, org_label().alias("org_name"), pricing).select("*", _per_task()),
         "env_summaries": _by(rows, label(F.col("environment"), "Unknown").alias("environment"), pricing),
         "project_summaries": _by(rows, label(F.col("project_name"), "-").alias("project_name"), pricing),
         "task_type_summaries": _by(rows, label(F.col("task_type"), "Unknown").alias("task_type"), pricing),
@@ -45,15 +54,58 @@ def run_summaries(rows: DataFrame, pricing: Pricing = Pricing()) -> dict[str, Da
     }
 
 
+# table: its key column, its value, the id that its distinct counts are of
+SNAPSHOT = {
+    "runs": (None, lambda: F.lit(None), "task_run_id"),
+    "org_summaries": ("org_name", org_label, "task_id"),
+    "env_summaries": ("environment", lambda: label(F.col("environment"), "Unknown"), "task_id"),
+    "project_summaries": ("project_name", lambda: label(F.col("project_name"), "-"), "task_id"),
+    "task_type_summaries": ("task_type", lambda: label(F.col("task_type"), "Unknown"), "task_id"),
+    "status_summaries": ("status", lambda: F.col("status"), None),
+    "daily_stats": ("stat_date", lambda: F.col("end_date"), None),
+}
+HEADER = ("run_name", "run_timestamp", "source_files")
+
+
+def run_snapshot(rows: DataFrame, pricing: Pricing = Pricing()) -> dict[str, DataFrame]:
+    """The header and all summary tables of the frame's runs by one scan and one aggregation: every
+    row counts once for each table. The sums are written once, and the tables are read from there."""
+    used = usage(rows, pricing)
+    empty = F.lit(None).cast("string")
+    header = F.struct(*HEADER)
+    no_header = F.lit(None).cast(rows.select(header.alias("h")).schema["h"].dataType)
+    parts = [
+        F.struct(
+            F.lit(name).alias("_table"), value().cast("string").alias("_value"), (F.col(of) if of else empty).cast("string").alias("task_id"),
+            (header if name == "runs" else no_header).alias("_header"),
+        )
+        for name, (_, value, of) in SNAPSHOT.items()
+    ]
+    each = rows.select("run_id", used.ipus.alias("ipus"), used.cost.alias("cost"), F.lit(1).cast("long").alias("_one"), F.inline(F.array(*parts)))
+    sums = each.groupBy("run_id", "_table", "_value", "_header").agg(
+        F.sum("_one").alias("task_count"), exact_sum(F.col("ipus")).alias("total_ipus"), exact_sum(F.col("cost")).alias("total_cost"),
+        F.countDistinct("task_id").alias("unique_tasks"),
+    )
+    done = kept(finish(sums), "run-sums")
+    tables = {}
+    for name, (key, _, of) in SNAPSHOT.items():
+        table = done.where(F.col("_table") == name)
+        if key is None:
+            tables[name] = _header_columns(table.select("*", "_header.*"), pricing)
+            continue
+        value = F.col("_value").cast("date" if key == "stat_date" else "string").alias(key)
+        unique = ["unique_tasks"] if of else []
+        tables[name] = table.select("run_id", value, "task_count", "total_ipus", "total_cost", *unique)
+    tables["org_summaries"] = tables["org_summaries"].select("*", _per_task())
+    return tables
+
+
 def write_runs(rows: DataFrame, root: str, pricing: Pricing = Pricing()) -> None:
-    tables = {"runs": run_headers(rows, pricing), **run_summaries(rows, pricing)}
-    for name, table in tables.items():
+    for name, table in run_snapshot(rows, pricing).items():
         table.write.mode("append").partitionBy("run_id").parquet(f"{root}/{name}")
 
 
-TABLES = (
-    "runs", "org_summaries", "env_summaries", "project_summaries", "task_type_summaries", "status_summaries", "daily_stats",
-)
+TABLES = tuple(SNAPSHOT)
 
 
 def read_runs(spark: SparkSession, root: str) -> dict[str, DataFrame]:

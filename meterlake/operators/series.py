@@ -125,18 +125,27 @@ def cumulative_by_org(tasks: DataFrame, start: Day, end: Day) -> DataFrame:
     )
 
 
-def weekly_trend(tasks: DataFrame, anchor: Day, weeks: int = 6, pricing: Pricing = Pricing()) -> DataFrame:
-    """Units per organization and Monday week over the last weeks, zero where there is no row."""
+def weekly_trend(
+    tasks: DataFrame, anchor: Day, weeks: int = 6, pricing: Pricing = Pricing(), log_type: str | None = None, orgs: DataFrame | None = None
+) -> DataFrame:
+    """Units per organization and Monday week over the last weeks, zero where there is no row, of all
+    rows or of one log type. Organizations of ``orgs`` (column org), such as those of a comparison
+    beside it, are listed too, with zeros if they have no row."""
     last = as_date(anchor)
     monday = last - dt.timedelta(days=last.weekday())
     first = monday - dt.timedelta(days=7 * (weeks - 1))
     org = F.when(F.trim("org") != "", F.trim("org")).otherwise(F.lit("(Unknown)")).alias("org")
+    if log_type:
+        tasks = tasks.where(log_type_is(log_type))
     week = F.to_date(F.date_trunc("week", "end_time")).alias("week_start")
     sums = (
         tasks.where(in_days(tasks, first, last))
         .groupBy(org, week).agg(exact_sum(eff_ipus(pricing)).alias("ipus"))
         .groupBy("org").agg(F.map_from_entries(F.collect_list(F.struct("week_start", "ipus"))).alias("by_week"))
     )
+    if orgs is not None:
+        listed = orgs.select(org).distinct().join(sums, "org", "left_anti")
+        sums = sums.unionByName(listed.select("org", F.lit(None).cast(sums.schema["by_week"].dataType).alias("by_week")))
     starts = F.sequence(F.lit(first), F.lit(monday), F.expr("interval 7 days"))
     grid = sums.select("org", "by_week", F.explode(starts).alias("week_start"))
     total = F.coalesce(F.try_element_at("by_week", F.col("week_start")), F.lit(0))

@@ -9,6 +9,7 @@ from meterlake.operators import compare as C
 from meterlake.operators import runs as R
 from meterlake.plans.registry import EC, EI, ENV, LOG, ORG, STATS, UNIQUE, base, register, shown, total
 from meterlake.plans.views import tasks_events, tasks_tpch
+from meterlake.sources.files import work_dir
 
 ANCHOR = "2024-01-24"
 PERIODS = C.report_periods(ANCHOR)
@@ -245,3 +246,31 @@ z AS (SELECT run_id, run_name, run_timestamp, total_ipus, ROUND((total_ipus - m)
 SELECT *, CASE WHEN z_score > 1.5 THEN 'High' ELSE 'Low' END AS anomaly_type FROM z WHERE abs(z_score) > 1.5""")
 def run_anomalies(spark, d):
     return R.run_anomalies(run_tables(spark, d)["runs"], threshold=1.5)
+
+
+# --- snapshots that are written, deleted from and read back ---
+
+def written_runs(spark, d):
+    root = work_dir(spark, "runs")
+    R.write_runs(monthly_runs(spark, d), root)
+    R.delete_run(spark, root, "1999-04")
+    return R.read_runs(spark, root)
+
+
+@register("run_store_headers", RUN_ROWS + " SELECT * FROM runs WHERE run_id <> '1999-04'")
+def run_store_headers(spark, d):
+    return R.all_runs(written_runs(spark, d)["runs"])
+
+
+@register("run_store_summaries", RUN_ROWS + f""" SELECT 'org' AS kind, run_id, org_name AS name, task_count, total_ipus, total_cost, unique_tasks FROM org_summaries WHERE run_id <> '1999-04'
+UNION ALL SELECT 'type', run_id, task_type, {STATS}, {UNIQUE} FROM x WHERE run_id <> '1999-04' GROUP BY run_id, task_type
+UNION ALL SELECT 'status', run_id, status, {STATS}, CAST(NULL AS BIGINT) FROM x WHERE run_id <> '1999-04' GROUP BY run_id, status
+UNION ALL SELECT 'day', run_id, CAST(end_date AS VARCHAR), {STATS}, CAST(NULL AS BIGINT) FROM x WHERE run_id <> '1999-04' GROUP BY run_id, end_date""")
+def run_store_summaries(spark, d):
+    tables, parts = written_runs(spark, d), None
+    for kind, table, key in (("org", "org_summaries", "org_name"), ("type", "task_type_summaries", "task_type"), ("status", "status_summaries", "status"), ("day", "daily_stats", "stat_date")):
+        t = tables[table]
+        unique = F.col("unique_tasks") if "unique_tasks" in t.columns else F.lit(None).cast("long").alias("unique_tasks")
+        part = t.select(F.lit(kind).alias("kind"), "run_id", F.col(key).cast("string").alias("name"), "task_count", "total_ipus", "total_cost", unique)
+        parts = part if parts is None else parts.unionByName(part)
+    return parts

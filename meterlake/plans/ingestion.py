@@ -463,6 +463,30 @@ def org_discovery(spark, d):
     return O.ensure_organizations(tpch_organizations(spark), found).select("name", "sort_order")
 
 
+@register("org_insert", f"""SELECT concat('Org ', n_name) AS name, CAST(n_nationkey AS VARCHAR) AS external_id, r_name AS parent_name,
+  lower(n_name) AS token, CAST(50 + 10 * ROW_NUMBER() OVER (ORDER BY concat('Org ', n_name)) AS INTEGER) AS sort_order
+FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'EUROPE', '3', 'WEST', 'europe', 50""")
+def org_insert(spark, d):
+    """Organizations with their attributes; one that the catalog has stays as it is."""
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "right")
+    rows = rows.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    found = rows.select(
+        F.concat(F.lit("Org "), "n_name", F.when(F.col("c_custkey") % 2 == 0, " Mass Ingestion").otherwise("")).alias("org"),
+        F.col("n_nationkey").cast("string").alias("external_id"), F.col("r_name").alias("parent_name"), F.array(F.concat(F.lit(" "), "n_name"), F.lit("")).alias("filename_tokens"),
+    )
+    known = table(spark, d, "region").select(F.col("r_name").alias("org"), F.lit("x").alias("external_id"), F.lit(None).cast("string").alias("parent_name"), F.array(F.lit("y")).alias("filename_tokens"))
+    catalog = O.ensure_organizations(tpch_organizations(spark), found.unionByName(known.where("org = 'EUROPE'")))
+    shown_names = F.col("name").startswith("Org ") | (F.col("name") == "EUROPE")
+    return catalog.where(shown_names).select("name", "external_id", "parent_name", F.get("filename_tokens", F.lit(0)).alias("token"), "sort_order")
+
+
+@register("org_mappings", """SELECT concat('c', c_custkey) AS external_id, c_name AS name FROM customer
+UNION ALL SELECT * FROM (VALUES ('2', 'ASIA'), ('4', 'MIDDLE EAST'), ('1', 'AMERICA'), ('3', 'EUROPE'))""")
+def org_mappings(spark, d):
+    mappings = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("org_id"), F.col("c_name").alias("org_name"))
+    return O.id_map(O.add_mappings(tpch_organizations(spark), mappings))
+
+
 @register("org_options", """SELECT r_name AS org, r_regionkey AS sort_order, 0 AS twin FROM region UNION ALL
 SELECT concat(r_name, ' Mass Ingestion'), r_regionkey, 1 FROM region""")
 def org_options(spark, d):

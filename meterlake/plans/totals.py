@@ -15,6 +15,8 @@ from meterlake.plans.registry import (
     EC, EI, ENV, FACTOR, LOG, ORG, PROJECT, STATS, TASK_NAME, UNIQUE, base, days, register, shown, total,
 )
 from meterlake.plans.views import tasks_events, tasks_tpch
+from meterlake.sources.files import work_dir
+from meterlake.sources.sinks import write_summary_report
 
 FULL = ("1995-01-01", "2001-12-31")
 ALL = TaskFilter(*FULL)
@@ -242,6 +244,15 @@ def summary_by_environment(spark, d):
     return S.summary_by(batch(spark, d), "environment")
 
 
+@register("summary_report", batch_sql("agent_name", SUMMARY, where="agent_name IS NOT NULL"))
+def summary_report(spark, d):
+    """The set of summaries written out; the one by agent read back."""
+    path = work_dir(spark, "summaries")
+    write_summary_report(batch(spark, d), path)
+    back = spark.read.option("header", True).option("escape", '"').csv(f"{path}/by_agent")
+    return back.select("agent_name", F.col("task_count").cast("long").alias("task_count"), *[F.col(c).cast("double").alias(c) for c in back.columns[2:]])
+
+
 @register("pivot_summary", batch_sql("org, task_type", AMOUNTS))
 def pivot_summary(spark, d):
     return S.pivot_summary(batch(spark, d), "org", "task_type")

@@ -6,10 +6,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions.labels import base_org, blank_to_null, bulk_org
+from meterlake.operators.numbering import numbered
 from meterlake.schema import BULK, BULK_SUFFIX, ORGANIZATIONS_SCHEMA
 
 OTHER = "Other"
@@ -96,27 +97,35 @@ def id_map(catalog: DataFrame) -> DataFrame:
 
 
 def ensure_organizations(catalog: DataFrame, names: DataFrame, first_order: int | None = None) -> DataFrame:
-    """Catalog plus the base organizations of ``names`` (column org) that it lacks, in name order,
-    ten apart after the highest sort order (or from ``first_order``, one apart)."""
+    """Catalog plus the base organizations of ``names`` (column org, and optionally external_id,
+    parent_name and filename_tokens) that it lacks, in name order, ten apart after the highest sort
+    order (or from ``first_order``, one apart). One that the catalog has stays as it is. Of several
+    rows for a new one, the least of each attribute counts; tokens are trimmed and lower-cased."""
+    given = set(names.columns)
+    attributes = {n: (F.col(n) if n in given else F.lit(None)).cast("string") for n in ("external_id", "parent_name")}
+    tokens = F.col("filename_tokens") if "filename_tokens" in given else F.lit(None)
+    tokens = F.filter(F.transform(tokens.cast("array<string>"), lambda t: F.lower(F.trim(t))), lambda t: t != "")
     new = (
-        names.select(base_org(F.col("org")).alias("name"))
+        names.select(base_org(F.col("org")).alias("name"), *[blank_to_null(c).alias(n) for n, c in attributes.items()], tokens.alias("filename_tokens"))
         .where(F.col("name") != "Unknown")
-        .distinct()
+        .groupBy("name").agg(*[F.min(n).alias(n) for n in ("external_id", "parent_name")], F.min(F.when(F.size("filename_tokens") > 0, F.col("filename_tokens"))).alias("filename_tokens"))
         .join(catalog.select("name"), "name", "left_anti")
     )
-    nth = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("name"))  # one row per new organization
+    nth = F.col("_nth")
     if first_order is None:
         top = catalog.agg(F.coalesce(F.max("sort_order"), F.lit(0))).scalar()
-        order = (top + nth * 10).cast("int")
+        order = (top + nth * 10 + 10).cast("int")
     else:
-        order = (nth - 1 + F.lit(first_order)).cast("int")
-    added = new.select(
-        "name", F.lit(None).cast("string").alias("external_id"), F.lit(None).cast("string").alias("parent_name"),
-        F.lit(None).cast("array<string>").alias("filename_tokens"), order.alias("sort_order"),
-    )
+        order = (nth + F.lit(first_order)).cast("int")
+    added = numbered(new, "name", name="_nth").withColumn("sort_order", order).drop("_nth")
     return catalog.unionByName(added)
 
 
+def add_mappings(catalog: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Catalog plus organizations for external ids of one's own (org_id, org_name)."""
+    return ensure_organizations(catalog, mappings.select(F.col("org_name").alias("org"), F.col("org_id").cast("string").alias("external_id")))
+
+
 def compact(c: Column) -> Column:
     """Lower-case letters and digits only."""
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
