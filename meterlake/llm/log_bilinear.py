@@ -6,10 +6,13 @@ weighted by its place; its product with the output vectors gives the probabiliti
 normalised. Within a class a word has its smoothed share of the class's count; each bucket of
 endings also has one unknown word, so the probabilities of all words add up to one.
 
-Counts are exact and distributed. Training passes over every training token: each task runs
-stochastic steps on its rows from the same start, and the tasks' parameters are averaged, weighted
-with their tokens. Only tables of fixed size reach the driver: counts of the HEAD most frequent
-words, totals of the classes, and the parameters. Counts of rarer words are joined."""
+Counts are exact and distributed. Training passes over every training token once. Rows are dealt to
+rounds, and within a round to shards, by a hash of the row: their number follows from the count of
+tokens, so neither the partitions nor the order of the input decide what is learnt. A shard runs
+stochastic steps from the state that the round before left; the states of the shards are averaged,
+weighted with their tokens, in whole numbers, whose sum no order changes. Only tables of fixed size
+reach the driver: counts of the HEAD most frequent words, totals of the classes, and the state.
+Counts of rarer words are joined."""
 
 from __future__ import annotations
 
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 
 from meterlake.llm.store import kept
 from meterlake.llm.text import LOWER, lists, mix, signed, texts, words_and_tails
+from meterlake.sources.files import work_dir
 
 #: Words with a class of their own, buckets of endings, and a bound of the words whose counts go to
 #: every task.
@@ -36,8 +40,13 @@ NOISE = 48
 #: Tokens of a step: the first ones are small, and every DOUBLE steps the size doubles up to BATCH.
 FIRST_BATCH, BATCH, DOUBLE = 64, 2048, 100
 RATE = 0.1
-#: Averages of the parameters over all tasks, each after one pass.
-ROUNDS = 1
+#: Averages of the shards' states, each after another part of the rows.
+ROUNDS = 4
+#: Tokens of a shard in a round, on average, and tokens that are mixed before they make up steps.
+SHARD = 500_000
+MIXED = 1 << 18
+#: Parts of one that the states are averaged in.
+UNIT = 1 << 40
 BLOCK = 512
 
 END_TOKEN = mix(np.array([0xE0D], np.uint64))[0]
@@ -199,6 +208,19 @@ class Trainer:
         self.past = [np.full(x.shape, 1e-2, np.float32) for x in (parameters.inputs, parameters.places, parameters.outputs, parameters.bias)]
         self.tokens = self.steps = 0
 
+    def state(self) -> np.ndarray:
+        """Parameters, scales of past gradients and the number of steps as one vector."""
+        return np.concatenate([self.p.flat(), *[x.ravel() for x in self.past], [self.steps]]).astype(np.float64)
+
+    @classmethod
+    def of_state(cls, state: np.ndarray, noise: np.ndarray, seed: int) -> Trainer:
+        half = state.size // 2
+        out = cls(Parameters.of_flat(state[:half]), noise, seed)
+        past = Parameters.of_flat(state[half:-1])
+        out.past = [past.inputs, past.places, past.outputs, past.bias]
+        out.steps = int(round(state[-1]))
+        return out
+
     def gradients(self, contexts: np.ndarray, targets: np.ndarray, drawn: np.ndarray) -> list[np.ndarray]:
         p = self.p
         q = p.query(contexts)
@@ -240,12 +262,54 @@ def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
             yield batch.slice(low, rows)
 
 
-def _train(shared):
+def _class_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, flat = shared.value
-        trainer = Trainer(Parameters.of_flat(flat), vocabulary.noise(), 11)
         for batch in _sliced(batches):
-            _, starts, _, classes, _ = _classed(batch, 0, vocabulary)
+            sizes, _, _, classes, _ = _classed(batch, 1, shared.value)
+            rows = np.split(classes.astype(np.int16), np.cumsum(sizes)[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(rows, pa.int16())], ["deal", "classes"])
+
+    return run
+
+
+def dealt(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(deal, slice, copies, classes, shard, round): the class sequences of docs, each in one shard of
+    one round by the hash of its row. Rows that repeat id and text are one with a count before they
+    are shuffled; more copies than a shard has room for are slices that go to different shards."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("deal"), "text").mapInArrow(_class_rows(shared), "deal long, classes array<short>")
+    counted = rows.groupBy("deal").agg(F.first("classes").alias("classes"), F.count("*").alias("n"))
+    room = F.greatest(F.lit(1), F.floor(F.lit(SHARD) / F.size("classes"))).cast("long")
+    sliced = counted.withColumn("room", room).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("room")))))
+    place, shards = F.xxhash64("deal", "slice"), max(1, -(-vocabulary.total // (ROUNDS * SHARD)))
+    out = sliced.select(
+        "deal", "slice", F.least("room", F.col("n") - F.col("slice") * F.col("room")).alias("copies"), "classes",
+        F.pmod(F.shiftrightunsigned(place, 8), F.lit(shards)).alias("shard"), F.pmod(place, F.lit(ROUNDS)).cast("int").alias("round"),
+    )
+    path = work_dir(docs.sparkSession, "lm-dealt")
+    out.write.partitionBy("round").parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def _mixed(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Classes and starts of the rows, copies included, in blocks of about MIXED tokens. Equal hashes
+    and slices are in the order of nothing else, so the order of the input is gone."""
+    table = table.sort_by([("deal", "ascending"), ("slice", "ascending")]).combine_chunks()
+    column = pa.concat_arrays(table.column("classes").chunks)
+    flat, ends = column.flatten().to_numpy(), np.append(0, np.cumsum(column.value_lengths().to_numpy()))
+    rows = np.repeat(np.arange(len(column)), table.column("copies").to_numpy())
+    sizes = np.diff(ends)[rows]
+    block = (np.cumsum(sizes) - sizes) // MIXED
+    for part in np.split(np.arange(rows.size), np.flatnonzero(np.diff(block)) + 1):
+        classes = np.concatenate([flat[ends[i] : ends[i + 1]] for i in rows[part]]).astype(np.int64)
+        yield classes, np.cumsum(sizes[part]) - sizes[part]
+
+
+def _train(shared):
+    def run(table: pa.Table) -> pa.Table:
+        noise, state, total = shared.value
+        trainer = Trainer.of_state(state, noise, int(table.column("shard")[0].as_py()) + 11)
+        for classes, starts in _mixed(table):
             contexts = contexts_of(classes, starts)
             order = trainer.random.permutation(classes.size)
             low = 0
@@ -253,26 +317,46 @@ def _train(shared):
                 part = order[low : low + min(BATCH, FIRST_BATCH << min(trainer.steps // DOUBLE, 20))]
                 trainer.step(contexts[part], classes[part])
                 low += part.size
-        if trainer.tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([float(trainer.tokens)]), lists([trainer.p.flat().astype(np.float32)], pa.float32())], ["weight", "flat"])
+        share = np.rint(trainer.state() * (trainer.tokens / total * UNIT)).astype(np.int64)
+        return pa.table([pa.array([trainer.tokens], pa.int64()), lists([share], pa.int64())], ["weight", "state"])
 
     return run
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Parameters:
-    """Parameters after passes over the texts of docs, averaged over the tasks after each."""
-    flat = Parameters.start(vocabulary).flat()
-    for _ in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast((vocabulary, flat))
-        parts = docs.select("text").mapInArrow(_train(shared), "weight double, flat array<float>")
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for all states of a task."""
+    weight, state = 0, None
+    for batch in batches:
+        for row in range(batch.num_rows):
+            weight += batch.column(0)[row].as_py()
+            values = batch.column(1)[row].values.to_numpy()
+            state = values.copy() if state is None else state + values
+    if state is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), lists([state], pa.int64())], ["weight", "state"])
+
+
+def train(docs: DataFrame, vocabulary: Vocabulary) -> Parameters:
+    """Parameters after one pass over the texts of docs in ROUNDS rounds. A round without rows leaves
+    the state as it is."""
+    spark = docs.sparkSession
+    state = Trainer(Parameters.start(vocabulary), vocabulary.noise(), 0).state()
+    rows = dealt(docs, vocabulary)
+    shards = max(1, -(-vocabulary.total // (ROUNDS * SHARD)))
+    tasks = min(shards, 8 * spark.sparkContext.defaultParallelism)
+    for number in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((vocabulary.noise(), state, max(vocabulary.total, 1)))
+        of_round = rows.where(F.col("round") == number).select("shard", "deal", "slice", "copies", "classes").repartition(tasks, "shard")
+        states = of_round.groupBy("shard").applyInArrow(_train(shared), "weight long, state array<long>").mapInArrow(_summed, "weight long, state array<long>")
         mean = (
-            parts.select("weight", F.posexplode("flat").alias("at", "x")).groupBy("at")
-            .agg((F.sum(F.col("weight") * F.col("x")) / F.sum("weight")).alias("x")).toPandas()
+            states.select("weight", F.posexplode("state").alias("at", "x")).groupBy("at")
+            .agg(F.sum("x").alias("x"), F.sum("weight").alias("weight")).toPandas()  # one row a number of the state
         )
         if len(mean):
-            flat = np.zeros(flat.size)
-            flat[mean["at"].to_numpy(np.int64)] = mean["x"].to_numpy()
-    return Parameters.of_flat(np.asarray(flat))
+            part = mean["weight"].to_numpy(np.int64) / max(vocabulary.total, 1) * UNIT
+            state = np.zeros(state.size)
+            state[mean["at"].to_numpy(np.int64)] = mean["x"].to_numpy(np.int64) / part
+        shared.destroy()
+    return Trainer.of_state(state, vocabulary.noise(), 0).p
 
 
 def _score(shared):
@@ -311,7 +395,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     Null and empty texts are one end token; without training rows every word is unknown. A null
     doc_id has the CRC of no bytes. Repeated rows are scored, and counted in training, each on its
-    own; other columns are ignored. Scores are sums of logarithms to base 10."""
+    own; other columns are ignored. Scores are sums of logarithms to base 10, and the same however
+    the rows are partitioned and ordered (but for the last digits of a product of matrices)."""
     spark, training = docs.sparkSession, docs.where(training_rows())
     counted = kept(
         training.select("text").mapInArrow(_count, "word long, bucket short, n long").groupBy("word").agg(F.first("bucket").alias("bucket"), F.sum("n").alias("n")),

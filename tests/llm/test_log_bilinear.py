@@ -109,3 +109,32 @@ def test_wild_scores_stay_finite():
     got = p.log_probabilities(contexts, np.full(L.BLOCK + 3, 5))
     assert np.allclose(got, 0, atol=1e-4)
     assert np.allclose(p.log_probabilities(contexts[:1], np.array([6])), -500, atol=5)
+
+
+def test_layout_does_not_change_scores(spark, documents, monkeypatch):
+    monkeypatch.setattr(L, "SHARD", 3000)  # some shards in every round
+    rows = corpus(700) + [(None, "w1 w2 w3")] * 900 + [(9, None), (10, ""), (11, "w5 " * 20_000)]
+    runs = [documents(rows).repartition(1), documents(rows[::-1]).repartition(8), documents(rows).repartition(5, F.crc32(F.col("text")))]
+    found = [sorted(((str(g.doc_id), g.n_tokens, round(g.base_score, 6)), g.score) for g in L.score_documents(r).collect()) for r in runs]
+    for other in found[1:]:
+        assert [k for k, _ in other] == [k for k, _ in found[0]]
+        assert np.allclose([v for _, v in other], [v for _, v in found[0]], rtol=1e-6)
+
+
+def test_every_training_row_is_dealt_once(spark, documents, monkeypatch):
+    monkeypatch.setattr(L, "SHARD", 50)
+    docs = documents([(None, "w1 w2 w3")] * 100 + [(i, f"w{i % 7} w2") for i in range(60)] + [(1, None)])
+    counted = docs.select("text").mapInArrow(L._count, "word long, bucket short, n long").groupBy("word").agg(F.first("bucket").alias("bucket"), F.sum("n").alias("n"))
+    got = L.dealt(docs, L.Vocabulary.of(counted)).collect()
+    assert sum(g.copies for g in got) == 161 and sum(g.copies * len(g.classes) for g in got) == 400 + 180 + 1
+    assert max(g.copies * len(g.classes) for g in got) <= 50 and {g.round for g in got} == set(range(L.ROUNDS))
+    assert len({g.shard for g in got}) == 3
+
+
+def test_state_and_steps_go_on():
+    v = small_vocabulary()
+    t = L.Trainer(L.Parameters.start(v), v.noise(), 1)
+    r = np.random.default_rng(2)
+    t.step(r.integers(0, L.CLASSES, (40, L.CONTEXT)), r.integers(0, L.CLASSES, 40))
+    again = L.Trainer.of_state(t.state(), v.noise(), 1)
+    assert again.steps == 1 and (again.state() == t.state()).all()
