@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterlake.llm.store import kept
+
 #: Fixed values of the published algorithm.
 FACTOR = 2862933555777941757
 #: Rounds that are tried before the round count that surely suffices.
 ROUNDS = 24
-#: Parts of a shard that are numbered at the same time.
-PARTS = 64
+#: Bits of a monotonically increasing id that count the rows of a partition.
+IN_RANGE = 33
 
 
 def _advanced(hi: Column, lo: Column) -> tuple[Column, Column]:
@@ -60,19 +62,23 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     null text has size 8 and the CRC of no bytes; repeated rows go to one shard and get slots of
     their own; other columns are ignored.
 
-    Slots count from 0 in each shard without a gap. A shard is numbered in PARTS parts side by
-    side: the counts of the parts, a table of shards * PARTS rows, give each part its first slot."""
+    Slots count from 0 in each shard without a gap, in the order of doc_id (null first), CRC and size.
+    The rows are sorted by ranges over all shards and written with their place in the range, so a
+    hot shard or source is many tasks; a range starts where the ones before it end, and a shard where
+    its first row is. Rows that agree in all of it are told apart by a hash of their place in the
+    input, so that repeated rows are no range of their own."""
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    part = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(PARTS)).cast("int")
     placed = docs.select(
         "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        jump_hash(F.col("doc_id"), shards).alias("shard"), jump_hash(F.col("doc_id"), shards + 1).alias("grown_shard"), part.alias("part"),
+        jump_hash(F.col("doc_id"), shards).alias("shard"), jump_hash(F.col("doc_id"), shards + 1).alias("grown_shard"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("tie"),
     )
-    counts = docs.select(jump_hash(F.col("doc_id"), shards).alias("shard"), part.alias("part")).groupBy("shard", "part").count()
-    first = counts.select("shard", "part", (F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count")).alias("first"))
-    in_part = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size"))
-    # at most shards * PARTS rows of three numbers
-    numbered = placed.withColumn("in_part", in_part).join(F.broadcast(first), ["shard", "part"])
-    return numbered.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("in_part") - 1).cast("long").alias("slot"), "grown_shard"
+    order = ["shard", "doc_id", "text_crc32", "size", "tie"]
+    written = kept(kept(placed, "shard-rows").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "shard-slots")
+    part = F.shiftright("at", IN_RANGE)
+    sizes = written.groupBy("shard", part.alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("low"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range of a shard
+    first = sizes.select("shard", "part", "low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return written.withColumn("part", part).join(first, ["shard", "part"]).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("at") - F.col("low")).cast("long").alias("slot"), "grown_shard"
     )

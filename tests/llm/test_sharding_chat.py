@@ -80,3 +80,14 @@ def test_examples(spark):
     assert [g.text for g in got] == [first, second, second + m("user", "bye")]
     assert [[g.text[s.start : s.end] for s in g.loss_spans] for g in got] == [["r<\\|s"], ["r2"], []]
     assert chat.training_examples(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).collect() == []
+
+
+def test_slots_are_in_order_for_hot_ids(documents):
+    """Ids that are multiples of 64, null ids and copies of one row: no place in a shard is special."""
+    rows = [(64 * i, f"t{i % 3}") for i in range(400)] + [(None, "n")] * 300 + [(128, "t2")] * 200 + [(None, None)]
+    got = sharding.shard_documents(documents(rows), 5).collect()
+    assert len(got) == len(rows)
+    key = lambda g: (g.doc_id is not None, g.doc_id or 0, g.text_crc32, g.size)
+    for shard in range(5):
+        own = sorted((g for g in got if g.shard == shard), key=lambda g: g.slot)
+        assert [g.slot for g in own] == list(range(len(own))) and [key(g) for g in own] == sorted(map(key, own))
