@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterlake.llm.store import kept
 from meterlake.llm.text import LOWER, gram_hashes, lists, mix, texts, word_hashes
 
 FEATURES = 1 << 17
@@ -94,27 +96,29 @@ def hinge_fit(rows: list[np.ndarray], values: list[np.ndarray], sign: np.ndarray
     return weights, bias
 
 
-def logistic_curve(margins: np.ndarray, good: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve by Newton steps, with targets drawn in from 0 and 1."""
-    n1, n0 = int(good.sum()), int((~good).sum())
+def logistic_curve(margins: np.ndarray, good: np.ndarray, times: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic curve by Newton steps, with targets drawn in from 0 and 1. Each
+    row stands for `times` rows."""
+    n1, n0 = times[good].sum(), times[~good].sum()
     target = np.where(good, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.column_stack([margins, np.ones(margins.size)])
     beta = np.array([2.0, float(np.log((n1 + 1) / (n0 + 1)))])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (target - p) - 1e-3 * beta)
+        step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (times * (target - p)) - 1e-3 * beta)
         beta = beta + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
     return max(float(beta[0]), 0.0), float(beta[1])
 
 
-def fit(rows: list[np.ndarray], good: np.ndarray) -> Model:
-    """Model of labelled indicator sets. Without rows of both classes every text gets the share of
-    good rows as its score, or one half without rows."""
+def fit(rows: list[np.ndarray], good: np.ndarray, times: np.ndarray | None = None) -> Model:
+    """Model of labelled indicator sets; each stands for `times` sets of its class. Without rows of
+    both classes every text gets the share of good rows as its score, or one half without rows."""
     good = np.asarray(good, dtype=bool)
+    times = np.ones(len(rows)) if times is None else times
     if len(rows) == 0 or good.all() or not good.any():
-        share = (int(good.sum()) + 1) / (len(rows) + 2)
+        share = (times[good].sum() + 1) / (times.sum() + 2)
         return Model(np.zeros(FEATURES, np.float32), np.zeros(FEATURES, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
     aside = np.arange(len(rows)) % 4 == 3
     if min(good[aside].sum(), (~good[aside]).sum(), good[~aside].sum(), (~good[~aside]).sum()) < 5:
@@ -131,7 +135,7 @@ def fit(rows: list[np.ndarray], good: np.ndarray) -> Model:
     weights, bias = hinge_fit([rows[i] for i in own], [values[i] for i in own], np.where(good[own], 1.0, -1.0), costs)
     model = Model((weights * ratios).astype(np.float32), (ratios**2).astype(np.float32), bias, 1.0, 0.0)
     of_curve = np.flatnonzero(aside) if aside.any() else np.arange(len(rows))
-    slope, offset = logistic_curve(np.array([model.margin(rows[i]) for i in of_curve]), good[of_curve])
+    slope, offset = logistic_curve(np.array([model.margin(rows[i]) for i in of_curve]), good[of_curve], times[of_curve])
     return Model(model.weights, model.squares, bias, slope, offset)
 
 
@@ -145,18 +149,31 @@ def _indicator_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], lists([indicators(t) for t in texts(batch.column(2))], pa.int32())], ["at", "good", "found"])
 
 
+def class_sizes(totals: dict[bool, int], rows: int) -> dict[bool, int]:
+    """Rows of each class in a sample: all of the rarer class up to one half, the other fills up."""
+    rare = min((False, True), key=lambda c: totals.get(c, 0))
+    few = min(totals.get(rare, 0), rows // 2)
+    return {rare: few, not rare: min(totals.get(not rare, 0), rows - few)}
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fits on at most `rows` labelled documents that are not held out, those with the least hash
-    of doc_id. Null labels and ids, and ids with both labels, are not used."""
+    """Fits on at most `rows` labelled documents that are not held out: of each class those with the
+    least hash of doc_id, of the rarer class as many as there are up to one half. The score's curve
+    counts a row as often as its class was thinned. Null labels and ids, and ids with both labels,
+    are not used; of the rows of one id the one with the least text is."""
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(5, 0)).groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
-    at = F.xxhash64("doc_id", F.lit(9))
-    sample = known.where("low = high").select("doc_id", (F.col("low") > 0).alias("good"), at.alias("at")).orderBy("at").limit(rows)
+    known = kept(known.where("low = high").select("doc_id", (F.col("low") > 0).alias("good"), F.xxhash64("doc_id", F.lit(9)).alias("at")), "classifier-labels")
+    totals = {r.good: r["count"] for r in known.groupBy("good").count().collect()}  # two classes
+    sizes = class_sizes(totals, rows)
+    sample = reduce(DataFrame.union, [known.where(F.col("good") == c).orderBy("at").limit(n) for c, n in sizes.items()])
     # the sample has a fixed bound of 17 bytes a row, so it can go to every task
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("at", "good", "text")
-    found = chosen.mapInArrow(_indicator_rows, "at long, good boolean, found array<int>").orderBy("at").limit(rows).toArrow()
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("at", "good").agg(F.min("text").alias("text"))
+    found = chosen.mapInArrow(_indicator_rows, "at long, good boolean, found array<int>").orderBy("at").toArrow()
     lists_ = found.column("found").combine_chunks()
     flat, ends = lists_.values.to_numpy(), lists_.offsets.to_numpy()
-    return fit([flat[a:b] for a, b in zip(ends, ends[1:], strict=False)], np.array(found.column("good").to_pylist(), dtype=bool))
+    good = np.array(found.column("good").to_pylist(), dtype=bool)
+    thinned = {c: totals.get(c, 0) / n if n else 1.0 for c, n in sizes.items()}
+    return fit([flat[a:b] for a, b in zip(ends, ends[1:], strict=False)], good, np.where(good, thinned[True], thinned[False]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -68,3 +68,31 @@ def test_few_or_no_labels(spark, documents):
     good = B.good_documents(documents(docs), frame(spark, labels))
     scores = {g.doc_id for g in B.score_documents(documents(docs), frame(spark, labels)).where("predicted = 1").collect()}
     assert good.columns == ["doc_id", "text", "lang", "source", "n_chars"] and {g.doc_id for g in good.collect()} == scores
+
+
+def test_rare_class_is_in_the_sample(spark, documents):
+    """Some bad rows among many good ones: a sample of a tenth still has all of them."""
+    docs, labels = corpus(900, 4)
+    bad = [i for i, q, _ in labels if not q and i % 3 == 0 and zlib.crc32(str(i).encode()) % 5][:12]
+    keep = [i for i, q, _ in labels if q or i in bad]
+    rows = [docs[i] for i in keep] + [docs[bad[0]]] * 200  # one id in many rows
+    known = frame(spark, [labels[i] for i in keep])
+    assert B.class_sizes({True: len(keep) - 12, False: 12}, 90) == {False: 12, True: 78}
+    assert B.class_sizes({True: 3}, 90) == {False: 0, True: 3} and B.class_sizes({True: 99, False: 98}, 90) == {False: 45, True: 45}
+    model = B.train(documents(rows), known, rows=90)
+    score = lambda i: model.score(B.indicators((docs[i][1] or "").encode()))
+    low = [score(i) for i in bad]
+    high = [score(i) for i in keep if i not in bad and len(docs[i][1].split()) > 8]
+    assert np.mean(np.array(high) >= B.THRESHOLD) > 0.97
+    assert np.median(low) < np.quantile(high, 0.02)
+
+
+def test_weights_of_a_thinned_class_move_the_curve_only():
+    r = np.random.default_rng(5)
+    good = r.random(400) < 0.5
+    margins = np.where(good, 1.0, -1.0) + r.normal(size=400)
+    times = np.where(good, 3.0, 1.0)
+    slope, offset = B.logistic_curve(margins, good, times)
+    thrice = np.concatenate([np.flatnonzero(good)] * 3 + [np.flatnonzero(~good)])
+    other = B.logistic_curve(margins[thrice], good[thrice], np.ones(thrice.size))
+    assert np.allclose((slope, offset), other, atol=1e-6) and offset > B.logistic_curve(margins, good, np.ones(400))[1]
