@@ -243,9 +243,11 @@ def with_trend(change_rows: DataFrame) -> DataFrame:
     return change_rows.withColumns({"pct_change": percent_change(cur, prev), "trend": trend(cur, prev)})
 
 
-def org_top_changes(tasks: DataFrame, period: Period, pricing: Pricing = Pricing(), top: int = 3) -> DataFrame:
+def org_top_changes(
+    tasks: DataFrame, period: Period, pricing: Pricing = Pricing(), top: int = 3, rate_moved: bool = False
+) -> DataFrame:
     """Per organization: the project with the largest change and the ``top`` tasks, with runs and
-    units per run."""
+    units per run; with ``rate_moved``, whether these differ before they are rounded."""
     cells = window_sums(named(tasks), ["org", "project_name", "task_name"], [period], pricing)
     sides = F.array(
         F.struct(F.lit("project").alias("kind"), F.col("project_name").alias("name")),
@@ -262,13 +264,14 @@ def org_top_changes(tasks: DataFrame, period: Period, pricing: Pricing = Pricing
     placed = placed.where((F.col("kind") == "task") | (F.col("place") == 1))
 
     def per_run(side: str) -> Column:
-        return F.round(F.col(f"ipus_{side}").cast("double") / F.greatest(F.col(f"runs_{side}"), F.lit(1)), 6)
+        return F.col(f"ipus_{side}").cast("double") / F.greatest(F.col(f"runs_{side}"), F.lit(1))
 
     return placed.select(
         "org", "kind", "place", "name", "runs_cur", "runs_prev", run_delta.alias("delta_runs"),
         shown(F.col("ipus_cur")).alias("ipus_cur"), shown(F.col("ipus_prev")).alias("ipus_prev"),
         shown(delta).alias("delta_ipus"),
-        per_run("cur").alias("ipus_per_run_cur"), per_run("prev").alias("ipus_per_run_prev"),
+        F.round(per_run("cur"), 6).alias("ipus_per_run_cur"), F.round(per_run("prev"), 6).alias("ipus_per_run_prev"),
+        *([(per_run("cur") != per_run("prev")).alias("rate_moved")] if rate_moved else []),
     ).orderBy("org", "kind", "place")
 
 

@@ -21,7 +21,20 @@ from meterlake.schema import Pricing
 
 SPIKE_HISTORY = 180  # days of the spike watch: 90 current, 90 before
 LINE = ["section", "rank", "place", "name", "line_no", "text"]
-# Titles of the periods in the change lists.
+# Titles of the periods, and lines of the executive report that are always the same.
+PERIOD_TITLES = {
+    "weekly": "Weekly Change", "monthly_30d": "Monthly Change (Rolling 30 Days)",
+    "monthly_calendar": "Monthly Change (Calendar Month)", "quarterly": "Quarterly Change",
+}
+SUMMARY = [
+    "Summary", "- Plain-language summary of week, month, and quarter trends across organizations and projects.",
+    "- Focused on high-impact shifts and notable spikes.",
+]
+ACTIONS = [
+    "Recommended Actions", "- Validate top increasing orgs/projects for planned growth versus unexpected activity.",
+    "- Review anomaly days against release schedules, incidents, and backfills.",
+    "- Investigate top task spikes for retry loops, schedule drift, or configuration changes.",
+]
 CHANGE_TITLES = {"Past week": "Past Week", "Past calendar month": "Month-to-date", "Past 30 days": "Past 30 Days"}
 
 
@@ -197,23 +210,22 @@ def executive(
     log_type: str | None = None,
     pricing: Pricing = Pricing(),
 ) -> DataFrame:
-    """Executive trend report: workload and units per period, movers, the split by organization,
-    unusual days with their driver, and task spikes."""
+    """Executive trend report: workload, units and totals per period, movers, the split by
+    organization, unusual days with their driver, task spikes, and what to do."""
     spark = tasks.sparkSession
     end = as_date(anchor)
     first = end - dt.timedelta(days=SPIKE_HISTORY - 1)
     tasks = of_log_type(tasks, log_type)
     tasks = kept(daily_cells(tasks, min(first, *(p.prev_start for p in C.executive_periods(anchor, today))), end, pricing), "report-cells")
-    titles = {"weekly": "Weekly Change", "monthly_30d": "Monthly Change (Rolling 30 Days)",
-              "monthly_calendar": "Monthly Change (Calendar Month)", "quarterly": "Quarterly Change"}
     parts = [
         fixed(spark, 0, "Usage Executive Trend Report"),
         lines(spark.range(1), 0, F.concat(F.lit("Data through "), display_date(F.lit(end))), rank=1),
+        *[fixed(spark, 0, text, rank=2, line_no=i) for i, text in enumerate(SUMMARY)],
     ]
     for i, p in enumerate(p for p in C.executive_periods(anchor, today) if p.name in include):
         section = 10 * (i + 1)
         window = F.concat(
-            F.lit(f"- {p.name}: "), display_range(F.lit(p.start), F.lit(p.end)),
+            F.lit(f"- {period_title(p)}: "), display_range(F.lit(p.start), F.lit(p.end)),
             F.lit(" (vs "), display_range(F.lit(p.prev_start), F.lit(p.prev_end)), F.lit(")."),
         )
         whole = C.shown_changes(C.changes(tasks, [], [p], pricing))
@@ -222,9 +234,10 @@ def executive(
             F.lit("  - IPU usage: "), grouped(F.col("ipus_prev")), F.lit(" → "), grouped(F.col("ipus_cur")),
             F.lit(" ("), signed(F.col("delta_ipus")), F.lit(")."),
         )
+        totals = F.concat(F.format_string("  - Totals: %,d tasks, ", "runs_cur"), grouped(F.col("ipus_cur")), F.lit(" total IPUs."))
         parts += [
-            fixed(spark, section, titles[p.name]),
-            lines(whole, section, window, rank=1), lines(whole, section, workload, rank=2), lines(whole, section, usage, rank=3),
+            fixed(spark, section, PERIOD_TITLES[p.name]), *_month_lines(whole, p, section), lines(whole, section, window, rank=2),
+            lines(whole, section, workload, rank=3), lines(whole, section, usage, rank=4), lines(whole, section, totals, rank=5),
         ]
         for j, (key, word) in enumerate((("org", "Organizations"), ("project_name", "Projects"))):
             moved = C.movers(C.window_changes(tasks, [_mover_key(key)], p, pricing), key).where(F.col(key).isNotNull())
@@ -235,13 +248,33 @@ def executive(
                 ).alias("text"))
                 for k, direction in enumerate(("up", "down"))
             ]
-            listed = moved.agg(placed.alias("placed")).select(F.inline(F.array(*texts)))
+            nothing = F.struct(F.lit(2 * j).alias("nth"), F.lit(f"- {word}: no data in either comparison window.").alias("text"))
+            any_rows = whole.select(F.col("runs_cur") + F.col("runs_prev") > 0).scalar()
+            listed = moved.agg(placed.alias("placed")).select(F.inline(F.when(any_rows, F.array(*texts)).otherwise(F.array(nothing))))
             parts.append(lines(listed, section + 1, F.col("text"), rank=F.col("nth")))
         parts += _org_split_lines(tasks, p, section + 2, pricing)
     start = end - dt.timedelta(days=89)
     parts += _anomaly_lines(tasks, start, end, 90, pricing)
     parts += _spike_lines(kept(A.task_spikes(tasks, end, pricing=pricing), "report-spikes"), 91, "Task Spike Watch")
-    return report(parts)
+    return report([*parts, *[fixed(spark, 92, text, line_no=i) for i, text in enumerate(ACTIONS)]])
+
+
+def period_title(p: C.Period) -> str:
+    """Name of a period, with the month or quarter that it is a part of."""
+    titles = {
+        "weekly": "Past Week", "monthly_30d": "Last 30 Days", "monthly_calendar": f"Month to Date ({p.start:%B} {p.start.year})",
+        "quarterly": f"Quarter to Date (Q{(p.start.month + 2) // 3} {p.start.year})",
+    }
+    return titles[p.name]
+
+
+def _month_lines(whole: DataFrame, p: C.Period, section: int) -> list[DataFrame]:
+    """Headline of the calendar month; other periods have none."""
+    if p.name != "monthly_calendar":
+        return []
+    way = F.when(F.col("delta_ipus") >= 0, " IPU increase").otherwise(" IPU decrease")
+    text = F.concat(grouped(F.abs("delta_ipus")), way, F.lit(f" from {p.prev_start:%b} to {p.start:%b}"))
+    return [fixed(whole.sparkSession, section, f"{p.start:%B} Change Report", rank=1), lines(whole, section, text, rank=1, line_no=1)]
 
 
 def _names_or_none(placed: Column, direction: str) -> Column:
@@ -256,24 +289,27 @@ def _mover_key(key: str) -> Column:
 def _org_split_lines(tasks: DataFrame, p: C.Period, section: int, pricing: Pricing) -> list[DataFrame]:
     tasks = tasks.withColumn("org", org_label())
     orgs = C.window_changes(tasks, ["org"], p, pricing)
+    used = orgs.where((F.col("ipus_cur") != 0) | (F.col("ipus_prev") != 0))
     direction = F.when(F.col("delta_ipus") >= 0, "Increased").otherwise("Decreased")
     heads = lines(
-        orgs, section,
+        used, section,
         F.concat(F.lit("- "), F.col("org"), F.lit(": "), direction, F.lit(" "), grouped(F.abs("delta_ipus")), F.lit(" IPUs")),
         place=-F.col("delta_ipus"), name=F.col("org"),
     )
-    detail = C.org_top_changes(tasks, p, pricing).join(orgs.select("org", F.col("delta_ipus").alias("org_delta")), "org")
+    detail = C.org_top_changes(tasks, p, pricing, rate_moved=True).join(used.select("org", F.col("delta_ipus").alias("org_delta")), "org")
     changed = F.when(F.col("delta_ipus") >= 0, "increased").otherwise("decreased")
     runs = (
         F.when(F.col("delta_runs") > 0, F.format_string("up %+,d runs (%d → %d)", "delta_runs", "runs_prev", "runs_cur"))
         .when(F.col("delta_runs") < 0, F.format_string("down %+,d runs (%d → %d)", "delta_runs", "runs_prev", "runs_cur"))
         .otherwise(F.format_string("flat at %d runs", "runs_cur"))
     )
+    rates = [_per_run(F.col("ipus_per_run_prev")), _per_run(F.col("ipus_per_run_cur"))]
+    tiny = F.when((rates[0] == rates[1]) & F.col("rate_moved"), " (tiny change)").otherwise("")
     task_texts = [
         F.concat(F.lit("    - "), F.col("name"), F.lit(": "), runs),
         F.concat(F.lit("      - IPUs: "), grouped(F.col("ipus_prev")), F.lit(" → "), grouped(F.col("ipus_cur")),
                  F.lit(" ("), signed(F.col("delta_ipus")), F.lit(")")),
-        F.concat(F.lit("      - IPU/run: "), _per_run(F.col("ipus_per_run_prev")), F.lit(" → "), _per_run(F.col("ipus_per_run_cur"))),
+        F.concat(F.lit("      - IPU/run: "), rates[0], F.lit(" → "), rates[1], tiny),
     ]
     project_text = F.concat(F.lit("  - "), F.col("name"), F.lit(": "), changed, F.lit(" "), grouped(F.abs("delta_ipus")), F.lit(" IPUs"))
 
@@ -284,7 +320,8 @@ def _org_split_lines(tasks: DataFrame, p: C.Period, section: int, pricing: Prici
         F.array(*[numbered(F.col("place") * 10 + i, t) for i, t in enumerate(task_texts)])
     )
     detail_lines = detail.select("org", "org_delta", F.inline(texts))
-    return [heads, lines(detail_lines, section, F.col("text"), place=-F.col("org_delta"), name=F.col("org"), line_no=F.col("nth"))]
+    none = otherwise(orgs, section, "- No organization-level changes found for this period.", rank=0)
+    return [none, heads, lines(detail_lines, section, F.col("text"), place=-F.col("org_delta"), name=F.col("org"), line_no=F.col("nth"))]
 
 
 def _per_run(rate: Column) -> Column:

@@ -105,12 +105,6 @@ def rate(x: str) -> str:
     return f"CASE WHEN {x} = 0 THEN '0' WHEN {x} >= 0.01 THEN {places(3)} WHEN {x} >= 0.0001 THEN {places(6)} ELSE format('{{:.2e}}', {x}) END"
 
 
-PERIOD_TITLES = {
-    "weekly": "Weekly Change", "monthly_30d": "Monthly Change (Rolling 30 Days)",
-    "monthly_calendar": "Monthly Change (Calendar Month)", "quarterly": "Quarterly Change",
-}
-
-
 def long_range(a: dt.date, b: dt.date) -> str:
     return f"{a:%B} {a.day}, {a.year} to {b:%B} {b.day}, {b.year}"
 
@@ -127,23 +121,30 @@ def executive_section_sql(view: str, p: C.Period, section: int) -> str:
     org = ORG.replace("(org)", "(raw_org)")
     runs = f"""CASE WHEN rc > rp THEN concat('up ', {signed_whole('rc - rp')}, ' runs (', rp, ' → ', rc, ')')
   WHEN rc < rp THEN concat('down ', {signed_whole('rc - rp')}, ' runs (', rp, ' → ', rc, ')') ELSE concat('flat at ', rc, ' runs') END"""
+    quoted = P.period_title(p)
+    month = f"""SELECT {section}, '{p.start:%B} Change Report' UNION ALL
+SELECT {section}, concat({fixed2('abs(c - p)')}, CASE WHEN c >= p THEN ' IPU increase' ELSE ' IPU decrease' END, ' from {p.prev_start:%b} to {p.start:%b}') FROM a UNION ALL
+""" if p.name == "monthly_calendar" else ""
     return f"""SELECT * FROM ({windows_sql(view, [p])}, a AS (SELECT {sums} FROM x), mo AS (SELECT {org} AS k, {sums} FROM x GROUP BY 1),
+used AS (SELECT * FROM mo WHERE c <> 0 OR p <> 0),
 mp AS (SELECT raw_project AS k, {sums} FROM x GROUP BY 1),
 n AS (SELECT {org} AS o, 'project' AS kind, project_name AS name, {sums} FROM x GROUP BY 1, 2, 3 UNION ALL
   SELECT {org}, 'task', task_name, {sums} FROM x GROUP BY 1, 2, 3),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY o, kind ORDER BY abs(c - p) DESC, CASE WHEN kind = 'task' THEN rc - rp END DESC,
-  CASE WHEN kind = 'task' THEN rc END DESC, name) AS nth, CAST(c AS DOUBLE) / GREATEST(rc, 1) AS xc, CAST(p AS DOUBLE) / GREATEST(rp, 1) AS xp FROM n),
+  CASE WHEN kind = 'task' THEN rc END DESC, name) AS nth, CAST(c AS DOUBLE) / GREATEST(rc, 1) AS xc, CAST(p AS DOUBLE) / GREATEST(rp, 1) AS xp FROM n WHERE o IN (SELECT k FROM used)),
 t AS (SELECT * FROM r WHERE kind = 'task' AND nth <= 3)
-SELECT {section} AS section, '{PERIOD_TITLES[p.name]}' AS text UNION ALL
-SELECT {section}, '- {p.name}: {long_range(p.start, p.end)} (vs {long_range(p.prev_start, p.prev_end)}).' UNION ALL
+SELECT {section} AS section, '{P.PERIOD_TITLES[p.name]}' AS text UNION ALL
+{month}SELECT {section}, '- {quoted}: {long_range(p.start, p.end)} (vs {long_range(p.prev_start, p.prev_end)}).' UNION ALL
 SELECT {section}, concat('  - Workload: ', {whole('rp')}, ' → ', {whole('rc')}, ' tasks (', {signed_whole('rc - rp')}, ').') FROM a UNION ALL
-SELECT {section}, concat('  - IPU usage: ', {fixed2('p')}, ' → ', {fixed2('c')}, ' (', {signed2('c - p')}, ').') FROM a UNION ALL {trends} UNION ALL
-SELECT {section + 2}, concat('- ', k, ': ', CASE WHEN c >= p THEN 'Increased ' ELSE 'Decreased ' END, {fixed2('abs(c - p)')}, ' IPUs') FROM mo UNION ALL
+SELECT {section}, concat('  - IPU usage: ', {fixed2('p')}, ' → ', {fixed2('c')}, ' (', {signed2('c - p')}, ').') FROM a UNION ALL
+SELECT {section}, concat('  - Totals: ', {whole('rc')}, ' tasks, ', {fixed2('c')}, ' total IPUs.') FROM a UNION ALL {trends} UNION ALL
+SELECT {section + 2}, concat('- ', k, ': ', CASE WHEN c >= p THEN 'Increased ' ELSE 'Decreased ' END, {fixed2('abs(c - p)')}, ' IPUs') FROM used UNION ALL
 SELECT {section + 2}, concat('  - ', name, ': ', CASE WHEN c >= p THEN 'increased ' ELSE 'decreased ' END, {fixed2('abs(c - p)')}, ' IPUs')
   FROM r WHERE kind = 'project' AND nth = 1 UNION ALL
 SELECT {section + 2}, concat('    - ', name, ': ', {runs}) FROM t UNION ALL
 SELECT {section + 2}, concat('      - IPUs: ', {fixed2('p')}, ' → ', {fixed2('c')}, ' (', {signed2('c - p')}, ')') FROM t UNION ALL
-SELECT {section + 2}, concat('      - IPU/run: ', {rate('xp')}, ' → ', {rate('xc')}) FROM t)"""
+SELECT {section + 2}, concat('      - IPU/run: ', {rate('xp')}, ' → ', {rate('xc')},
+  CASE WHEN {rate('xp')} = {rate('xc')} AND xp <> xc THEN ' (tiny change)' ELSE '' END) FROM t)"""
 
 
 def executive_sql(view: str, anchor: dt.date, periods: list[C.Period]) -> str:
@@ -151,7 +152,8 @@ def executive_sql(view: str, anchor: dt.date, periods: list[C.Period]) -> str:
     unusual = anomaly_sql(view, str(start), str(anchor), "total_ipus", 2.0)
     sections = " UNION ALL ".join(executive_section_sql(view, p, 10 * (i + 1)) for i, p in enumerate(periods))
     spike_period = C.Period("watch", start, anchor, start, anchor)
-    return f"""SELECT 0 AS section, 'Usage Executive Trend Report' AS text UNION ALL SELECT 0, 'Data through {anchor:%B} {anchor.day}, {anchor.year}' UNION ALL
+    same = " UNION ALL ".join(f"SELECT {n}, '{text}'" for n, texts in ((0, P.SUMMARY), (92, P.ACTIONS)) for text in texts)
+    return f"""SELECT 0 AS section, 'Usage Executive Trend Report' AS text UNION ALL {same} UNION ALL SELECT 0, 'Data through {anchor:%B} {anchor.day}, {anchor.year}' UNION ALL
 {sections} UNION ALL SELECT 90, 'Potential Anomalies' UNION ALL
 SELECT 90, CASE WHEN COUNT(*) = 0 THEN '- total_ipus: no unusual pattern detected.'
   ELSE concat('- total_ipus: ', COUNT(*), ' unusual day(s) detected. Dates to review:') END FROM ({unusual}) UNION ALL
@@ -168,7 +170,7 @@ EXEC_ANCHOR = dt.date(1999, 5, 31)
 
 @register("executive_report", executive_sql("tpch", EXEC_ANCHOR, EXECUTIVE))
 def executive_report(spark, d):
-    lines = P.executive(tasks_tpch(spark, d), EXEC_ANCHOR, EXEC_ANCHOR, tuple(PERIOD_TITLES))
+    lines = P.executive(tasks_tpch(spark, d), EXEC_ANCHOR, EXEC_ANCHOR, tuple(P.PERIOD_TITLES))
     return lines.select("section", "text")
 
 

@@ -83,9 +83,20 @@ def test_coverage_without_global_gaps(spark):
 
 def test_executive_sections(spark, sf):
     text = [r.text for r in P.executive(tasks_tpch(spark, sf), "1999-05-31", "1999-06-02", ("monthly_calendar",)).collect()]
-    assert text[:4] == [
-        "Usage Executive Trend Report", "Data through May 31, 1999", "Monthly Change (Calendar Month)",
-        "- monthly_calendar: May 1, 1999 to May 31, 1999 (vs April 1, 1999 to April 30, 1999).",
-    ]
+    assert text[:2] + text[5:7] == ["Usage Executive Trend Report", "Data through May 31, 1999", "Monthly Change (Calendar Month)", "May Change Report"]
+    assert text[2:5] == P.SUMMARY and text[-4:] == P.ACTIONS
+    assert text[7].endswith("crease from Apr to May")
+    assert text[8] == "- Month to Date (May 1999): May 1, 1999 to May 31, 1999 (vs April 1, 1999 to April 30, 1999)."
+    assert text[11].startswith("  - Totals: ") and text[11].endswith(" total IPUs.")
     assert any(t.startswith("- Organizations trending up: ") for t in text)
     assert "Potential Anomalies" in text and "Task Spike Watch" in text
+
+
+def test_executive_without_rows(spark, sf):
+    text = [r.text for r in P.executive(tasks_tpch(spark, sf), "2030-05-20", "2030-06-02", ("quarterly", "weekly")).collect()]
+    assert "- Quarter to Date (Q2 2030): April 1, 2030 to May 20, 2030 (vs January 1, 2030 to February 19, 2030)." in text
+    assert "- Past Week: May 14, 2030 to May 20, 2030 (vs May 7, 2030 to May 13, 2030)." in text
+    for line in ("- Organizations: no data in either comparison window.", "- Projects: no data in either comparison window.",
+                 "- No organization-level changes found for this period.", "  - Totals: 0 tasks, 0.00 total IPUs."):
+        assert text.count(line) == 2
+    assert not any("trending" in t or "Change Report" in t for t in text)
