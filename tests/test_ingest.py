@@ -212,6 +212,27 @@ def test_delete_and_restore(spark, folder, tmp_path):
     assert values(history.read_events(spark, root, "DELETE"), "affected_rows", "remaining_rows", "note") != []
 
 
+def test_only_rows_of_partly_repeated_months_are_compared(spark, folder, tmp_path, monkeypatch):
+    root = str(tmp_path / "lake")
+    df, _ = read(spark, folder, "task_usage_standard.csv", "org_ami.csv")
+    compared, whole = [], history.one_per_hash
+
+    def seen(rows):
+        compared.append(sorted(values(rows, "task_id")))
+        return whole(rows)
+
+    monkeypatch.setattr(history, "one_per_hash", seen)
+    assert history.append_tasks(spark, root, df, NOW).rows_added == 7 and compared == []
+    assert history.append_tasks(spark, root, df, NOW).rows_added == 0 and compared == []
+    january = df.where("end_time < '2024-02-01'").withColumn("task_name", F.lit("other"))
+    later = january.withColumn("status", F.lit("Changed"))
+    both = later.unionByName(january).unionByName(df.where("task_id = 'j1'"))
+    assert history.append_tasks(spark, root, both, NOW).rows_added == 1 and compared == [[("2",), ("2",)]]
+    got = history.read_history(spark, root).where("task_name = 'other'")
+    assert values(got, "task_id", "status", F.to_date("end_month")) == [("2", "Changed", dt.date(2024, 1, 1))]
+    assert len(history.current_version(spark, root).parts) == 2
+
+
 def test_changes_that_die_leave_the_old_state(spark, folder, tmp_path, monkeypatch):
     from meterlake.operators.filters import TaskFilter
 
