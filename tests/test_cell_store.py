@@ -66,6 +66,19 @@ def test_bitmaps_and_lists_count_alike(spark, priced, tmp_path, monkeypatch):
     assert from_cells(spark, root, *RANGES[2]) == expected(spark, root, *RANGES[2])
 
 
+def test_task_ids_are_numbered_before_rows_are_multiplied(spark, priced, tmp_path, monkeypatch):
+    root, seen, whole = str(tmp_path), [], cell_store._by_dimension
+    history.append_tasks(spark, root, priced.where("end_date < '1996-02-05'"), NOW)
+
+    def by_dimension(rows, *others):
+        seen.append({"number", "task_id"} & set(others))
+        return whole(rows, *others)
+
+    monkeypatch.setattr(cell_store, "_by_dimension", by_dimension)
+    cell_store.update_cells(spark, root)
+    assert seen == [set(), {"number"}]
+
+
 def test_a_run_that_dies_leaves_the_old_cells(spark, priced, tmp_path, monkeypatch):
     root = str(tmp_path)
     history.append_tasks(spark, root, priced.where("end_date < '1996-02-15'"), NOW)

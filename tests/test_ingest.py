@@ -433,3 +433,17 @@ def test_stream_batch_that_died_before_its_event(spark, folder, tmp_path, monkey
     df, _ = read(spark, folder, "task_usage_standard.csv")
     history.append_tasks(spark, root, df, NOW, batch)
     assert history.read_history(spark, root).count() == 4 and history.read_events(spark, root).count() == 1
+
+
+def test_stream_leaves_no_staged_rows(spark, folder, tmp_path):
+    from meterlake.sources import files
+    from meterlake.streaming.ingest import start_ingest
+
+    source, root = tmp_path / "in", str(tmp_path / "lake")
+    source.mkdir()
+    (source / "task_usage_standard.csv").write_text(FILES["task_usage_standard.csv"])
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = [n for n in files.names(spark, shared) if n.startswith("ingest-")]
+    start_ingest(spark, str(source), root, str(tmp_path / "checkpoint"), clock=lambda: NOW).awaitTermination()
+    assert [n for n in files.names(spark, shared) if n.startswith("ingest-")] == before
+    assert files.names(spark, f"{root}/_staging") == [] and history.read_history(spark, root).count() == 4
