@@ -56,6 +56,27 @@ def test_timestamps(spark):
     assert got == want
 
 
+def test_each_step_of_a_timestamp_is_worked_out_once(spark):
+    plan = spark.createDataFrame([("x",)], "text string").select(K.timestamp(F.col("text")).alias("at"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(K._MONTH_DAY) == 1 and plan.count(K._COMPACT) == 2  # with and without letters
+
+
+def test_month_names_around_clocks_and_no_letters(spark):
+    texts = {"1 Sept 24 1 PM": (2024, 9, 1, 13), "Mon, 2nd Jan 2024 12 am": (2024, 1, 2), "20240131T": (2024, 1, 31), "2/13/70 7:08": (1970, 2, 13, 7, 8), "1/2/2024x": None}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert dict(values(K.with_timestamps(df, {"at": F.col("text")}), "text", "at")) == {t: v and dt.datetime(*v) for t, v in texts.items()}
+
+
+def test_parsing_is_dealt_over_the_tasks(spark, tmp_path):
+    from meterlake.plans.ingestion import parse_timestamps
+
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_shipdate timestamp"
+    rows = [(i, 1 + i % 3, i, dt.datetime(2000, 1, 1 + i % 28)) for i in range(200)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    sizes = parse_timestamps(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sorted(r["count"] for r in sizes) == [50] * 4
+
+
 def test_full_start(spark):
     rows = [
         ("10:11:12", "05/06/2024", "2024-06-07 01:00"), ("10:11", "NaT", "2024-06-07 01:00"), ("9:08:07.5", None, None),
