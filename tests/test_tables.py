@@ -100,3 +100,71 @@ def test_executive_without_rows(spark, sf):
                  "- No organization-level changes found for this period.", "  - Totals: 0 tasks, 0.00 total IPUs."):
         assert text.count(line) == 2
     assert not any("trending" in t or "Change Report" in t for t in text)
+
+
+def subtree(plan, start):
+    """The lines of a plan below the one that has a text."""
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if start in line)
+    depth = len(lines[at]) - len(lines[at].lstrip(" :+-"))
+    below = []
+    for line in lines[at + 1:]:
+        if len(line) - len(line.lstrip(" :+-")) <= depth:
+            break
+        below.append(line)
+    return "\n".join(below)
+
+
+def test_line_items_are_not_joined_to_customers(spark, sf):
+    from meterlake.plans.views import tasks_tpch
+
+    plan = tasks_tpch(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    below = subtree(plan, "Join Inner, (o_custkey")
+    assert "c_custkey" in below and "l_shipdate" not in below
+
+
+def test_summary_report_reads_its_rows_once(spark, tmp_path):
+    from meterlake.sources import files
+    from meterlake.sources.sinks import write_summary_report
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        read.add(1)
+        return x
+
+    rows = [("a", None, "g", "t", f"r{i}" if i else None, float(i), float("nan"), None, 1.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "org string, environment string, agent_name string, log_type string, task_run_id string, ipus double, cost double, metered_value double, cores_used double")
+    df = df.withColumn("ipus", F.udf(counted, "double")("ipus"))
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = files.names(spark, shared)
+    write_summary_report(df, str(tmp_path / "report"))
+    assert read.value == 5 and [n for n in files.names(spark, shared) if n not in before and n.startswith("summary-rows")] == []
+    got = {n: spark.read.option("header", True).csv(str(tmp_path / "report" / n)).collect() for n in ("overall", "by_org", "by_env")}
+    assert [(r.org, r.task_count, r.total_ipus) for r in got["by_org"]] == [("a", "4", "10.0")] and got["by_env"] == []
+    assert [(r.metric, r.value_count) for r in got["overall"] if r.metric == "ipus"] == [("ipus", "5")]
+
+
+def test_snapshot_counts_ids_apart_from_sums(spark, monkeypatch):
+    from meterlake.operators import runs as R
+
+    rows = [("1", "a", "t0", "f", o, "e", None, "k", s, None, t, x, 1.0, None, 2.0) for o, s, t, x in (
+        ("North", "ok", "1", "r1"), ("North", "ok", None, "r1"), (None, None, None, None), ("South", "ok", "1", "r2"), ("South", None, "2", "r2"))]
+    rows.append(("1", "a", "t0", "g", "South", None, "p", "k", "ok", None, "2", "r9", None, None, 3.0))  # the run has a second header
+    schema = ("run_id string, run_name string, run_timestamp string, source_files string, org string, environment string, project_name string, task_type string, "
+              "status string, end_date date, task_id string, task_run_id string, ipus double, cost double, metered_value double")
+    df = spark.createDataFrame(rows, schema).withColumn("log_type", F.lit("Task Usage"))
+    written = {}
+
+    def keep(frame, purpose, path=None):
+        written[purpose] = frame._jdf.queryExecution().executedPlan().toString()
+        return kept(frame, purpose, path)
+
+    from meterlake.operators.cells import kept
+    monkeypatch.setattr(R, "kept", keep)
+    tables = R.run_snapshot(df)
+    counting = [line for line in written["run-sums"].splitlines() if "count(distinct" in line]
+    assert counting and not any("sum(" in line for line in counting)
+    for name, want in {"runs": R.run_headers(df), **R.run_summaries(df)}.items():
+        columns = want.columns
+        assert sorted(map(str, values(tables[name], *columns))) == sorted(map(str, values(want, *columns))), name
