@@ -68,25 +68,33 @@ HEADER = ("run_name", "run_timestamp", "source_files")
 
 
 def run_snapshot(rows: DataFrame, pricing: Pricing = Pricing()) -> dict[str, DataFrame]:
-    """The header and all summary tables of the frame's runs by one scan and one aggregation: every
-    row counts once for each table. The sums are written once, and the tables are read from there."""
+    """The header and all summary tables of the frame's runs by one scan of it: what they read of the
+    rows is written once, and every row counts once for each table. Ids are counted apart from the
+    sums, so that only keys and ids are shuffled for them and the sums are few rows before they are.
+    The sums are written once, and the tables are read from there."""
     used = usage(rows, pricing)
-    empty = F.lit(None).cast("string")
-    header = F.struct(*HEADER)
-    no_header = F.lit(None).cast(rows.select(header.alias("h")).schema["h"].dataType)
-    parts = [
-        F.struct(
-            F.lit(name).alias("_table"), value().cast("string").alias("_value"), (F.col(of) if of else empty).cast("string").alias("task_id"),
-            (header if name == "runs" else no_header).alias("_header"),
-        )
-        for name, (_, value, of) in SNAPSHOT.items()
-    ]
-    each = rows.select("run_id", used.ipus.alias("ipus"), used.cost.alias("cost"), F.lit(1).cast("long").alias("_one"), F.inline(F.array(*parts)))
-    sums = each.groupBy("run_id", "_table", "_value", "_header").agg(
-        F.sum("_one").alias("task_count"), exact_sum(F.col("ipus")).alias("total_ipus"), exact_sum(F.col("cost")).alias("total_cost"),
-        F.countDistinct("task_id").alias("unique_tasks"),
+    spark, staging = rows.sparkSession, files.work_dir(rows.sparkSession, "run-rows")
+    values = [value().cast("string").alias(f"_{name}") for name, (_, value, _) in SNAPSHOT.items() if name != "runs"]
+    ids = [F.col(c).cast("string").alias(f"_{c}") for c in sorted({of for _, _, of in SNAPSHOT.values() if of})]
+    staged = kept(rows.select("run_id", F.struct(*HEADER).alias("_h"), used.ipus.alias("ipus"), used.cost.alias("cost"), *values, *ids), "run-rows", staging)
+    no_header = F.lit(None).cast(staged.schema["_h"].dataType)
+
+    def part(name: str, of: str | None = None) -> Column:
+        value, header = (F.lit(None).cast("string"), F.col("_h")) if name == "runs" else (F.col(f"_{name}"), no_header)
+        key = [F.lit(name).alias("_table"), value.alias("_value"), header.alias("_header")]
+        return F.struct(*key, F.col(f"_{of}").alias("task_id")) if of else F.struct(*key)
+
+    keys = ["run_id", "_table", "_value", "_header"]
+    sums = staged.select("run_id", "ipus", "cost", F.inline(F.array(*[part(name) for name in SNAPSHOT]))).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("task_count"), exact_sum(F.col("ipus")).alias("total_ipus"), exact_sum(F.col("cost")).alias("total_cost")
     )
-    done = kept(finish(sums), "run-sums")
+    met = staged.select("run_id", F.inline(F.array(*[part(name, of) for name, (_, _, of) in SNAPSHOT.items() if of]))).where("task_id is not null")
+    unique = met.groupBy(*keys).agg(F.countDistinct("task_id").alias("unique_tasks"))
+    both = sums.unionByName(unique, allowMissingColumns=True).groupBy(*keys).agg(  # one row of either kind for a key
+        *[F.max(c).alias(c) for c in ("task_count", "total_ipus", "total_cost")], F.coalesce(F.max("unique_tasks"), F.lit(0).cast("long")).alias("unique_tasks")
+    )
+    done = kept(finish(both), "run-sums")
+    files.remove(spark, staging)
     tables = {}
     for name, (key, _, of) in SNAPSHOT.items():
         table = done.where(F.col("_table") == name)
