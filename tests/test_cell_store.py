@@ -109,3 +109,20 @@ def test_numbers(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
     assert sorted(values(numbered(df, "k", 5))) == [(i, i + 5) for i in range(1000)]
     assert values(numbered(df.where("k < 0"), "k")) == []
+
+
+def test_keys_are_short_before_the_shuffle_and_named_in_the_cells(spark, priced, tmp_path, monkeypatch):
+    root, seen, packed = str(tmp_path), [], cell_store._packed
+
+    def spied(rows, keys):
+        seen.append(dict(rows.dtypes))
+        return packed(rows, keys)
+
+    monkeypatch.setattr(cell_store, "_packed", spied)
+    for part in ("end_date < '1996-02-01'", "end_date >= '1996-02-01'"):
+        history.append_tasks(spark, root, priced.where(part), NOW)
+    made = cell_store.update_cells(spark, root)
+    assert [(t["change"], t["dimension"], t["span"]) for t in seen] == [("int", "int", "int")]
+    cells = spark.read.parquet(f"{cell_store.cells_path(root, cell_store.Pricing())}/bits")
+    assert {r.dimension for r in cells.select("dimension").distinct().collect()} == set(cell_store.DIMENSIONS)
+    assert {tuple(r) for r in cells.select("change", "span").distinct().collect()} == {(c, s) for c in made for s in ("day", "month")}
