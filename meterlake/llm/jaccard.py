@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.llm.store import components, kept, membership_filter, passes
+from meterlake.llm.store import components, kept, membership_filter, passes, screened
 from meterlake.llm.text import LOWER, gram_hashes, lists, mix, signed, texts, word_hashes
 
 #: Sizes of one instance of blocks lie within this factor.
@@ -298,7 +298,7 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     between = own.select(F.col("least").alias("a"), F.explode("hubs").alias("b")).where("a <> b").distinct()
     connected = components(own.select("a", F.col("least").alias("b")).union(between), "jaccard-candidates")
     members = kept(_groups(connected, candidates, classes), "jaccard-members")
-    wanted = spark.sparkContext.broadcast(membership_filter(members, "key"))
+    wanted = spark.sparkContext.broadcast(membership_filter(members.select("key").distinct(), "key"))
     sets = text.mapInArrow(_sets(n, wanted), "key long, grams array<long>").groupBy("key").agg(F.first("grams").alias("grams"))
     cells = _cells(members, percent).join(sets, "key")
     links = kept(
@@ -344,9 +344,10 @@ def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
     is_first = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_text_key") == F.col("t"))
     drop = kept(others.where(~is_first).select("d", "t").distinct(), "jaccard-drop")
     again = kept(others.where(is_first).groupBy("d", "t").count().where("count > 1").select("d", "t"), "jaccard-again")
-    keyed = docs.withColumn("_text_key", F.sha2("text", 256))
+    listed = drop.union(again).select(F.xxhash64("d", "t"))
+    keyed, rest = screened(docs.withColumn("_text_key", F.sha2("text", 256)), F.xxhash64("doc_id", "_text_key"), listed)
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_text_key") == F.col("t"))
     stay = keyed.join(drop, same, "left_anti")
     if not again.isEmpty():
         stay = stay.join(again, same, "left_anti").union(stay.join(again, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]))
-    return stay.select(*docs.columns)
+    return rest.union(stay).select(*docs.columns)

@@ -4,8 +4,12 @@ Intermediate tables are written below spark.checkpoint.dir, so they survive the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.sources.files import work_dir
@@ -27,17 +31,28 @@ def probes(hashes: np.ndarray, bits: int = FILTER_BITS) -> list[np.ndarray]:
     return [(h >> np.uint64(20 * k)) & np.uint64((1 << bits) - 1) for k in range(FILTER_PROBES)]
 
 
+def _filter_words(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros((1 << bits) // 64, dtype=np.uint64)
+        for batch in batches:
+            for at in probes(batch.column(0).drop_null().to_numpy(zero_copy_only=False), bits):
+                np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        filled = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(words[filled].view(np.int64), pa.int64())], ["word", "mask"])
+
+    return run
+
+
 def membership_filter(df: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
     """A Bloom filter of the longs of a column, as 64-bit words of fixed number (1 MB by default).
 
-    The bits are set by an aggregation, so what reaches the driver is at most 2**bits / 64 words,
-    whatever the number of rows. A full filter lets everything pass and costs time, not results."""
-    mask = (1 << bits) - 1
-    at = F.explode(F.array(*[F.shiftrightunsigned(F.col(column), 20 * k).bitwiseAND(F.lit(mask)) for k in range(FILTER_PROBES)]))
+    Every task sets the bits of its rows, and the words of all tasks are joined by an aggregation, so
+    what a task and the driver hold is at most 2**bits / 64 words, whatever the number of rows. A full
+    filter lets everything pass and costs time, not results."""
     words = (
-        df.select(at.alias("at"))
-        .groupBy(F.shiftright("at", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63L as int))")).alias("mask"))
+        df.select(F.col(column).cast("long"))
+        .mapInArrow(_filter_words(bits), "word int, mask long")
+        .groupBy("word").agg(F.bit_or("mask").alias("mask"))
         .toArrow()
     )
     out = np.zeros((1 << bits) // 64, dtype=np.uint64)
@@ -53,6 +68,18 @@ def passes(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
+def screened(df: DataFrame, key: Column, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key, a hash, may be in the one column of longs of `listed`, and all other
+    rows, which are surely not. A join with what is listed then moves the former only."""
+    words = df.sparkSession.sparkContext.broadcast(membership_filter(listed, listed.columns[0]))
+
+    @F.pandas_udf("boolean")
+    def may_be_listed(hashes: pd.Series) -> pd.Series:
+        return pd.Series(passes(words.value, hashes.to_numpy()))
+
+    return df.where(may_be_listed(key)), df.where(~may_be_listed(key))
+
+
 def components(edges: DataFrame, purpose: str) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b) of longs; root is the least node
     that can be reached. An edge with a null end is left out.

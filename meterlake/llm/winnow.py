@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlake.llm.store import kept, membership_filter, passes
+from meterlake.llm.store import kept, membership_filter, passes, screened
 from meterlake.llm.text import LETTERS, LOWER, gram_hashes, lists, signed, texts, word_hashes
 
 GRAM = 6
@@ -154,4 +154,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     key = F.sha2("text", 256)
     rows, hits, _ = contaminated_spans(docs.select(key.alias("doc_id"), "text"), benchmark)
     bad = kept(rows.join(hits.select("row").distinct(), "row", "left_semi").select(F.col("doc_id").alias("_bad")).distinct(), "winnow-bad")
-    return docs.join(bad, key == F.col("_bad"), "left_anti")
+    some, rest = screened(docs, F.xxhash64(key), bad.select(F.xxhash64("_bad")))
+    return rest.union(some.join(bad, key == F.col("_bad"), "left_anti"))
