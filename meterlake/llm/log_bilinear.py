@@ -16,8 +16,9 @@ Counts of rarer words are joined."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm.store import kept
-from meterlake.llm.text import LOWER, lists, mix, signed, texts, words_and_tails
+from meterlake.llm.text import LOWER, lists, mix, signed, texts, words_and_tails_of_rows
 from meterlake.sources.files import work_dir
 
 #: Words with a class of their own, buckets of endings, and a bound of the words whose counts go to
@@ -51,26 +52,50 @@ BLOCK = 512
 
 END_TOKEN = mix(np.array([0xE0D], np.uint64))[0]
 START_CLASS = CLASSES  # only in contexts
+#: Bucket of an ending, by the number of its two bytes.
+BUCKETS = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(ENDINGS)).astype(np.int64)
+
+
+def tokens_of_rows(rows: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each text, and hashes and ending buckets of the lower-cased words and one end of
+    every text, laid end to end."""
+    words, tails, counts = words_and_tails_of_rows([(t or b"").translate(LOWER) for t in rows])
+    ends = np.cumsum(counts)
+    return counts + 1, np.insert(words, ends, END_TOKEN), np.insert(BUCKETS[tails], ends, 0)
 
 
 def tokens_of(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and ending buckets of the lower-cased words and one end."""
-    words, tails = words_and_tails((text or b"").translate(LOWER))
-    buckets = (mix(tails.astype(np.uint64)) % np.uint64(ENDINGS)).astype(np.int64)
-    return np.append(words, END_TOKEN), np.append(buckets, 0)
+    return tokens_of_rows([text])[1:]
 
 
 def training_rows():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
 
 
+def _sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
+def _distinct(tokens: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, the bucket of each, and how often it occurs."""
+    found = pa.array(tokens).dictionary_encode()
+    words, at = found.dictionary.to_numpy(), found.indices.to_numpy()
+    of_words = np.zeros(words.size, np.int64)
+    of_words[at] = buckets
+    return words, of_words, np.bincount(at, minlength=words.size)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [tokens_of(t) for t in texts(batch.column(0))]
-        if not rows:
+        parts = [_distinct(*tokens_of_rows(texts(part.column(0)))[1:]) for part in _sliced([batch])]
+        if not parts:
             continue
-        words, first, counts = np.unique(np.concatenate([r[0] for r in rows]), return_index=True, return_counts=True)
-        buckets = np.concatenate([r[1] for r in rows])[first]
+        words, first, place = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+        buckets, counts = np.concatenate([p[1] for p in parts])[first], np.zeros(words.size, np.int64)
+        np.add.at(counts, place, np.concatenate([p[2] for p in parts]))
         for low in range(0, words.size, 1 << 16):
             part = slice(low, low + (1 << 16))
             yield pa.RecordBatch.from_arrays(
@@ -111,11 +136,25 @@ class Vocabulary:
         order = np.argsort(words.view(np.uint64))
         return cls(words.view(np.uint64)[order], counts[order], own[order], total, distinct, class_counts, class_words)
 
+    @cached_property
+    def firsts(self) -> tuple[np.uint64, np.ndarray]:
+        """How many bits of a hash do not lead, and for each value of the leading ones the place of the
+        first head word that is not below it, or the last place."""
+        bits = max(1, self.words.size.bit_length() + 1)
+        shift = np.uint64(64 - bits)
+        return shift, np.minimum(np.searchsorted(self.words, np.arange(1 << bits, dtype=np.uint64) << shift), self.words.size - 1)
+
     def classes(self, words: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class of each token, and its count where it is a head word, else -1."""
         if self.words.size == 0:
             return OWN + buckets, np.full(words.size, -1, np.int64)
-        at = np.minimum(np.searchsorted(self.words, words), self.words.size - 1)
+        shift, firsts = self.firsts
+        at, last = firsts[words >> shift], self.words.size - 1
+        late = np.flatnonzero(self.words[at] < words)
+        while late.size:
+            late = late[at[late] < last]
+            at[late] += 1
+            late = late[self.words[at[late]] < words[late]]
         found = self.words[at] == words
         own = np.where(found, self.own[at], -1)
         return np.where(own >= 0, own, OWN + buckets), np.where(found, self.counts[at], -1)
@@ -147,25 +186,38 @@ class Parameters:
         ends = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
         return cls(*[p.reshape(s).astype(np.float32) for p, s in zip(np.split(flat, ends), shapes, strict=True)])
 
+    def seen(self, contexts: np.ndarray) -> list[np.ndarray]:
+        """Vectors of the classes before, nearest first."""
+        return [self.inputs.take(contexts[:, k], axis=0) for k in range(CONTEXT)]
+
     def query(self, contexts: np.ndarray) -> np.ndarray:
-        out = self.inputs[contexts[:, 0]] * self.places[0]
+        return self.weighted(self.seen(contexts))
+
+    def weighted(self, seen: list[np.ndarray]) -> np.ndarray:
+        """Sums of the vectors of the classes before, each weighted by its place."""
+        out = seen[0] * self.places[0]
         for k in range(1, CONTEXT):
-            out += self.inputs[contexts[:, k]] * self.places[k]
+            out += seen[k] * self.places[k]
         return out
 
     def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithms of the normalised probabilities of the target classes."""
         out = np.empty(targets.size)
         outputs = np.concatenate([self.outputs, self.bias[:, None]], axis=1).T
+        placed = [self.inputs * place for place in self.places]
         query = np.ones((BLOCK, WIDTH + 1), dtype=self.outputs.dtype)
         room = np.empty((BLOCK, outputs.shape[1]), dtype=self.outputs.dtype)
         ones = np.ones(outputs.shape[1], dtype=self.outputs.dtype)
+        at = np.arange(BLOCK) * outputs.shape[1]
         for low in range(0, targets.size, BLOCK):
             n = min(BLOCK, targets.size - low)
             part = slice(low, low + n)
-            query[:n, :WIDTH] = self.query(contexts[part])
+            vectors = placed[0].take(contexts[part, 0], axis=0)
+            for k in range(1, CONTEXT):
+                vectors += placed[k].take(contexts[part, k], axis=0)
+            query[:n, :WIDTH] = vectors
             scores = np.matmul(query[:n], outputs, out=room[:n])
-            own = scores[np.arange(n), targets[part]]
+            own = scores.take(at[:n] + targets[part])
             with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
                 total = np.log(np.exp(scores, out=scores) @ ones)
             wild = np.flatnonzero(~np.isfinite(total))  # out of the range of single precision
@@ -188,12 +240,12 @@ def contexts_of(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _added(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Sums of the rows of values by index: a sort and running sums per index."""
-    order = np.argsort(rows, kind="stable")
-    ordered = rows[order]
+    """Sums of the rows of values by index, of less than 2**15: a sort and running sums per index."""
+    order = np.argsort(rows.astype(np.int16), kind="stable")  # by digits
+    ordered = rows.take(order)
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     out = np.zeros((size, values.shape[1]), dtype=np.float32)
-    out[ordered[first]] = np.add.reduceat(values[order], first, axis=0)
+    out[ordered[first]] = np.add.reduceat(values.take(order, axis=0), first, axis=0)
     return out
 
 
@@ -223,16 +275,22 @@ class Trainer:
 
     def gradients(self, contexts: np.ndarray, targets: np.ndarray, drawn: np.ndarray) -> list[np.ndarray]:
         p = self.p
-        q = p.query(contexts)
-        true = np.einsum("ij,ij->i", q, p.outputs[targets]) + p.bias[targets] - self.log_noise[targets]
-        false = q @ p.outputs[drawn].T + p.bias[drawn] - self.log_noise[drawn]
+        seen = p.seen(contexts)
+        q, wanted, unwanted = p.weighted(seen), p.outputs.take(targets, axis=0), p.outputs[drawn]
+        true = np.einsum("ij,ij->i", q, wanted) + p.bias[targets] - self.log_noise[targets]
         g_true = 1 / (1 + np.exp(np.clip(true, -30, 30)))  # uphill
-        g_false = -1 / (1 + np.exp(np.clip(-false, -30, 30)))
-        d_query = g_true[:, None] * p.outputs[targets] + g_false @ p.outputs[drawn]
+        g_false = q @ -unwanted.T  # the scores of the noise, with their sign turned; then in place
+        g_false -= p.bias[drawn]
+        g_false += self.log_noise[drawn]
+        np.exp(np.clip(g_false, -30, 30, out=g_false), out=g_false)
+        g_false += 1
+        np.divide(-1, g_false, out=g_false)
+        d_query = g_true[:, None] * wanted
+        d_query += g_false @ unwanted
         d_outputs = _added(targets, g_true[:, None] * q, CLASSES)
         np.add.at(d_outputs, drawn, g_false.T @ q)
         d_bias = np.bincount(targets, weights=g_true, minlength=CLASSES) + np.bincount(drawn, weights=g_false.sum(axis=0), minlength=CLASSES)
-        d_places = np.stack([(d_query * p.inputs[contexts[:, k]]).sum(axis=0) for k in range(CONTEXT)])
+        d_places = np.stack([(d_query * seen[k]).sum(axis=0) for k in range(CONTEXT)])
         d_inputs = sum(_added(contexts[:, k], d_query * p.places[k], CLASSES + 1) for k in range(CONTEXT))
         return [d_inputs, d_places, d_outputs, d_bias.astype(np.float32)]
 
@@ -248,20 +306,12 @@ class Trainer:
 
 def _classed(batch: pa.RecordBatch, column: int, vocabulary: Vocabulary):
     """Tokens of a batch's texts, laid end to end."""
-    rows = [tokens_of(t) for t in texts(batch.column(column))]
-    sizes = np.array([r[0].size for r in rows], dtype=np.int64)
-    words, buckets = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    sizes, words, buckets = tokens_of_rows(texts(batch.column(column)))
     classes, counts = vocabulary.classes(words, buckets)
     starts = np.cumsum(sizes) - sizes
     return sizes, starts, words, classes, counts
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low in range(0, batch.num_rows, rows):
-            yield batch.slice(low, rows)
-
-
 def _class_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
@@ -310,12 +360,12 @@ def _train(shared):
         noise, state, total = shared.value
         trainer = Trainer.of_state(state, noise, int(table.column("shard")[0].as_py()) + 11)
         for classes, starts in _mixed(table):
-            contexts = contexts_of(classes, starts)
+            contexts = contexts_of(classes, starts).T.copy()
             order = trainer.random.permutation(classes.size)
             low = 0
             while low < order.size:
                 part = order[low : low + min(BATCH, FIRST_BATCH << min(trainer.steps // DOUBLE, 20))]
-                trainer.step(contexts[part], classes[part])
+                trainer.step(contexts.take(part, axis=1).T, classes.take(part))
                 low += part.size
         share = np.rint(trainer.state() * (trainer.tokens / total * UNIT)).astype(np.int64)
         return pa.table([pa.array([trainer.tokens], pa.int64()), lists([share], pa.int64())], ["weight", "state"])
@@ -359,6 +409,16 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> Parameters:
     return Trainer.of_state(state, vocabulary.noise(), 0).p
 
 
+def _rare(sizes: np.ndarray, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash and number of the distinct words of each row that are no head words, in this order."""
+    at = np.flatnonzero(counts < 0)
+    row, rare = np.repeat(np.arange(sizes.size), sizes)[at], words[at]
+    order = np.lexsort((rare, row))
+    row, rare = row[order], rare[order]
+    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (rare[1:] != rare[:-1])) if at.size else at)
+    return row[first], rare[first], np.diff(np.append(first, at.size)).astype(np.int32)
+
+
 def _score(shared):
     """Of each text: what is known without the counts of rarer words, and the rarer words."""
 
@@ -372,16 +432,12 @@ def _score(shared):
             common = np.where(counts >= 0, np.log10(np.maximum(counts, 0) + 1), 0.0)
             logs += np.where(classes >= OWN, common, 0.0)
             total = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
-            rare, often = [], []
-            for start, size in zip(starts, sizes, strict=True):
-                own = words[start : start + size][counts[start : start + size] < 0]
-                found, n = np.unique(own, return_counts=True)
-                rare.append(signed(found))
-                often.append(n.astype(np.int32))
+            row, rare, often = _rare(sizes, words, counts)
+            ends = np.searchsorted(row, np.arange(1, sizes.size))
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(total((counts >= 0).astype(np.int64)), pa.int64()),
-                    pa.array(total(common)), pa.array(total(logs)), lists(rare, pa.int64()), lists(often, pa.int32()),
+                    pa.array(total(common)), pa.array(total(logs)), lists(np.split(signed(rare), ends), pa.int64()), lists(np.split(often, ends), pa.int32()),
                 ],
                 ["doc_id", "held_out", "n_tokens", "known", "common", "logs", "rare", "often"],
             )

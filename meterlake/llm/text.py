@@ -18,6 +18,8 @@ LETTERS = np.zeros(256, dtype=bool)
 LETTERS[48:58] = LETTERS[97:123] = LETTERS[128:] = True
 
 PIECE = 1 << 21
+#: Bytes of rows that are worked on together, about.
+JOINED = 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -47,15 +49,16 @@ def word_spans(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndar
     return edges[0::2], edges[1::2]
 
 
-def _piece_words(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _piece_words(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, their last two bytes, and where they start."""
     starts, ends = word_spans(data, table)
     if starts.size == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), starts
     up, down = _grown(data.size + 1)
     sums = np.zeros(data.size + 1, dtype=np.uint64)
     np.cumsum(TABLE[data] * up[:-1], out=sums[1:])
     tails = data[ends - 1].astype(np.int64) * 256 + data[np.maximum(ends - 2, starts)]
-    return mix((sums[ends] - sums[starts]) * down[starts]), tails
+    return mix((sums[ends] - sums[starts]) * down[starts]), tails, starts
 
 
 def words_and_tails(text: bytes, table: np.ndarray = VISIBLE) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +66,7 @@ def words_and_tails(text: bytes, table: np.ndarray = VISIBLE) -> tuple[np.ndarra
     texts go in pieces that end between words."""
     data = np.frombuffer(text, dtype=np.uint8)
     if data.size <= PIECE:
-        return _piece_words(data, table)
+        return _piece_words(data, table)[:2]
     parts, at = [], 0
     while at < data.size:
         end = at + PIECE
@@ -73,11 +76,29 @@ def words_and_tails(text: bytes, table: np.ndarray = VISIBLE) -> tuple[np.ndarra
                 end += int(gap[0])
                 break
             end += PIECE
-        parts.append(_piece_words(data[at:end], table))
+        parts.append(_piece_words(data[at:end], table)[:2])
         at = end
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
+def words_and_tails_of_rows(rows: list[bytes], table: np.ndarray = VISIBLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words_and_tails of all texts, laid end to end, and the number of words of each. Short texts
+    are worked on together, with a blank, which is in no word, between them."""
+    ends = np.cumsum([0] + [len(r) + 1 for r in rows])
+    parts, counts, low = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], np.zeros(len(rows), np.int64), 0
+    while low < len(rows):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + JOINED, "right")) - 1)
+        if high == low + 1:
+            parts.append(words_and_tails(rows[low], table))
+            counts[low] = parts[-1][0].size
+        else:
+            words, tails, starts = _piece_words(np.frombuffer(b" ".join(rows[low:high]), dtype=np.uint8), table)
+            parts.append((words, tails))
+            counts[low:high] = np.diff(np.searchsorted(starts, ends[low : high + 1] - ends[low]))
+        low = high
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), counts
+
+
 def word_hashes(text: bytes, table: np.ndarray = VISIBLE) -> np.ndarray:
     return words_and_tails(text, table)[0]
 

@@ -5,9 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from meterlake.llm import log_bilinear as L
+from meterlake.llm import text as T
 
 
 def corpus(rows):
@@ -138,3 +140,55 @@ def test_state_and_steps_go_on():
     t.step(r.integers(0, L.CLASSES, (40, L.CONTEXT)), r.integers(0, L.CLASSES, 40))
     again = L.Trainer.of_state(t.state(), v.noise(), 1)
     assert again.steps == 1 and (again.state() == t.state()).all()
+
+
+def odd_texts():
+    r = random.Random(4)
+    short = [" ".join(f"w{r.randrange(50)}é"[: r.randrange(1, 6)] for _ in range(r.randrange(9))) for _ in range(300)]
+    return [None, "", "  ", "a", " B", "c\n", "É", *short, "long " * 40_000, "x" * 200_000, "", "end"]
+
+
+def test_texts_that_are_worked_on_together_have_the_same_words():
+    rows = [(t or "").encode() for t in odd_texts()]
+    for some in (rows, rows[3:4], rows[1:3], [], rows[-4:]):
+        words, tails, counts = T.words_and_tails_of_rows(some)
+        each = [T.words_and_tails(t) for t in some]
+        assert counts.tolist() == [w.size for w, _ in each]
+        assert words.tolist() == [w for x, _ in each for w in x.tolist()] and tails.tolist() == [w for _, x in each for w in x.tolist()]
+    sizes, words, buckets = L.tokens_of_rows([None, b"Ab a", b""])
+    assert sizes.tolist() == [1, 3, 1] and (words[[0, 3, 4]] == L.END_TOKEN).all() and words.size == buckets.size == 5
+    assert words[1:3].tolist() == T.word_hashes(b"ab a").tolist()
+
+
+def test_short_texts_cost_no_pass_each(monkeypatch):
+    calls = []
+    spans = T.word_spans
+    monkeypatch.setattr(T, "word_spans", lambda *a: calls.append(1) or spans(*a))
+    rows = [f"word{i} and more" for i in range(3000)]
+    got = list(L._count(iter([pa.RecordBatch.from_arrays([pa.array(rows)], ["text"])])))
+    assert len(calls) <= 10  # one for each text before
+    assert sum(b.column(2).to_numpy().sum() for b in got) == 12_000 and sum(b.num_rows for b in got) == 3003
+    assert list(L._count(iter([pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["text"])]))) == []
+
+
+def test_head_words_are_found_by_their_leading_bits():
+    r = np.random.default_rng(5)
+    close = np.uint64(7 << 40) + np.arange(40, dtype=np.uint64)  # of equal leading bits
+    some = r.integers(0, 1 << 64, 900, dtype=np.uint64)
+    edges = np.array([0, (1 << 64) - 1], np.uint64)
+    for words in (np.unique(np.concatenate([close[::2], some[:500], edges])), np.unique(some[:3]), some[:1], np.sort(close)):
+        own = np.where(np.arange(words.size) % 2 == 0, np.arange(words.size) % L.OWN, -1)
+        v = L.Vocabulary(words, np.arange(words.size) + 1, own, 1, 1, np.ones(L.CLASSES, np.int64), np.ones(L.CLASSES, np.int64))
+        asked = np.concatenate([close, some, edges, words])
+        classes, counts = v.classes(asked, np.full(asked.size, 3))
+        place = {w: i for i, w in enumerate(words.tolist())}
+        at = [place.get(w, -1) for w in asked.tolist()]
+        assert counts.tolist() == [i + 1 if i >= 0 else -1 for i in at]
+        assert classes.tolist() == [own[i] if i >= 0 and own[i] >= 0 else L.OWN + 3 for i in at]
+
+
+def test_rare_words_of_each_row():
+    words, counts = np.array([9, 4, 9, 4, 4, 1, 1 << 63], np.uint64), np.array([-1, 2, -1, -1, -1, 5, -1])
+    row, rare, often = L._rare(np.array([3, 2, 1, 1]), words, counts)
+    assert (row.tolist(), rare.tolist(), often.tolist()) == ([0, 1, 3], [9, 4, 1 << 63], [2, 2, 1])
+    assert [x.size for x in L._rare(np.array([1, 1]), words[:2], np.array([1, 1]))] == [0, 0, 0]
