@@ -1,4 +1,6 @@
 import datetime as dt
+import glob
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +128,46 @@ def test_keys_are_short_before_the_shuffle_and_named_in_the_cells(spark, priced,
     cells = spark.read.parquet(f"{cell_store.cells_path(root, cell_store.Pricing())}/bits")
     assert {r.dimension for r in cells.select("dimension").distinct().collect()} == set(cell_store.DIMENSIONS)
     assert {tuple(r) for r in cells.select("change", "span").distinct().collect()} == {(c, s) for c in made for s in ("day", "month")}
+
+
+def test_rows_are_shuffled_once_before_they_are_multiplied_for_lists(spark, priced):
+    met = priced.where("task_id is not null").withColumnsRenamed({"end_date": "day"}).select(
+        *cell_store.DIMENSIONS[1:], "day", F.to_date(F.date_trunc("month", "day")).alias("end_month"), F.length("status").cast("int").alias("change"), F.col("task_id").cast("long").alias("number"),
+    )
+    met = met.withColumns({"bucket": F.bitmap_bucket_number("number"), "part": F.bitmap_bit_position("number").bitwiseAND(F.lit(0).cast("long"))}).repartitionByRange(3, "change", "end_month", "bucket", "part")
+    with files.writing(spark, cell_store.SORTED):
+        plan = cell_store._listed_places(met)._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("Generate inline(array(")]
+    assert "Exchange" not in above and above.count("Sort [") == 1
+
+
+def test_a_month_in_one_bucket_is_dealt_to_many_tasks(spark, priced, tmp_path, monkeypatch):
+    dealt, whole = [], cell_store._listed_places
+
+    def listed(met):
+        dealt.append(met.select("part", F.spark_partition_id().alias("task")).distinct().collect())
+        return whole(met)
+
+    monkeypatch.setattr(cell_store, "TASK_ROWS", 20)
+    monkeypatch.setattr(cell_store, "_listed_places", listed)
+    root = str(tmp_path)
+    history.append_tasks(spark, root, priced.where("end_date < '1996-02-01'"), NOW)
+    cell_store.update_cells(spark, root)
+    assert len({r.part for r in dealt[0]}) > 1 and len({r.task for r in dealt[0]}) > 1
+    assert from_cells(spark, root, *RANGES[0]) == expected(spark, root, *RANGES[0])
+    assert from_cells(spark, root, "1996-01-01", "1996-01-31") == expected(spark, root, "1996-01-01", "1996-01-31")
+
+
+def test_writes_leave_no_shuffle_files(spark, tmp_path):
+    def shuffled():
+        return {f for top in spark.sparkContext._jvm.org.apache.spark.util.Utils.getConfiguredLocalDirs(spark.sparkContext._jsc.sc().conf()) for f in glob.glob(f"{top}/blockmgr-*/*/shuffle_*.data")}
+
+    df = spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).agg(F.count("*").alias("n"))
+    before = shuffled()
+    with files.writing(spark):
+        df.write.parquet(str(tmp_path / "t"))
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(next(iter(files.FREED))) == "false"
