@@ -2,6 +2,7 @@ import datetime as dt
 import glob
 import time
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +172,10 @@ def test_writes_leave_no_shuffle_files(spark, tmp_path):
             break
         time.sleep(0.1)
     assert not left and spark.conf.get(next(iter(files.FREED))) == "false"
+
+
+def test_history_files_have_no_dictionary_of_what_should_not_repeat(spark, priced, tmp_path):
+    history.append_tasks(spark, str(tmp_path), priced.withColumns({"task_run_id": F.lit("a run"), "task_type": F.lit("a type")}), NOW)
+    groups = [pq.ParquetFile(f).metadata.row_group(0) for f in tmp_path.glob("data/**/*.parquet")]
+    coded = {(c.path_in_schema, c.has_dictionary_page) for g in groups if g.num_rows > 9 for c in map(g.column, range(g.num_columns))}
+    assert ("task_type", True) in coded and not {("task_run_id", True), ("row_hash", True)} & coded
