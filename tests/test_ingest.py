@@ -128,6 +128,13 @@ def test_unread_cells_are_counted_for_each_file(spark, tmp_path):
     assert times == [(dt.datetime(2024, 1, 3, 10), dt.datetime(2024, 1, 3)), (dt.datetime(2024, 1, 3, 17), None)]
 
 
+def test_files_are_joined_without_a_shuffle_of_the_rows(spark, folder):
+    df, errors = read(spark, folder, "both.csv", "broken.csv", "neither.csv", orgs={"both.csv": "North"})
+    assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+    assert values(df.orderBy("task_run_id"), "task_run_id", "org") == [("j8", "North Mass Ingestion"), ("r6", "Unknown")]
+    assert [(e.file_path.rsplit("/", 1)[1], *e[1:]) for e in errors.collect()] == [("broken.csv", log_files.SURPLUS_ERROR, None)]
+
+
 def test_jobs_do_not_grow_with_the_files(spark, tmp_path):
     for i in range(300):
         (tmp_path / f"file{i}.csv").write_text(f"Task ID,Metered Value\n{i},1\n" if i % 2 else f"Task ID,Metered Value,Status\n{i},1,Done\n")
@@ -447,3 +454,16 @@ def test_stream_leaves_no_staged_rows(spark, folder, tmp_path):
     start_ingest(spark, str(source), root, str(tmp_path / "checkpoint"), clock=lambda: NOW).awaitTermination()
     assert [n for n in files.names(spark, shared) if n.startswith("ingest-")] == before
     assert files.names(spark, f"{root}/_staging") == [] and history.read_history(spark, root).count() == 4
+
+
+def test_stream_takes_files_of_a_pattern(spark, folder, tmp_path):
+    import gzip
+
+    from meterlake.streaming.ingest import start_ingest
+
+    source, root = tmp_path / "in", str(tmp_path / "lake")
+    source.mkdir()
+    (source / "a.csv.gz").write_bytes(gzip.compress(FILES["task_usage_standard.csv"].encode()))
+    (source / "b.csv").write_text(FILES["both.csv"])
+    start_ingest(spark, str(source), root, str(tmp_path / "checkpoint"), clock=lambda: NOW, pattern="*.csv.gz").awaitTermination()
+    assert sorted(r.task_id for r in history.read_history(spark, root).collect()) == ["1", "2", "3", "4"]
