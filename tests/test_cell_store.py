@@ -179,3 +179,11 @@ def test_history_files_have_no_dictionary_of_what_should_not_repeat(spark, price
     groups = [pq.ParquetFile(f).metadata.row_group(0) for f in tmp_path.glob("data/**/*.parquet")]
     coded = {(c.path_in_schema, c.has_dictionary_page) for g in groups if g.num_rows > 9 for c in map(g.column, range(g.num_columns))}
     assert ("task_type", True) in coded and not {("task_run_id", True), ("row_hash", True)} & coded
+
+
+def test_rows_without_task_ids_have_sums(spark, priced, tmp_path):
+    root = str(tmp_path)
+    history.append_tasks(spark, root, priced.withColumn("task_id", F.lit(None).cast("string")), NOW)
+    cell_store.update_cells(spark, root)
+    assert cell_store.day_cells(spark, root, *RANGES[2], "all").count() > 0
+    assert files.names(spark, f"{root}/_staging") == []
